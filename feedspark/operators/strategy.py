@@ -1,0 +1,16 @@
+"""Join strategy helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a "small side" may have before it is shuffled instead of broadcast.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after counting it: above ``max_rows`` the join
+    falls back to the planner's choice (sort-merge with AQE)."""
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df

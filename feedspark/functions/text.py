@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 PY_WS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
          r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 PY_NON_WS = PY_WS.replace("[", "[^", 1)
+# The same set as plain characters, for btrim (one linear pass per string).
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
 
 # Fixed values that must equal the reference's behaviour:
 # tag pattern of the description cleaner, sentence boundary, split markers.
@@ -45,12 +49,15 @@ def nbsp_to_space(col) -> Column:
 
 # T4
 def collapse_spaces(col) -> Column:
-    return F.regexp_replace(_c(col), " +", " ")
+    """Runs of ASCII spaces -> one space (only runs of two or more are
+    rewritten; a single space already is the result)."""
+    return F.regexp_replace(_c(col), "  +", " ")
 
 
 # T5
 def py_strip(col) -> Column:
-    return F.regexp_replace(_c(col), r"\A" + PY_WS + r"+|" + PY_WS + r"+\z", "")
+    """str.strip(): btrim with the explicit set of Python whitespace."""
+    return F.btrim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def py_word_count(col) -> Column:

@@ -39,14 +39,41 @@ def _unescape_array_udf(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+# The common entities decoded natively, as html.unescape
+# decodes them (name with its semicolon -> character).
+COMMON_ENTITIES = (("amp;", "&"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("#39;", "'"),
+                   ("apos;", "'"), ("nbsp;", "\xa0"))
+# An '&' that html.unescape would read as some *other* reference: a numeric
+# one, or a name not in the list above (also a listed name without ';').
+OTHER_REF = (r"&(?!(?:" + "|".join(e[:-1] for e, _ in COMMON_ENTITIES) + r");)"
+             r"(?:#[0-9xX]|[^\t\n\f <&#;])")
+
+
+def _native_unescape(col: Column) -> Column:
+    """Single pass: split at '&', decode a leading common entity in each
+    piece, re-join.  A piece without one keeps its '&'."""
+    def piece(p, i):
+        e = F.when(i == 0, p)
+        for name, ch in COMMON_ENTITIES:
+            e = e.when(p.startswith(name), F.concat(F.lit(ch), F.substring(p, len(name) + 1, 1 << 30)))
+        return e.otherwise(F.concat(F.lit("&"), p))
+    return F.array_join(F.transform(F.split(col, "&", -1), piece), "")
+
+
 def unescape_html(col: Column) -> Column:
-    """html.unescape, applied in Python only to strings holding an '&'."""
-    return F.coalesce(_unescape_udf(F.when(F.instr(col, "&") > 0, col)), col)
+    """html.unescape.  Strings without '&' pass through; strings whose only
+    references are the common entities are decoded natively; only the rest
+    (numeric references, other named entities) cross to Python."""
+    other = col.rlike(OTHER_REF)
+    return (F.when(F.instr(col, "&") == 0, col)
+            .when(other, _unescape_udf(F.when(other, col)))
+            .otherwise(_native_unescape(col)))
 
 
 def unescape_html_array(col: Column) -> Column:
-    needs = F.exists(col, lambda x: F.instr(x, "&") > 0)
-    return F.coalesce(_unescape_array_udf(F.when(needs, col)), col)
+    needs = F.exists(col, lambda x: x.rlike(OTHER_REF))
+    native = F.transform(col, lambda x: F.when(F.instr(x, "&") == 0, x).otherwise(_native_unescape(x)))
+    return F.when(needs, _unescape_array_udf(F.when(needs, col))).otherwise(native)
 
 
 # --- element-by-id facts -------------------------------------------------

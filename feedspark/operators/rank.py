@@ -43,19 +43,29 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     F.posexplode("_s").alias("s_pos", "sentence"))
 
 
-def _terms(sentence, stop_words):
+def _tokens(sentence, stop_words):
     toks = F.regexp_extract_all(F.lower(sentence), F.lit(WORD_RE), 0)
     if stop_words:
         toks = F.filter(toks, lambda t: ~t.isin(*stop_words))
-    bigrams = F.transform(F.sequence(F.lit(1), F.size(toks) - 1),
-                          lambda i: F.concat(F.get(toks, i - 1), F.lit(" "), F.get(toks, i)))
-    return F.when(F.size(toks) > 1, F.concat(toks, bigrams)).otherwise(toks)
+    return toks
+
+
+def _terms(toks):
+    """Unigrams then bigrams of adjacent kept tokens (zip of the array with
+    itself shifted by one: linear in the sentence length)."""
+    n = F.size(toks)
+    bigrams = F.zip_with(F.slice(toks, 1, n - 1), F.slice(toks, 2, n - 1),
+                         lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(n > 1, F.concat(toks, bigrams)).otherwise(toks)
 
 
 def sentence_scores(sents: DataFrame, params: RankParams = RankParams()) -> DataFrame:
     """(doc_id, n_sent, s_pos, n_terms, score) for every sentence."""
-    tf = (sents
-          .select("doc_id", "n_sent", "s_pos", F.explode_outer(_terms(F.col("sentence"), params.stop_words)).alias("term"))
+    # Tokens are a column of their own so that the bigram step reads the
+    # array instead of re-running the regex for every element.
+    toks = sents.select("doc_id", "n_sent", "s_pos", _tokens(F.col("sentence"), params.stop_words).alias("tk"))
+    tf = (toks
+          .select("doc_id", "n_sent", "s_pos", F.explode_outer(_terms(F.col("tk"))).alias("term"))
           .groupBy("doc_id", "n_sent", "s_pos", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "term"))
     kept = (F.col("term").isNotNull() & (F.col("df") >= params.min_df)

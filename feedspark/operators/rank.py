@@ -32,15 +32,28 @@ from feedspark.functions.text import split_sentences
 WORD_RE = r"[\p{L}\p{N}_]{2,}"
 
 
+def by_doc(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) hash-partitioned by doc_id: the one shuffle of the
+    ranking jobs.  Pass its result with ``partitioned=True`` to reuse it."""
+    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+                .filter(F.col("doc_id").isNotNull())
+                .repartition("doc_id"))
+
+
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               partitioned: bool = False) -> DataFrame:
     """(doc_id, n_sent, s_pos, sentence), partitioned by doc_id."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if not partitioned:
-        d = d.repartition("doc_id")
+    if partitioned:
+        d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    else:
+        d = by_doc(docs, id_col, text_col)
     d = d.withColumn("_s", split_sentences("text"))
-    return d.select("doc_id", F.size("_s").cast("bigint").alias("n_sent"),
-                    F.posexplode("_s").alias("s_pos", "sentence"))
+    # posexplode_outer + filter: a plain posexplode lets the optimizer infer
+    # size(sentences) > 0 and push it below the exchange, which would then
+    # no longer be shared with the other branches reading the same articles.
+    return (d.select("doc_id", F.size("_s").cast("bigint").alias("n_sent"),
+                     F.posexplode_outer("_s").alias("s_pos", "sentence"))
+             .filter(F.col("s_pos").isNotNull()))
 
 
 def _tokens(sentence, stop_words):
@@ -83,37 +96,49 @@ def sentence_scores(sents: DataFrame, params: RankParams = RankParams()) -> Data
 
 
 def _valid(params: RankParams):
-    """The article has a vocabulary and its df bounds are consistent."""
-    return (F.col("doc_max_score") > 0) & (F.lit(params.max_df) * F.col("n_sent") >= params.min_df)
+    """The article has a vocabulary and its df bounds are consistent.  Both
+    tests read per-article window outputs, so the optimizer cannot push them
+    below the doc_id exchange (which would make that exchange differ from
+    the other branches' and cost a second shuffle of the text)."""
+    return (F.col("doc_max_score") > 0) & (F.lit(params.max_df) * F.col("doc_n_sent") >= params.min_df)
 
 
 # A5 + W3
 def rank_sentences(docs: DataFrame, params: RankParams = RankParams(), id_col: str = "doc_id",
-                   text_col: str = "text", top: int | None = None, with_text: bool = True) -> DataFrame:
+                   text_col: str = "text", top: int | None = None, with_text: bool = True,
+                   partitioned: bool = False) -> DataFrame:
     """(doc_id, s_pos, rank_no, score[, sentence]) for articles the reference
     can rank.  ``top`` keeps the first ``top`` per article (a group limit,
     evaluated before any exchange)."""
-    sents = sentences(docs, id_col, text_col)
+    sents = sentences(docs, id_col, text_col, partitioned)
     scores = sentence_scores(sents, params)
     w_rank = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("s_pos").asc())
     ranked = scores.withColumn("rank_no", F.row_number().over(w_rank).cast("bigint"))
     if top is not None:
         ranked = ranked.filter(F.col("rank_no") <= top)
-    ranked = ranked.withColumn("doc_max_score", F.max("score").over(Window.partitionBy("doc_id")))
+    w_doc = Window.partitionBy("doc_id")
+    ranked = (ranked.withColumn("doc_max_score", F.max("score").over(w_doc))
+                    .withColumn("doc_n_sent", F.max("n_sent").over(w_doc)))
     ranked = ranked.filter(_valid(params)).select("doc_id", "s_pos", "rank_no", "score")
     if with_text:
         ranked = ranked.join(sents.select("doc_id", "s_pos", "sentence"), ["doc_id", "s_pos"], "inner")
     return ranked
 
 
+def _points(d: DataFrame, params: RankParams) -> DataFrame:
+    """(doc_id, main_points) for the articles that can be ranked; ``d`` is
+    the doc_id-partitioned (doc_id, text).  The top sentences are collected
+    per article: at most ``num_points`` each, never a whole article."""
+    top = rank_sentences(d, params, top=params.num_points, partitioned=True)
+    return (top.groupBy("doc_id")
+               .agg(F.array_sort(F.collect_list(F.struct("rank_no", "sentence"))).alias("_p"))
+               .select("doc_id", F.transform("_p", lambda x: x["sentence"]).alias("main_points")))
+
+
 # O5
 def main_points(docs: DataFrame, params: RankParams = RankParams(), id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """(doc_id, main_points ARRAY<STRING>) for every input article; null
     points where the reference's ranking fails."""
-    top = rank_sentences(docs, params, id_col, text_col, top=params.num_points)
-    pts = (top.groupBy("doc_id")
-              .agg(F.array_sort(F.collect_list(F.struct("rank_no", "sentence"))).alias("_p"))
-              .select("doc_id", F.transform("_p", lambda x: x["sentence"]).alias("main_points")))
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    return ids.join(pts, "doc_id", "left")
+    d = by_doc(docs, id_col, text_col)
+    return d.select("doc_id").join(_points(d, params), "doc_id", "left")

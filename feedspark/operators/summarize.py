@@ -19,7 +19,7 @@ from feedspark.functions.text import (cap_sentences, drop_prompt_lines, is_blank
                                       split_sentences, text_chunks)
 from feedspark.functions.udfs import SummarizerHook, summarize_chunks
 from feedspark.operators.queue import mark_posted_by_url, next_to_post, summary_post_body
-from feedspark.operators.rank import main_points
+from feedspark.operators.rank import _points, by_doc
 
 
 def lead_sentence(chunk: Column) -> Column:
@@ -51,17 +51,21 @@ def summary_and_points(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        rank_params: RankParams = RankParams()) -> DataFrame:
     """(doc_id, summary, main_points).  Blank text gives nulls (F5); when
     ranking fails the reference returns (None, None), so both are null."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ok = d.filter(~is_blank(F.col("text")))
-    pts = main_points(ok, rank_params)
-    summ = ok.select("doc_id", article_summary(F.col("text"), hook, summary_params).alias("summary"))
-    both = summ.join(pts, "doc_id", "inner")
-    failed = F.col("main_points").isNull()
-    res = both.select(
+    # One shuffle of the text: articles partitioned by doc_id, then the
+    # ranking, the summary (a per-row projection) and the join all read that
+    # same exchange.  Blank text has no vocabulary, so its points are null
+    # without a separate filter (which would be pushed below the exchange
+    # and force a second shuffle).
+    d = by_doc(docs, id_col, text_col)
+    pts = _points(d, rank_params)
+    summ = d.select("doc_id", is_blank(F.col("text")).alias("_blank"),
+                    article_summary(F.col("text"), hook, summary_params).alias("summary"))
+    both = summ.join(pts, "doc_id", "left")
+    failed = F.col("main_points").isNull() | F.col("_blank")
+    return both.select(
         "doc_id",
         F.when(failed, F.lit(None).cast("string")).otherwise(F.col("summary")).alias("summary"),
         F.when(failed, F.lit(None)).otherwise(novel_points("main_points", "summary")).alias("main_points"))
-    return d.select("doc_id").join(res, "doc_id", "left")
 
 
 # UD4

@@ -188,8 +188,13 @@ def _facts(page):
 
 @F.pandas_udf(CONTAINER_FACTS)
 def _facts_udf(s: pd.Series) -> pd.DataFrame:
-    rows = [_facts(v) or {} for v in s]
-    return pd.DataFrame(rows, columns=[f.name for f in CONTAINER_FACTS.fields])
+    rows = [_facts(v) for v in s]
+    cols = {}
+    for f in CONTAINER_FACTS.fields:
+        vals = [None if r is None else r[f.name] for r in rows]
+        dtype = "boolean" if isinstance(f.dataType, T.BooleanType) else object
+        cols[f.name] = pd.Series(vals, dtype=dtype)
+    return pd.DataFrame(cols)
 
 
 def container_facts(html_col: Column) -> Column:

@@ -43,6 +43,14 @@ def _prepare(items: DataFrame) -> DataFrame:
             .withColumn("summary_url", derived_url(F.col("clean_link"), "/summary")))
 
 
+def _spread(key):
+    """Left-join key that never lets rows without a lookup pile up: a null
+    key (an item of a type that needs no page, or without a link) becomes a
+    per-row value no URL can equal, so those rows hash across all partitions
+    instead of into the single partition of null."""
+    return F.coalesce(key, F.concat(F.lit("\u0000nokey:"), F.col("seq").cast("string")))
+
+
 # J1, J2, J3
 def enrich(items: DataFrame, pages: DataFrame, site: str = config.BILL_SITE) -> DataFrame:
     """Overview from the item's own page (first paragraph directly under
@@ -58,11 +66,12 @@ def enrich(items: DataFrame, pages: DataFrame, site: str = config.BILL_SITE) ->
                         F.col("first_p").alias("_fp3"))
 
     x = _prepare(items)
-    x = x.join(own, x["link"] == own["_u1"], "left")
-    x = x.withColumn("_sum_key", F.when(F.col("type") == "Activity", F.col("summary_url")))
+    x = x.join(own, _spread(x["link"]) == own["_u1"], "left")
+    x = x.withColumn("_sum_key", _spread(F.when(F.col("type") == "Activity", F.col("summary_url"))))
     x = x.join(summ, x["_sum_key"] == summ["_u2"], "left")
     x = x.withColumn("_expl_url", F.when(F.col("type") == "Votes", absolute_url(site, F.col("_href"))))
-    x = x.join(expl, (x["_expl_url"] == expl["_u3"]) & (x["_expl_url"] != ""), "left")
+    x = x.withColumn("_expl_key", _spread(F.when(F.col("_expl_url") != "", F.col("_expl_url"))))
+    x = x.join(expl, x["_expl_key"] == expl["_u3"], "left")
 
     overview = (F.when(F.col("type") == "Votes", F.coalesce(F.col("_fp3"), F.lit("")))
                 .otherwise(F.coalesce(F.col("_ov1"), F.lit(""))))
@@ -70,7 +79,7 @@ def enrich(items: DataFrame, pages: DataFrame, site: str = config.BILL_SITE) ->
     return (x.withColumn("bill_overview", overview)
              .withColumn("bill_summary", summary)
              .drop("_u1", "_c1", "_ov1", "_href", "_sum_key", "_u2", "_s2", "_sum2",
-                   "_expl_url", "_u3", "_c3", "_fp3"))
+                   "_expl_url", "_expl_key", "_u3", "_c3", "_fp3"))
 
 
 # P3 + P5

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from feedspark import config
 from feedspark.functions.text import single_line_description
+from feedspark.operators.strategy import broadcast_if_small
 
 
 # F3
@@ -74,9 +75,10 @@ def summary_post_body(summary, url) -> Column:
 # J5
 def mark_posted(articles: DataFrame, picked: DataFrame) -> DataFrame:
     """Set ``posted`` for the picked rows (by ``seq``).  The picked side has
-    at most n rows per community; the planner broadcasts it when its
-    measured size allows and shuffles otherwise."""
-    hit = picked.select(F.col("seq").alias("_hit_seq")).distinct()
+    at most n rows per community, but the planner cannot know that from a
+    window's output: it is counted, and broadcast when under the row bound,
+    so the article table is streamed, not shuffled."""
+    hit = broadcast_if_small(picked.select(F.col("seq").alias("_hit_seq")).distinct())
     return (articles.join(hit, articles["seq"] == hit["_hit_seq"], "left")
             .withColumn("posted", F.coalesce(F.col("posted"), F.lit(False)) | F.col("_hit_seq").isNotNull())
             .drop("_hit_seq"))
@@ -86,6 +88,6 @@ def mark_posted_by_url(articles: DataFrame, urls: DataFrame,
                        order=("published_at", "seq")) -> DataFrame:
     """Summarizer variant: the **first** stored article with each URL."""
     key = F.struct(*[F.col(c) for c in order])
-    first = (articles.join(urls.select("url").distinct(), "url", "left_semi")
+    first = (articles.join(broadcast_if_small(urls.select("url").distinct()), "url", "left_semi")
              .groupBy("url").agg(F.min_by("seq", key).alias("seq")))
     return mark_posted(articles, first)

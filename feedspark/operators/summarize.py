@@ -20,6 +20,7 @@ from feedspark.functions.text import (cap_sentences, drop_prompt_lines, is_blank
 from feedspark.functions.udfs import SummarizerHook, summarize_chunks
 from feedspark.operators.queue import mark_posted_by_url, next_to_post, summary_post_body
 from feedspark.operators.rank import _points, by_doc
+from feedspark.operators.strategy import broadcast_if_small
 
 
 def lead_sentence(chunk: Column) -> Column:
@@ -81,7 +82,9 @@ def summarize_queue(articles: DataFrame, pages: DataFrame, n: int = 1,
     from feedspark.operators.pages import page_content
 
     picked = next_to_post(articles, n=n)
-    pages1 = pages.join(picked.select("url").distinct(), "url", "left_semi")
+    # The picked URLs are a handful: count them and broadcast, so the pages
+    # table (raw HTML) is filtered in place and never shuffled.
+    pages1 = pages.join(broadcast_if_small(picked.select("url").distinct()), "url", "left_semi")
     content = page_content(pages1).select("url", "content")
     # one page per URL: the content rows are tiny, pick deterministically
     content = content.groupBy("url").agg(F.min("content").alias("content"))

@@ -640,10 +640,11 @@ def nonblank_text(spark, d):
 
 # ---- TF-IDF ranking (A5, W3, O5) and the summary with points (F7, UD3)
 
-def rank_sql(params=config.RankParams()) -> str:
-    """The ranking chain as DuckDB CTEs over ``documents``: sents, valid."""
+def rank_ctes(src: str = "documents", params=config.RankParams()) -> str:
+    """The ranking chain as DuckDB CTEs over ``src`` (doc_id, text):
+    sents, valid, mp (main points)."""
     ss = s.sentences("text")
-    return f"""WITH sent0 AS (SELECT doc_id, {ss} AS ss FROM documents),
+    return f"""sent0 AS (SELECT doc_id, {ss} AS ss FROM {src}),
 sents AS (SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sent, CAST(unnest(range(0, len(ss))) AS BIGINT) AS s_pos,
           unnest(ss) AS sentence FROM sent0),
 toks AS (SELECT doc_id, n_sent, s_pos, list_filter(regexp_extract_all(lower(sentence), {s.q(R.WORD_RE)}),
@@ -666,6 +667,10 @@ mp AS (SELECT doc_id, count(*) AS n_points, string_agg(sentence, chr(10) ORDER B
 """
 
 
+def rank_sql(params=config.RankParams()) -> str:
+    return "WITH " + rank_ctes("documents", params)
+
+
 @register("sentence_tfidf", rank_sql() + "SELECT CAST(doc_id AS BIGINT) AS doc_id, s_pos, score FROM valid")
 def sentence_tfidf(spark, d):
     return R.rank_sentences(_docs(spark, d), with_text=False).select("doc_id", "s_pos", "score")
@@ -686,10 +691,16 @@ def main_points(spark, d):
         "main_points")
 
 
-SUMMARY_POINTS_SQL = rank_sql() + f""", sp AS (
-SELECT d.doc_id, {s.article_summary('d.text')} AS summary, mp.pts FROM documents d JOIN mp ON d.doc_id = mp.doc_id
+def summary_ctes(src: str) -> str:
+    """sp, nov: summary and novel points per doc of ``src`` (after rank_ctes)."""
+    return f"""sp AS (
+SELECT d.doc_id, {s.article_summary('d.text')} AS summary, mp.pts FROM {src} d JOIN mp ON d.doc_id = mp.doc_id
 WHERE NOT (d.text IS NULL OR length({s.strip('d.text')}) = 0)),
 nov AS (SELECT doc_id, summary, list_filter(pts, lambda p: NOT contains(summary, p)) AS np FROM sp)
+"""
+
+
+SUMMARY_POINTS_SQL = rank_sql() + ", " + summary_ctes("documents") + """
 SELECT CAST(d.doc_id AS BIGINT) AS doc_id, nov.summary, CAST(len(nov.np) AS BIGINT) AS n_points,
        array_to_string(nov.np, chr(10)) AS main_points
 FROM documents d LEFT JOIN nov ON d.doc_id = nov.doc_id"""
@@ -716,11 +727,28 @@ def novel_points(spark, d):
     return _summary_points(spark, d).select("doc_id", "n_points", "main_points")
 
 
-# ---- the queue that summarizes (UD4): rows-only check, see README
+# ---- the queue that summarizes (UD4)
+
+QUEUE_SQL = (duck_with("articles_v") + f""", fetched_v AS (SELECT * FROM articles_v WHERE url IN (SELECT url FROM pages)),
+picked AS ({NEXT_SQL.format(n=1).replace("FROM articles_v", "FROM fetched_v")}),
+pbody AS (SELECT url, {s.drop_boilerplate('html')} AS body FROM pages),
+ppc AS (SELECT url, {s.kept_paragraphs(s.paragraphs('body'), 'title')} AS kept
+        FROM (SELECT url, body, {s.page_title('body')} AS title FROM pbody)),
+pcontent AS (SELECT url, min(array_to_string(kept, chr(10))) AS content FROM ppc GROUP BY url),
+jobs AS (SELECT p.community, p.title, p.url, p.seq, c.content FROM picked p LEFT JOIN pcontent c ON p.url = c.url),
+docsq AS (SELECT seq AS doc_id, content AS text FROM jobs),
+""" + rank_ctes("docsq") + ", " + summary_ctes("docsq") + """
+SELECT j.community, j.title, coalesce(nov.summary, 'None') || chr(10) || chr(10) || '[Read more](' || j.url || ')' AS content,
+       j.url, array_to_string(nov.np, chr(10)) AS main_points
+FROM jobs j LEFT JOIN nov ON j.seq = nov.doc_id""")
+
 
-@register("summarize_queue")
+@register("summarize_queue", QUEUE_SQL)
 def summarize_queue(spark, d):
-    out, _ = U.summarize_queue(fx.articles(spark, d), fx.table(spark, d, "pages").select("url", "html"))
+    # The summarizer's queue: articles whose page has been fetched.
+    pages = fx.table(spark, d, "pages").select("url", "html")
+    fetched = fx.articles(spark, d).join(pages.select("url"), "url", "left_semi")
+    out, _ = U.summarize_queue(fetched, pages)
     return out.select("community", "title", "content", "url", F.array_join("main_points", "\n").alias("main_points"))
 
 

@@ -14,3 +14,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     falls back to the planner's choice (sort-merge with AQE)."""
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work enough tasks.
+
+    A table stored as few large row groups scans as few tasks, whatever the
+    cluster size.  When the scan has fewer partitions than the cluster has
+    cores, rows are dealt round-robin to that many partitions; a table of
+    many files (the normal case at scale) is returned unchanged."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from feedspark import config
 from feedspark.functions.dates import iso_date
 from feedspark.functions.text import clean_url
+from feedspark.operators.strategy import spread
 from feedspark.session import ensure_utc
 
 WATERMARK = "2024-01-15"
@@ -28,9 +29,16 @@ FEED_SITE = ".example.org"
 COMMUNITY = "dnd"
 
 
+# Text tables whose rows are expensive to process (raw HTML, long texts).
+SPREAD_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table; text tables are spread over all cores when their
+    files hold fewer row groups than there are cores (see strategy.spread)."""
     ensure_utc(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in SPREAD_TABLES else df
 
 
 def _community(lang: Column) -> Column:

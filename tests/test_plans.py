@@ -14,7 +14,8 @@ def plan(df):
 
 
 def test_page_content_has_no_exchange(spark):
-    p = plan(page_content(fx.pages_rich(spark, SF_SMALL)))
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    p = plan(page_content(pages))
     assert "Exchange" not in p
 
 
@@ -39,7 +40,10 @@ def test_ranking_shuffles_text_once(spark):
 
 
 def test_summary_is_per_row(spark):
-    p = plan(queries()["article_summary"](spark, SF_SMALL))
+    from pyspark.sql import functions as F
+    from feedspark.operators.summarize import article_summary
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    p = plan(docs.select(article_summary(F.col("text"))))
     assert "Exchange" not in p
 
 

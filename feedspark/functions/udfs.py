@@ -83,6 +83,10 @@ CONTENT_ID = "content"
 SUMMARY_ID = "libraryofcongress"
 EXPLAINER_ID = "vote_explainer"
 
+# An id attribute naming one of the three elements (cheap native pre-filter).
+ID_ATTR_RE = (r"(?i)\bid\s*=\s*[\"']?(?:" + "|".join([CONTENT_ID, SUMMARY_ID, EXPLAINER_ID])
+              + r")(?:[\"'\s/>]|$)")
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 CONTAINER_FACTS = T.StructType([
@@ -200,8 +204,7 @@ def _facts_udf(s: pd.Series) -> pd.DataFrame:
 def container_facts(html_col: Column) -> Column:
     """H6-H8 in one pass.  Pages without any of the three ids never reach
     Python: they are passed as null and come back as an all-null struct."""
-    needs = (F.instr(html_col, CONTENT_ID) > 0) | (F.instr(html_col, SUMMARY_ID) > 0) | \
-            (F.instr(html_col, EXPLAINER_ID) > 0)
+    needs = html_col.rlike(ID_ATTR_RE)
     return _facts_udf(F.when(needs, html_col))
 
 

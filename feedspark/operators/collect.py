@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.dates import date_token, iso_date, parse_published, watermark_ts
 from feedspark.functions.text import clean_description
+from feedspark.operators.strategy import broadcast_if_small
 
 
 # P1
@@ -30,7 +31,10 @@ def explode_feeds(tracker: DataFrame) -> DataFrame:
 
 
 def entries_with_feed(entries: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Attach blog and watermark to each entry by its feed URL."""
+    """Attach blog and watermark to each entry by its feed URL.  The feed
+    list is counted and broadcast when under the row bound, so entries are
+    never shuffled for this join, even when one feed holds most of them."""
+    feeds = broadcast_if_small(feeds)
     return entries.join(feeds, entries["feed_url"] == feeds["rss_url"], "inner").drop("rss_url")
 
 

@@ -136,15 +136,22 @@ class CollectResult:
 
 # ST2
 def collect_batch(tracker: DataFrame, entries: DataFrame, existing: DataFrame,
-                  run_date: str, compat: bool = False) -> CollectResult:
+                  run_date: str, compat: bool = False, dedupe: bool = False) -> CollectResult:
     """S2 -> P1 -> D2/F1 -> F2 -> T6 -> P2 -> U1 -> O1, plus L1, A1 and K2.
 
     ``entries`` has FEED_ENTRY columns plus ``entry_id``; ``existing`` has
-    the ARTICLE schema.
+    the ARTICLE schema.  ``dedupe=True`` (off by default: the reference keeps
+    duplicates) drops new rows whose (blog_name, url) is already stored, and
+    repeats within the run, with an anti join.
     """
     feeds = explode_feeds(tracker)
     dated = dated_entries(entries_with_feed(entries, feeds), compat=compat)
     new = to_articles(since_watermark(dated))
+    if dedupe:
+        seen = existing.select("blog_name", "url")
+        new = (new.join(seen, ["blog_name", "url"], "left_anti")
+                  .groupBy("blog_name", "url").agg(F.min_by(F.struct(*new.columns), "entry_id").alias("r"))
+                  .select("r.*"))
     articles = articles_by_date(append_articles(existing, new), compat=compat)
     return CollectResult(
         articles=articles,

@@ -70,6 +70,16 @@ def summarize_job(spark, articles_path, pages_path, outbox_root, out_root, n=1,
     return {"outbox": outbox_root, "articles": art}
 
 
+def bill_items_from_files(spark, items_path) -> DataFrame:
+    """RSS items of the bill feeds; each file is mapped to its feed URL by the
+    catalog's file name (the catalog is a handful of rows: broadcast)."""
+    items = readers.read_feed_items(spark, items_path)
+    cat = B.feed_catalog(spark).select("feed_url", "file")
+    named = items.withColumn("file", F.element_at(F.split(F.col("source_file"), "/"), -1))
+    return (named.join(F.broadcast(cat), "file")
+                 .select(F.col("entry_id").alias("seq"), "feed_url", "title", "link", "description", "pubDate"))
+
+
 def bills_job(spark, items: DataFrame, pages_path, out_root, only_enabled=True):
     ensure_utc(spark)
     pages = readers.read_pages(spark, pages_path)
@@ -98,9 +108,7 @@ def main(argv=None):
     elif a.job == "summarize":
         res = summarize_job(spark, a.articles, a.pages, a.outbox, a.out, a.n)
     else:
-        items = readers.read_feed_items(spark, a.items).withColumn("seq", F.col("entry_id"))
-        items = items.withColumn("feed_url", F.col("source_file"))
-        res = bills_job(spark, items, a.pages, a.out)
+        res = bills_job(spark, bill_items_from_files(spark, a.items), a.pages, a.out)
     print(json.dumps(res))
 
 

@@ -48,3 +48,27 @@ def test_dedupe_option(spark):
     # against the stored table, entries whose URL is already stored go too
     stored = collect_batch(t, twice, a, "2024-02-01", dedupe=True).new_articles
     assert stored.join(a.select("blog_name", "url"), ["blog_name", "url"], "left_semi").count() == 0
+
+
+def test_bills_job_from_rss_files(spark):
+    import os
+    from xml.sax.saxutils import escape
+
+    from feedspark import config
+    root = tempfile.mkdtemp(prefix="bills-")
+    items = fx.bill_items(spark, SF_SMALL).collect()      # 200 rows: test input only
+    by_feed = {}
+    for r in items:
+        by_feed.setdefault(r.feed_url, []).append(
+            f"<item><title>{escape(r.title)}</title><link>{escape(r.link)}</link>"
+            f"<description>{escape(r.description)}</description><pubDate>{r.pubDate}</pubDate></item>")
+    os.makedirs(f"{root}/rss")
+    for f in config.BILL_FEEDS:
+        with open(f"{root}/rss/{f.file}", "w") as fh:
+            fh.write("<rss><channel>" + "".join(by_feed.get(f.feed_url, [])) + "</channel></rss>")
+    fx.bill_pages(spark, SF_SMALL).write.parquet(f"{root}/pages")
+    res = jobs.bills_job(spark, jobs.bill_items_from_files(spark, f"{root}/rss"), f"{root}/pages", f"{root}/out")
+    out = spark.read.json(res["bills"])
+    n_enabled = sum(1 for r in items if r.feed_url != fx.catalog_url("Votes"))
+    assert out.count() == n_enabled
+    assert out.filter("type = 'Activity' AND bill_summary LIKE 'Part one %'").count() > 0

@@ -65,3 +65,17 @@ def test_item_xml_round_trip(spark):
     x = readers.item_xml(F.col("t"), F.col("l"), F.col("d"), F.col("p"))
     r = df.select(readers.parse_feed_items(x).alias("i")).select("i.*").first()
     assert (r.title, r.link, r.description, r.pubDate) == ("a < b & c", "l", " d ", "p")
+
+
+def test_stream_dedupe_within_watermark(spark):
+    import tempfile as tf
+    from feedspark.streaming.collect_stream import ENTRY_COLUMNS, start_collect_stream
+    entries = fx.feed_entries(spark, SF_SMALL).select(*ENTRY_COLUMNS)
+    root = tf.mkdtemp(prefix="sdd-")
+    entries.unionByName(entries.withColumn("entry_id", F.col("entry_id") + 100000)) \
+        .repartition(2).write.parquet(f"{root}/landing")
+    q = start_collect_stream(spark, f"{root}/landing", entries.schema, fx.tracker(spark, SF_SMALL),
+                             f"{root}/sink", f"{root}/ckpt", dedupe_delay="3650 days")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/sink")
+    assert out.count() == out.select("blog_name", "url").distinct().count() == entries.count()

@@ -23,5 +23,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cluster size.  When the scan has fewer partitions than the cluster has
     cores, rows are dealt round-robin to that many partitions; a table of
     many files (the normal case at scale) is returned unchanged."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
+        return df
+    return df.repartition(target) if n < target else df

@@ -40,3 +40,15 @@ def test_render_layouts(spark):
     assert posts["nfl"].title == "[blog] T1"
     assert posts["politics"].content == "https://x/politics\n\nline1 line2"
     assert posts["science"].content == "https://x/science"
+
+
+def test_compat_sort_orders_strings(spark):
+    """ISO strings with mixed offsets are not in time order."""
+    from feedspark.operators.collect import articles_by_date, dated_entries
+    rows = [(1, "f", "a", "t", "d", "2024-01-01T09:00:00-05:00"),   # 14:00 UTC
+            (2, "f", "b", "t", "d", "2024-01-01T12:00:00+00:00")]   # 12:00 UTC
+    e = spark.createDataFrame(rows, "entry_id long, feed_url string, link string, title string, "
+                                    "description string, published string")
+    d = dated_entries(e).withColumn("seq", e["entry_id"])
+    assert [r.link for r in articles_by_date(d).collect()] == ["b", "a"]               # by instant
+    assert [r.link for r in articles_by_date(d, compat=True).collect()] == ["a", "b"]  # by string

@@ -28,9 +28,11 @@ def page_content(pages: DataFrame, html_col: str = "html", keep=("url",)) -> Dat
 def page_facts(pages: DataFrame) -> DataFrame:
     """(url, has_content, overview, first_p, has_summary, summary_text,
     explainer_href) per distinct URL.  Only URL and small strings leave the
-    map side; duplicate URLs resolve to one page (smallest html hash), with
+    map side; duplicate URLs resolve to one page (smallest MD5 of the html), with
     partial aggregation before the shuffle."""
-    facts = pages.select("url", F.xxhash64("html").alias("_h"), container_facts(F.col("html")).alias("f"))
+    # Pages claiming the same URL: the one with the smallest MD5 of its HTML
+    # wins (a short key; the HTML itself never enters the aggregation).
+    facts = pages.select("url", F.md5("html").alias("_h"), container_facts(F.col("html")).alias("f"))
     one = facts.groupBy("url").agg(F.min_by("f", "_h").alias("f"))
     return one.select(
         "url",

@@ -359,6 +359,32 @@ def mark_posted(spark, d):
 
 # ============================================================ bills
 
+PAGES_RICH_SQL = """
+SELECT page_id, url,
+ replace(replace(html, '<head>', CASE page_id % 3
+   WHEN 0 THEN '<head><meta name="description" content="page ' || page_id || '">'
+   WHEN 1 THEN '<head><meta property="og:description" content="og ' || page_id || '">'
+   ELSE '<head>' END),
+ '<article>', '<header><p>Header words that must be dropped here ' || page_id || '</p></header>'
+   || '<div id="content"><p>Overview of page ' || page_id || '</p>'
+   || '<div id="libraryofcongress"><p>Part one ' || page_id || '</p><p>Part two</p></div>'
+   || '<div id="vote_explainer"><a href="/explain/' || page_id || '">why</a></div></div><article>') AS html
+FROM pages"""
+BILL_EXTRA = {
+    "pages_rich_v": (PAGES_RICH_SQL, ()),
+    # the summary page of each cleaned URL: smallest MD5 of its HTML wins
+    "sum_pick_v": (f"SELECT cu || '/summary' AS url, arg_min(page_id, md5(html)) AS sum_pid FROM "
+                   f"(SELECT page_id, {s.clean_url('url')} AS cu, html FROM pages_rich_v) GROUP BY ALL", ("pages_rich_v",)),
+    "bills_sv": (f"SELECT b.*, sp.sum_pid FROM bills_v b LEFT JOIN sum_pick_v sp ON sp.url = {s.clean_url('b.link')} || '/summary'",
+                 ("bills_v", "sum_pick_v")),
+}
+
+
+def bills_with(*views):
+    return duck_with(*views, extra=BILL_EXTRA)
+
+
+
 def _bills(spark, d, only_enabled=False):
     return B.bill_articles(fx.bill_items(spark, d), fx.bill_pages(spark, d), B.feed_catalog(spark),
                            only_enabled=only_enabled)
@@ -366,19 +392,19 @@ def _bills(spark, d, only_enabled=False):
 
 OVERVIEW_SQL = ("CASE WHEN type = 'Votes' THEN CASE WHEN page_id IS NOT NULL THEN 'Explainer ' || page_id ELSE '' END "
                 "WHEN page_id IS NOT NULL THEN 'Overview of page ' || page_id ELSE '' END")
-SUMMARY_SQL = ("CASE WHEN type = 'Activity' AND page_id IS NOT NULL THEN 'Part one ' || page_id || ' Part two' ELSE '' END")
+SUMMARY_SQL = ("CASE WHEN type = 'Activity' AND sum_pid IS NOT NULL THEN 'Part one ' || sum_pid || ' Part two' ELSE '' END")
 BILL_ROW_SQL = (
     f"SELECT seq, title AS bill_title, link AS bill_link, description AS bill_description, {OVERVIEW_SQL} AS bill_overview, "
     f"{s.clean_url('link')} || '/text' AS bill_text, {SUMMARY_SQL} AS bill_summary, "
     f"strftime(wall_ts, '%Y-%m-%d %H:%M:%S') AS pub_date, FALSE AS posted, type, "
     f"CASE WHEN type = 'Votes' THEN nullif({s.vote_result('description')}, '') END AS vote_result, "
     f"CASE WHEN type = 'Activity' THEN nullif({s.last_action('description')}, '') END AS last_action, "
-    f"CASE WHEN type = 'Activity' THEN nullif({s.next_step('description')}, '') END AS next_step FROM bills_v")
+    f"CASE WHEN type = 'Activity' THEN nullif({s.next_step('description')}, '') END AS next_step FROM bills_sv")
 BILL_COLS = ["seq", "bill_title", "bill_link", "bill_description", "bill_overview", "bill_text", "bill_summary",
              "pub_date", "posted", "type", "vote_result", "last_action", "next_step"]
 
 
-@register("to_bill_articles", duck_with("bills_v") + BILL_ROW_SQL)
+@register("to_bill_articles", bills_with("bills_sv") + BILL_ROW_SQL)
 def to_bill_articles(spark, d):
     return _bills(spark, d).select(*BILL_COLS)
 
@@ -399,8 +425,8 @@ def bills_with_overview(spark, d):
     return _bills(spark, d).filter("type <> 'Votes'").select("seq", "bill_overview")
 
 
-@register("bills_with_summary", duck_with("bills_v") +
-          f"SELECT seq, {SUMMARY_SQL} AS bill_summary FROM bills_v WHERE type = 'Activity'")
+@register("bills_with_summary", bills_with("bills_sv") +
+          f"SELECT seq, {SUMMARY_SQL} AS bill_summary FROM bills_sv WHERE type = 'Activity'")
 def bills_with_summary(spark, d):
     return _bills(spark, d).filter("type = 'Activity'").select("seq", "bill_summary")
 
@@ -411,13 +437,13 @@ def votes_with_explainer(spark, d):
     return _bills(spark, d).filter("type = 'Votes'").select("seq", "bill_overview")
 
 
-@register("bill_typed_columns", duck_with("bills_v") +
+@register("bill_typed_columns", bills_with("bills_sv") +
           f"SELECT seq, type, vote_result, last_action, next_step FROM ({BILL_ROW_SQL})")
 def bill_typed_columns(spark, d):
     return _bills(spark, d).select("seq", "type", "vote_result", "last_action", "next_step")
 
 
-@register("union_feeds", duck_with("bills_v") +
+@register("union_feeds", bills_with("bills_sv") +
           f"SELECT seq, type, bill_link, vote_result, last_action, next_step FROM ({BILL_ROW_SQL})")
 def union_feeds(spark, d):
     return B.union_feeds(_bills(spark, d)).select("seq", "type", "bill_link", "vote_result", "last_action", "next_step")
@@ -429,7 +455,7 @@ def bills_newest_first(spark, d):
     return B.bills_newest_first(_bills(spark, d, only_enabled=True)).select("seq", "pub_date")
 
 
-@register("bill_to_article", duck_with("bills_v") +
+@register("bill_to_article", bills_with("bills_sv") +
           f"SELECT seq, 'politics' AS community, type AS blog_name, bill_link AS url, bill_title AS title, "
           f"bill_description AS description, pub_date AS date_published, posted FROM ({BILL_ROW_SQL})")
 def bill_to_article(spark, d):
@@ -467,17 +493,6 @@ def derived_urls(spark, d):
 
 # ============================================================ pages
 
-PAGES_RICH_SQL = """
-SELECT page_id, url,
- replace(replace(html, '<head>', CASE page_id % 3
-   WHEN 0 THEN '<head><meta name="description" content="page ' || page_id || '">'
-   WHEN 1 THEN '<head><meta property="og:description" content="og ' || page_id || '">'
-   ELSE '<head>' END),
- '<article>', '<header><p>Header words that must be dropped here ' || page_id || '</p></header>'
-   || '<div id="content"><p>Overview of page ' || page_id || '</p>'
-   || '<div id="libraryofcongress"><p>Part one ' || page_id || '</p><p>Part two</p></div>'
-   || '<div id="vote_explainer"><a href="/explain/' || page_id || '">why</a></div></div><article>') AS html
-FROM pages"""
 PAGES_EXTRA = {"pages_rich_v": (PAGES_RICH_SQL, ()),
                "body_v": (f"SELECT page_id, {s.drop_boilerplate('html')} AS body FROM pages_rich_v", ("pages_rich_v",)),
                "pc_v": (f"SELECT page_id, title, {s.kept_paragraphs(s.paragraphs('body'), 'title')} AS kept, "

@@ -28,8 +28,9 @@ def strip_tags(x):
 
 
 def unescape(x):
-    return (f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), "
-            f"'&quot;', '\"'), '&#39;', ''''), '&amp;', '&')")
+    # '&amp' without its ';' is decoded too (an HTML5 legacy name): '&amp;?'.
+    return (f"regexp_replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), "
+            f"'&quot;', '\"'), '&#39;', ''''), '&amp;?', '&', 'g')")
 
 
 def clean_desc(x):

@@ -101,9 +101,13 @@ def append_articles(existing: DataFrame, new: DataFrame) -> DataFrame:
     largest stored one (a scalar subquery, not a driver round trip), offset
     by their read-time id, so stored order breaks date ties as the reference
     does: existing rows first, then new rows in feed order."""
+    return existing.unionByName(number_new(existing, new))
+
+
+def number_new(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """New article rows in the stored schema, ``seq`` after the stored ones."""
     base = existing.select(F.coalesce(F.max("seq"), F.lit(-1)).alias("m")).scalar()
-    new_rows = new.withColumn("seq", base + F.lit(1) + F.col("entry_id")).drop("entry_id")
-    return existing.unionByName(new_rows.select(*existing.columns))
+    return new.withColumn("seq", base + F.lit(1) + F.col("entry_id")).select(*existing.columns)
 
 
 # O1
@@ -129,6 +133,7 @@ def advance_tracker(tracker: DataFrame, run_date: str) -> DataFrame:
 class CollectResult:
     articles: DataFrame      # the new article table, stored order
     new_articles: DataFrame  # rows added by this run
+    new_rows: DataFrame      # the same rows in the stored schema, with seq
     late: DataFrame          # per-blog count of entries behind the watermark
     rejects: DataFrame       # entries whose date did not parse
     tracker: DataFrame       # tracker with the advanced date
@@ -156,6 +161,7 @@ def collect_batch(tracker: DataFrame, entries: DataFrame, existing: DataFrame,
     return CollectResult(
         articles=articles,
         new_articles=new.drop("entry_id"),
+        new_rows=number_new(existing, new),
         late=late_entries(dated),
         rejects=rejects(dated),
         tracker=advance_tracker(tracker, run_date),

@@ -51,6 +51,51 @@ def collect_job(spark, tracker_path, entries: DataFrame, articles_path, out_root
     return {"articles": art, "tracker": trk}
 
 
+# ---- append-only mode -------------------------------------------------------
+# The default jobs rewrite the whole article table each run, as the reference
+# rewrites its file.  At scale that is a full rewrite (and, for the stored
+# order, a full sort) per run.  In append-only mode nothing written is ever
+# rewritten: new articles are appended as new files (each file sorted in
+# stored order, partitioned by community), and the outbox is the record of
+# what was posted.  "posted" is derived: the stored flag OR an outbox row for
+# that seq.
+
+
+def collect_append(spark, tracker_path, entries: DataFrame, articles_root, run_date,
+                   compat=False, dedupe=False, tracker_multi_line=False, tracker_out=None):
+    ensure_utc(spark)
+    tracker = readers.read_tracker(spark, tracker_path, multi_line=tracker_multi_line)
+    existing = readers.read_articles(spark, articles_root)
+    r = C.collect_batch(tracker, entries, existing, run_date, compat=compat, dedupe=dedupe)
+    (r.new_rows.repartition("community").sortWithinPartitions("published_at", "seq")
+        .write.mode("append").partitionBy("community").parquet(articles_root))
+    trk = sinks.write_tracker(r.tracker, tracker_out or f"{articles_root}/../tracker")
+    return {"articles": articles_root, "tracker": trk}
+
+
+def queue_state(spark, articles_root, outbox_root) -> DataFrame:
+    """Articles with ``posted`` derived from the outbox (append-only mode)."""
+    articles = readers.read_articles(spark, articles_root)
+    try:
+        sent = spark.read.parquet(outbox_root).select(F.col("seq").alias("_sent")).distinct()
+    except Exception:  # no outbox yet
+        return articles
+    from feedspark.operators.strategy import broadcast_if_small
+    sent = broadcast_if_small(sent)
+    return (articles.join(sent, articles["seq"] == sent["_sent"], "left")
+            .withColumn("posted", F.coalesce(F.col("posted"), F.lit(False)) | F.col("_sent").isNotNull())
+            .drop("_sent"))
+
+
+def post_append(spark, articles_root, outbox_root, n=1, footers=None):
+    """Pick and render the next articles; append them to the outbox only."""
+    ensure_utc(spark)
+    state = queue_state(spark, articles_root, outbox_root)
+    picked = Q.next_to_post(state, n=n)
+    sinks.write_outbox(Q.render_posts(picked, footers=footers), outbox_root)
+    return {"outbox": outbox_root}
+
+
 def post_job(spark, articles_path, outbox_root, out_root, n=1, footers=None):
     ensure_utc(spark)
     articles = readers.read_articles(spark, articles_path)
@@ -98,11 +143,18 @@ def main(argv=None):
     ap.add_argument("--n", type=int, default=1), ap.add_argument("--compat", action="store_true")
     ap.add_argument("--dedupe", action="store_true")
     ap.add_argument("--tracker-multiline", action="store_true")
+    ap.add_argument("--append-only", action="store_true",
+                    help="append new articles / outbox rows; never rewrite the article table")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"feedspark-{a.job}").getOrCreate()
-    if a.job == "collect":
+    if a.job == "collect" and a.append_only:
+        res = collect_append(spark, a.tracker, _entries_from_feeds(spark, a.feeds), a.articles, a.run_date,
+                             a.compat, a.dedupe, a.tracker_multiline, tracker_out=f"{a.out}/tracker")
+    elif a.job == "collect":
         res = collect_job(spark, a.tracker, _entries_from_feeds(spark, a.feeds), a.articles, a.out,
                           a.run_date, a.compat, a.dedupe, tracker_multi_line=a.tracker_multiline)
+    elif a.job == "post" and a.append_only:
+        res = post_append(spark, a.articles, a.outbox, a.n)
     elif a.job == "post":
         res = post_job(spark, a.articles, a.outbox, a.out, a.n)
     elif a.job == "summarize":

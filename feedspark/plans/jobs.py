@@ -33,7 +33,8 @@ def _entries_from_feeds(spark: SparkSession, feeds_path: str, feed_of_file: Data
     e = items.select("entry_id", F.col("source_file").alias("file"), "link", "title", "description",
                      F.col("pubDate").alias("published"))
     if feed_of_file is not None:
-        return e.join(F.broadcast(feed_of_file), "file").drop("file")
+        from feedspark.operators.strategy import broadcast_if_small
+        return e.join(broadcast_if_small(feed_of_file), "file").drop("file")
     return e.withColumnRenamed("file", "feed_url")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark.operators.collect import dated_entries, entries_with_feed, explode_feeds, to_articles
+from feedspark.schemas import FEED_ITEM
 from feedspark.session import scratch_path
 
 ENTRY_COLUMNS = ["entry_id", "feed_url", "link", "title", "description", "published"]
@@ -35,15 +36,35 @@ def article_stream(entries_stream: DataFrame, tracker: DataFrame, compat: bool =
     return arts
 
 
+def rss_entry_stream(spark: SparkSession, landing: str, feed_of_file: DataFrame | None = None) -> DataFrame:
+    """Feed entries streamed straight from RSS files arriving in ``landing``
+    (Spark's XML source, one row per ``<item>``).  The feed URL is the file
+    path unless a (file, feed_url) map is given; the entry id is a hash of
+    file, link and date (streams cannot number rows)."""
+    items = (spark.readStream.format("xml").option("rowTag", "item")
+             .option("ignoreSurroundingSpaces", "false").schema(FEED_ITEM).load(landing))
+    path = F.col("_metadata.file_path")
+    e = items.select(
+        F.xxhash64(path, F.col("link"), F.col("pubDate")).alias("entry_id"),
+        F.element_at(F.split(path, "/"), -1).alias("file"), path.alias("path"),
+        "link", "title", "description", F.col("pubDate").alias("published"))
+    if feed_of_file is not None:
+        return e.join(F.broadcast(feed_of_file), "file").drop("file", "path")
+    return e.withColumnRenamed("path", "feed_url").drop("file")
+
+
 def start_collect_stream(spark: SparkSession, landing: str, schema, tracker: DataFrame,
                          sink: str, checkpoint: str, compat: bool = False,
                          dedupe_delay: str | None = None, available_now: bool = True,
                          fmt: str = "parquet", options: dict | None = None):
     """Start the collector over files arriving in ``landing``."""
-    reader = spark.readStream.format(fmt).schema(schema)
-    for k, v in (options or {}).items():
-        reader = reader.option(k, v)
-    stream = reader.load(landing)
+    if fmt == "rss":
+        stream = rss_entry_stream(spark, landing, (options or {}).get("feed_of_file"))
+    else:
+        reader = spark.readStream.format(fmt).schema(schema)
+        for k, v in (options or {}).items():
+            reader = reader.option(k, v)
+        stream = reader.load(landing)
     arts = article_stream(stream, tracker, compat, dedupe_delay)
     writer = (arts.writeStream.format("parquet").option("checkpointLocation", checkpoint)
               .outputMode("append"))

@@ -79,3 +79,27 @@ def test_stream_dedupe_within_watermark(spark):
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/sink")
     assert out.count() == out.select("blog_name", "url").distinct().count() == entries.count()
+
+
+def test_rss_file_stream(spark):
+    """RSS files -> stream -> articles, with a (file, feed_url) map that is
+    a handful of configuration rows."""
+    import tempfile as tf
+    from feedspark.streaming.collect_stream import start_collect_stream
+    root = tf.mkdtemp(prefix="rss-stream-")
+    os.makedirs(f"{root}/landing")
+    for i in range(2):
+        with open(f"{root}/landing/feed{i}.xml", "w") as f:
+            f.write(RSS.replace("https://a/", f"https://a{i}/"))
+    feeds = spark.createDataFrame([("feed0.xml", "u0"), ("feed1.xml", "u1")], "file string, feed_url string")
+    tracker = spark.createDataFrame([("dnd", "2024-01-01", [("b0", "u0"), ("b1", "u1")])],
+                                    "community string, last_fetched string, "
+                                    "blogs array<struct<blog_name:string,rss_url:string>>")
+    q = start_collect_stream(spark, f"{root}/landing", None, tracker, f"{root}/sink", f"{root}/ckpt",
+                             fmt="rss", options={"feed_of_file": feeds})
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/sink")
+    # two dated items per file; the undated one has an empty token (F1)
+    assert out.count() == 4
+    assert {r.blog_name for r in out.collect()} == {"b0", "b1"}
+    assert "One & only" in {r.title for r in out.collect()}

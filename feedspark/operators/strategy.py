@@ -9,9 +9,22 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       materialize: bool = True) -> DataFrame:
     """Broadcast ``df`` only after counting it: above ``max_rows`` the join
-    falls back to the planner's choice (sort-merge with AQE)."""
+    falls back to the planner's choice (sort-merge with AQE).
+
+    With ``materialize`` the side is first checkpointed to the shared
+    checkpoint folder, so that the count and the join read the same rows
+    once (no second pass over, say, the article table it was picked from)
+    and a lost executor does not force recomputing its lineage."""
+    if materialize:
+        from feedspark.session import checkpoint_root
+        try:
+            checkpoint_root(df.sparkSession)
+            df = df.checkpoint(eager=True)
+        except Exception:  # no checkpoint support in this session: recompute
+            pass
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 

@@ -64,6 +64,28 @@ def read_articles(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return reader.format(fmt).load(path)
 
 
+# Article files as the reference stores them: one JSON array of objects with
+# blog_name, url, title, description, date_published (ISO) and posted.
+STORED_ARTICLE = "blog_name string, url string, title string, description string, " \
+                 "date_published string, posted boolean"
+
+
+def import_article_file(spark: SparkSession, path: str, community: str) -> DataFrame:
+    """Read an article file in the reference's format into the ARTICLE
+    schema.  The array order is the stored order, so ``seq`` is the row's
+    position in its file (one file is one task; ids increase in file order);
+    ``published_at`` is parsed from the ISO string."""
+    from feedspark.functions.dates import parse_published
+
+    df = spark.read.schema(STORED_ARTICLE).option("multiLine", True).json(path)
+    p = parse_published(F.col("date_published"))
+    return df.select(
+        F.monotonically_increasing_id().alias("seq"), F.lit(community).alias("community"),
+        "blog_name", "url", "title", F.coalesce(F.col("description"), F.lit("")).alias("description"),
+        "date_published", p["published_at"].alias("published_at"),
+        F.coalesce(F.col("posted"), F.lit(False)).alias("posted"))
+
+
 # S4
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("url", "html")

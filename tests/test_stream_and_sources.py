@@ -103,3 +103,21 @@ def test_rss_file_stream(spark):
     assert out.count() == 4
     assert {r.blog_name for r in out.collect()} == {"b0", "b1"}
     assert "One & only" in {r.title for r in out.collect()}
+
+
+def test_import_article_file(spark):
+    import json
+    import tempfile as tf
+    rows = [{"blog_name": "b", "url": f"u{i}", "title": f"t{i}", "description": "d",
+             "date_published": f"2024-01-0{i + 1}T10:00:00+00:00", "posted": i == 0} for i in range(3)]
+    rows.append({"blog_name": "b", "url": "u3", "title": "t3", "date_published": "2024-01-01T09:00:00-05:00",
+                 "posted": False})
+    d = tf.mkdtemp(prefix="imp-")
+    with open(f"{d}/details.json", "w") as f:
+        json.dump(rows, f, indent=4)
+    from feedspark.operators.queue import next_to_post
+    a = readers.import_article_file(spark, f"{d}/details.json", "dnd")
+    got = a.orderBy("seq").collect()
+    assert [r.url for r in got] == ["u0", "u1", "u2", "u3"] and got[3].description == ""
+    # 09:00-05:00 is 14:00 UTC on Jan 1: after u0 (posted) and before u1
+    assert [r.url for r in next_to_post(a, n=2).orderBy("queue_pos").collect()] == ["u3", "u1"]

@@ -22,21 +22,20 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared storage).  Only
-    when it is unset, as in local tests, fall back to a fresh scratch folder.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared storage), or from
+    the context if a checkpoint folder was set there.  Only a local-mode
+    session (tests) without either gets a fresh scratch folder; on a cluster a
+    machine-local folder would lose rows, so an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        try:
-            root = spark.sparkContext.getCheckpointDir()
-        except Exception:  # no SparkContext on the client (Spark Connect)
-            root = None
+        root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="feedspark-ckpt-")
-        try:
-            spark.sparkContext.setCheckpointDir(root)
-        except Exception:
-            pass
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 

@@ -117,26 +117,44 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, stops, np.searchsorted(offs, starts, "right") - 1
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, 0x9E3779B97F4A7C15 | 1, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_BASE = 0x9E3779B97F4A7C15
+_WINDOW = CHUNK_BYTES
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(_WINDOW + 1, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span (spans are in order, not empty)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lens = stops - starts
-    first = np.cumsum(lens) - lens
-    gap = np.repeat(starts - first, lens)
-    at = np.arange(len(gap))
-    values = data[at + gap].astype(np.uint64)
-    at -= np.repeat(first, lens)
-    values += np.uint64(1)
-    values *= _powers(max(64, 1 << int(lens.max()).bit_length()))[at]
-    return mix64(np.add.reduceat(values, first) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of the bytes of each span (spans are in order, not empty):
+    a polynomial in the bytes, read off running sums over a window."""
+    out, lens = np.empty(len(starts), np.uint64), (stops - starts).astype(np.uint64)
+    up, down = _powers()
+    lo = 0
+    while lo < len(starts):
+        at = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(stops, at + _WINDOW, "right")))
+        if stops[lo] - at > _WINDOW:  # one very long span, in pieces
+            own = 0
+            for k in range(int(at), int(stops[lo]), _WINDOW):
+                part = data[k:min(k + _WINDOW, stops[lo])].astype(np.uint64) + np.uint64(1)
+                own += int((part * up[:len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k - int(at), 1 << 64)
+            out[lo] = own % (1 << 64)
+        else:
+            sums = np.zeros(stops[hi - 1] - at + 1, np.uint64)
+            np.add(data[at:stops[hi - 1]], np.uint64(1), out=sums[1:], dtype=np.uint64)
+            sums[1:] *= up[:len(sums) - 1]
+            np.cumsum(sums, out=sums)
+            out[lo:hi] = (sums[stops[lo:hi] - at] - sums[starts[lo:hi] - at]) * down[starts[lo:hi] - at]
+        lo = hi
+    return mix64(out + lens * np.uint64(0xD6E8FEB86659FD93))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

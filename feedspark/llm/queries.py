@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedspark.llm.common import table
 from feedspark.llm.near_dup import NearDupParams, near_duplicates
+from feedspark.llm.packing import PackParams, pack
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), params=PackParams(length=2048))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pack": op4_pack,
     "op8_near_dup": op8_near_dup,
 }
 ORACLES: dict[str, str] = {}

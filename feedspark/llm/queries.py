@@ -5,12 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedspark.llm.common import table
+from feedspark.llm.common import crc32_mod3, table
+from feedspark.llm.language import LanguageParams, identify, learn
 from feedspark.llm.near_dup import NearDupParams, near_duplicates
 from feedspark.llm.packing import PackParams, pack
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net, langs = learn(docs.where(crc32_mod3(F.col("doc_id")) != 1), "doc_id", "text", "lang", LanguageParams())
+    held_out = F.coalesce(crc32_mod3(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+    return identify(docs.select("doc_id", held_out, "text"), net, langs).drop("text")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), params=PackParams(length=2048))
 
@@ -20,6 +29,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language": op3_language,
     "op4_pack": op4_pack,
     "op8_near_dup": op8_near_dup,
 }

@@ -11,6 +11,8 @@ from feedspark.llm.common import crc32_mod3, table
 from feedspark.llm.language import LanguageParams, identify, learn
 from feedspark.llm.near_dup import NearDupParams, near_duplicates
 from feedspark.llm.packing import PackParams, pack
+from feedspark.llm.toxicity import ToxicityParams, score_column
+from feedspark.llm.toxicity import learn as learn_toxicity
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,14 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), params=PackParams(length=2048))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own, p = crc32_mod3(F.col("doc_id")), ToxicityParams()
+    model = learn_toxicity(docs.where(own != 1), table(spark, sf_dir, "labels").where(own != 1), params=p)
+    return (docs.select("doc_id", F.coalesce(own == 1, F.lit(False)).alias("held_out"), score_column(model, "text", p).alias("score"))
+            .withColumn("predicted", (F.col("score") >= p.threshold).cast("int")))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), params=NearDupParams(percent=85))
 
@@ -31,6 +41,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_pack": op4_pack,
+    "op5_toxicity": op5_toxicity,
     "op8_near_dup": op8_near_dup,
 }
 ORACLES: dict[str, str] = {}

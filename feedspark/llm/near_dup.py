@@ -14,13 +14,14 @@ any size is never expanded into all pairs:
    signatures agree well enough are confirmed, and the links give components;
 2. only buckets that still hold several components are looked at again, in
    tiles of bounded size spread over tasks: signatures are compared as
-   matrices, and only pairs of different components that may reach the
-   threshold leave the task, to be confirmed.
+   matrices, and pairs of different components that may reach the threshold
+   are confirmed on their sets there; only links that join components leave
+   the task.
 
 So no link between different components is lost in a bucket, however large.
 With 24 bands of 4, a pair at 0.85 shares no band with probability 2e-8; the
-signature filter (at least 60 of 96 coordinates) fails such a pair with
-about 1e-8.
+signature filter (at least 64 of 96 coordinates) fails such a pair with
+about 5e-7.
 
 Defined results: null or empty text, or none but white space: empty set, own
 component.  Repeated rows are one node.  A null id links nothing: component
@@ -50,7 +51,7 @@ class NearDupParams:
     bands: int = 24
     rows: int = 4
     #: Coordinates that must agree (in their low 8 bits) before sets are compared.
-    agree: int = 60
+    agree: int = 64
     #: Members on a side of a tile when a bucket's components are compared.
     tile: int = 1024
 
@@ -193,12 +194,16 @@ def _size_fits(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame, p: NearDupParams, name: str) -> DataFrame:
+    """(id, shingles): the full sets of the given ids."""
+    wanted = texts.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return materialize(wanted.select("id", "text").mapInArrow(_sets(p), "id long, shingles binary"), f"{name}-sets")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, p: NearDupParams, name: str) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets."""
     pairs = materialize(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(wanted.select("id", "text").mapInArrow(_sets(p), "id long, shingles binary"), f"{name}-sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, p, name)
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(a, "a").join(b, "b")
@@ -208,28 +213,45 @@ def _confirm(pairs: DataFrame, texts: DataFrame, p: NearDupParams, name: str) ->
                        .select("a", "b"), f"{name}-links")
 
 
-TILE_PAIRS = "a long, b long"
+TILE_LINKS = "a long, b long"
 
 
 def _tiles(p: NearDupParams):
-    """Rows arrive sorted by (key, i, j); a tile's members are compared as
-    matrices, and pairs of different components that may link come out."""
-    def compare(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = t[t["side"] != 1]
-        cols = t[t["side"] != 0]
-        out_a, out_b = [], []
-        s = {k: np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1) for k, x in (("r", rows), ("c", cols))}
-        rid, cid, rc, cc = rows["id"].to_numpy(), cols["id"].to_numpy(), rows["comp"].to_numpy(), cols["comp"].to_numpy()
-        rn, cn = rows["n"].to_numpy(), cols["n"].to_numpy()
-        for k in range(len(rows)):
-            small, large = np.minimum(cn, rn[k]), np.maximum(cn, rn[k])
-            fit = np.flatnonzero((cc != rc[k]) & (cid > rid[k] if t["same"].iat[0] else True) & (small * 100 >= large * p.percent))
-            if len(fit):
-                fit = fit[(s["c"][fit] == s["r"][k]).sum(axis=1) >= p.agree]
-                out_a.append(np.minimum(cid[fit], rid[k]))
-                out_b.append(np.maximum(cid[fit], rid[k]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+    """Rows arrive sorted by (key, i, j).  A tile's members are compared as
+    matrices of signatures and confirmed on their sets; a pair is looked at in
+    the first band that it shares only, and only while its components are not
+    joined yet, so no more links leave a tile than it has members."""
+    def compare(t: pd.DataFrame) -> tuple[list[int], list[int]]:
+        same, band = bool(t["same"].iat[0]), int(t["band"].iat[0])
+        ids, n = t["id"].to_numpy(), t["n"].to_numpy()
+        sig = np.frombuffer(b"".join(t["sig"]), np.uint8).reshape(len(t), -1)
+        own = np.ascontiguousarray(sig).view(np.uint32) if p.rows == 4 else None
+        roots = np.unique(t["comp"].to_numpy(), return_inverse=True)[1]
+        sets = [np.frombuffer(x, np.uint64) for x in t["shingles"]]
+        side = t["side"].to_numpy()
+        columns = np.flatnonzero(side != 0)
+        links: tuple[list[int], list[int]] = [], []
+        for k in np.flatnonzero(side != 1).tolist():
+            fit = columns[ids[columns] > ids[k]] if same else columns
+            fit = fit[roots[fit] != roots[k]]
+            fit = fit[np.minimum(n[fit], n[k]) * 100 >= np.maximum(n[fit], n[k]) * p.percent]
+            if not len(fit):
+                continue
+            agree = (sig[fit] == sig[k]).sum(axis=1)
+            keep = agree >= p.agree
+            if own is not None:
+                keep &= (own[fit] == own[k]).argmax(axis=1) == band
+            fit = fit[keep][np.argsort(-agree[keep], kind="stable")]
+            for other in fit.tolist():
+                if roots[other] == roots[k]:
+                    continue
+                both = np.sort(np.concatenate([sets[k], sets[other]]))
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if common * 100 >= (n[k] + n[other] - common) * p.percent:
+                    links[0].append(int(ids[k]))
+                    links[1].append(int(ids[other]))
+                    roots[roots == roots[other]] = roots[k]
+        return links
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -241,15 +263,12 @@ def _tiles(p: NearDupParams):
             key = frame[["key", "i", "j"]].to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             bounds = [0, *cuts.tolist()]
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                a, b = compare(frame.iloc[lo:hi])
-                if len(a):
-                    yield pd.DataFrame({"a": a, "b": b})
+            found = [compare(frame.iloc[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])]
+            yield pd.DataFrame({"a": [x for f in found for x in f[0]], "b": [x for f in found for x in f[1]]}, dtype="int64")
             rest = frame.iloc[bounds[-1]:]
         if rest is not None and len(rest):
             a, b = compare(rest)
-            if len(a):
-                yield pd.DataFrame({"a": a, "b": b})
+            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     return run
 
@@ -293,7 +312,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sketch.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n")
         .agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nd-reps")
 
-    banded = reps.select(F.explode("bands").alias("key"), "id")
+    banded = reps.select(F.posexplode("bands").alias("band", "key"), "id")
     buckets = materialize(banded.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("members"))
                           .where("members > 1"), "nd-buckets")
     in_bucket = materialize(banded.join(buckets, "key"), "nd-members")
@@ -306,19 +325,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = materialize(components(links), "nd-comp")
 
     placed = (in_bucket.where("members > 2").join(first, "id", "left")
-              .select("key", "id", F.coalesce("comp", "id").alias("comp")))
+              .select("key", "band", "id", F.coalesce("comp", "id").alias("comp")))
     open_keys = (placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
                  .where("lo <> hi").select("key", F.ceil(F.col("m") / p.tile).cast("int").alias("parts")))
-    sides = (placed.join(open_keys, "key").join(facts, "id")
-             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-             .select("key", "id", "comp", "n", "sig", "own",
-                     F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", "n", "sig",
-                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-                     (F.col("own") == F.col("other")).alias("same")))
-    more = (sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInPandas(_tiles(p), TILE_PAIRS).distinct().join(likely.select("a", "b"), ["a", "b"], "left_anti"))
-    links2 = _confirm(more, texts, p, "nd-2")
+    sides = materialize(
+        placed.join(open_keys, "key").join(facts, "id")
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .select("key", "band", "id", "comp", "n", "sig", "own",
+                F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", "n", "sig",
+                F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+                (F.col("own") == F.col("other")).alias("same")), "nd-sides")
+    sets = _sets_of(sides.select("id"), texts, p, "nd-2")
+    links2 = materialize(
+        sides.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        .mapInPandas(_tiles(p), TILE_LINKS).distinct(), "nd-2-links")
     if links2.isEmpty():
         return _named(sketch, reps, first.select(F.col("id").alias("rep"), F.col("comp").alias("root")))
     named = first.select(F.col("id").alias("x"), "comp")

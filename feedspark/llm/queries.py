@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from feedspark.llm.common import crc32_mod3, table
 from feedspark.llm.language import LanguageParams, identify, learn
+from feedspark.llm.mixing import MixParams, digest, mix
 from feedspark.llm.near_dup import NearDupParams, near_duplicates
 from feedspark.llm.packing import PackParams, pack
 from feedspark.llm.toxicity import ToxicityParams, score_column
 from feedspark.llm.toxicity import learn as learn_toxicity
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(mix(table(spark, sf_dir, "documents"), params=MixParams(weights=(5, 2, 1), share=1.5, most=2.0)))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net, langs = learn(docs.where(crc32_mod3(F.col("doc_id")) != 1), "doc_id", "text", "lang", LanguageParams())
@@ -39,6 +44,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
     "op3_language": op3_language,
     "op4_pack": op4_pack,
     "op5_toxicity": op5_toxicity,

@@ -12,6 +12,7 @@ from feedspark.llm.language import LanguageParams, identify, learn
 from feedspark.llm.mixing import MixParams, digest, mix
 from feedspark.llm.near_dup import NearDupParams, near_duplicates
 from feedspark.llm.packing import PackParams, pack
+from feedspark.llm.quality import apply_rules, base_rule, default_rules, with_figures
 from feedspark.llm.toxicity import ToxicityParams, score_column
 from feedspark.llm.toxicity import learn as learn_toxicity
 
@@ -43,11 +44,50 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), params=NearDupParams(percent=85))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_figures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    found = apply_rules(docs, default_rules())
+    return found.select(*figures, base_rule().alias("base_failed"), (F.col("kept") & ~base_rule()).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_language": op3_language,
     "op4_pack": op4_pack,
     "op5_toxicity": op5_toxicity,
     "op8_near_dup": op8_near_dup,
+    "op10_quality": op10_quality,
+}
+ORACLES: dict[str, str] = {
+    "op10_quality": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), f AS (
+  SELECT doc_id, text, words, len(words)::BIGINT AS n_words,
+         length(array_to_string(words, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         len(string_split(text, chr(10))) AS all_lines
+  FROM w
+), spans AS (
+  SELECT doc_id, i, words[i:i + 4] AS five FROM (SELECT doc_id, words, unnest(range(1, n_words - 3)) AS i FROM f)
+), again AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM spans
+), covered AS (
+  SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS own FROM again WHERE c > 1
+), r AS (
+  SELECT doc_id, sum(own)::BIGINT AS n FROM covered GROUP BY doc_id
+), g AS (
+  SELECT f.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words, all_lines, text
+  FROM f LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 10 OR n_repeat_words * 100 > n_words * 20) AS base_failed,
+       NOT (n_words < 10 OR n_repeat_words * 100 > n_words * 20 OR n_symbols * 10 > word_chars
+            OR word_chars < n_words * 2 OR word_chars > n_words * 25 OR n_dup_lines * 2 > all_lines
+            OR length(regexp_replace(text, '[^\p{L}]', '', 'g')) * 2 < word_chars) AS kept
+FROM g""",
 }
-ORACLES: dict[str, str] = {}

@@ -11,6 +11,7 @@ from feedspark.llm.common import crc32_mod3, table
 from feedspark.llm.language import LanguageParams, identify, learn
 from feedspark.llm.mixing import MixParams, digest, mix
 from feedspark.llm.near_dup import NearDupParams, near_duplicates
+from feedspark.llm.neighbours import NeighbourParams, nearest
 from feedspark.llm.packing import PackParams, pack
 from feedspark.llm.quality import apply_rules, base_rule, default_rules, with_figures
 from feedspark.llm.toxicity import ToxicityParams, score_column
@@ -40,6 +41,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= p.threshold).cast("int")))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), params=NeighbourParams(k=5))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), params=NearDupParams(percent=85))
 
@@ -56,10 +62,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_pack": op4_pack,
     "op5_toxicity": op5_toxicity,
+    "op7_neighbours": op7_neighbours,
     "op8_near_dup": op8_near_dup,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
+    "op7_neighbours": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0
+    AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END), 'sum') > 0
+), n AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS len FROM v
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.len * c.len) AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op10_quality": r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words

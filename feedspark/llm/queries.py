@@ -14,6 +14,7 @@ from feedspark.llm.near_dup import NearDupParams, near_duplicates
 from feedspark.llm.neighbours import NeighbourParams, nearest
 from feedspark.llm.packing import PackParams, pack
 from feedspark.llm.quality import apply_rules, base_rule, default_rules, with_figures
+from feedspark.llm.sharding import ShardParams, assign
 from feedspark.llm.toxicity import ToxicityParams, score_column
 from feedspark.llm.toxicity import learn as learn_toxicity
 
@@ -41,6 +42,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= p.threshold).cast("int")))
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    metadata = {"id": F.col("doc_id"), "length": F.log2(F.octet_length("text") + 1), "source": F.crc32("source"), "lang": F.crc32("lang")}
+    return (assign(docs, metadata, params=ShardParams(shards=24))
+            .withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+            .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), params=NeighbourParams(k=5))
@@ -62,11 +71,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_pack": op4_pack,
     "op5_toxicity": op5_toxicity,
+    "op6_shards": op6_shards,
     "op7_neighbours": op7_neighbours,
     "op8_near_dup": op8_near_dup,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
+    "op6_shards": op6_shards,
     "op7_neighbours": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings

@@ -15,6 +15,7 @@ from feedspark.llm.neighbours import NeighbourParams, nearest
 from feedspark.llm.packing import PackParams, pack
 from feedspark.llm.quality import apply_rules, base_rule, default_rules, with_figures
 from feedspark.llm.sharding import ShardParams, assign
+from feedspark.llm.token_counts import apply_edits, build_trees, edit
 from feedspark.llm.toxicity import ToxicityParams, score_column
 from feedspark.llm.toxicity import learn as learn_toxicity
 
@@ -59,6 +60,20 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), params=NearDupParams(percent=85))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents, and three edits of each, at places that follow
+    from its id: a word is put in, a passage is cut, the beginning is repeated
+    at the end."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.length("text")
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(n, F.lit(1)))
+    edits = F.array(edit(place(1), F.lit(3), F.coalesce("source", F.lit(""))), edit(place(2), F.lit(120), F.lit("")),
+                    edit(n + 1000, F.lit(0), F.substring("text", 1, 200)))
+    done = apply_edits(build_trees(docs.select("doc_id", "text", edits.alias("edits"))))
+    return done.select("doc_id", "tokens_before", "tokens_after", F.length("text_after").cast("long").alias("chars_after"), "reencoded_chars",
+                       F.crc32("text_after").alias("text_crc32"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_figures(table(spark, sf_dir, "documents").select("doc_id", "text"))
     figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -74,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shards": op6_shards,
     "op7_neighbours": op7_neighbours,
     "op8_near_dup": op8_near_dup,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from feedspark.llm.common import crc32_mod3, table
 from feedspark.llm.language import LanguageParams, identify, learn
+from feedspark.llm.licences import oracle as licence_oracle
+from feedspark.llm.licences import scan
 from feedspark.llm.mixing import MixParams, digest, mix
 from feedspark.llm.near_dup import NearDupParams, near_duplicates
 from feedspark.llm.neighbours import NeighbourParams, nearest
@@ -24,6 +26,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(mix(table(spark, sf_dir, "documents"), params=MixParams(weights=(5, 2, 1), share=1.5, most=2.0)))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net, langs = learn(docs.where(crc32_mod3(F.col("doc_id")) != 1), "doc_id", "text", "lang", LanguageParams())
@@ -83,6 +89,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_licences": op2_licences,
     "op3_language": op3_language,
     "op4_pack": op4_pack,
     "op5_toxicity": op5_toxicity,
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
+    "op2_licences": licence_oracle(),
     "op6_shards": op6_shards,
     "op7_neighbours": """
 WITH v AS (

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from feedspark.session import scratch_path
 
 #: Bytes of text that a Python task works on at a time (a longer text is taken alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Most bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
 #: ASCII white space, the only word separators of `[^\\x20\\x09-\\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -27,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of at most ``BATCH_BYTES`` in this session, so that
+    a worker's memory does not follow the texts' length times 10,000 rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, None) or 1 << 40) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared scratch folder and read it
     back: cuts the lineage, survives lost executors, and is computed once."""

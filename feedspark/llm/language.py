@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import chunks, fresh, text_bytes
+from feedspark.llm.common import bounded_batches, chunks, fresh, text_bytes
 
 UNKNOWN = "und"
 
@@ -236,6 +236,7 @@ def identify(df: DataFrame, net: ByteGru | None, langs: list[str], text_col: str
              pred: str = "lang_pred", score: str = "score", params: LanguageParams = LanguageParams()) -> DataFrame:
     """``df`` with the predicted language and its pooled probability."""
     p = params
+    bounded_batches(df.sparkSession)
     letter = has_letter(F.col(text_col))
     if net is None:
         return df.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedspark.llm.common import fresh, materialize, mix64, prefix_sums
+from feedspark.llm.common import bounded_batches, fresh, materialize, mix64, prefix_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -247,6 +247,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents of the mix with the text that it takes of them, all
     other columns as they are.  Rows with one id (null included) count once;
     documents of which nothing is taken go."""
+    bounded_batches(df.sparkSession)
     docs = materialize(df.dropDuplicates([id_col]), "mix-input")
     m = mix(docs, id_col, text_col, source_col, params)
     own, key = fresh(docs, "_spans"), fresh(docs, "_key")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedspark.llm.common import chunks, fresh, lower_ascii, materialize, mix64, span_hashes, text_bytes, words_of
+from feedspark.llm.common import bounded_batches, chunks, fresh, lower_ascii, materialize, mix64, span_hashes, text_bytes, words_of
 
 
 @dataclass(frozen=True)
@@ -306,6 +306,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     params: NearDupParams = NearDupParams()) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept."""
     p = params
+    bounded_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = materialize(texts.mapInArrow(_sketches(p), SKETCH), "nd-sketch")
     reps = materialize(

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import materialize
+from feedspark.llm.common import bounded_batches, materialize
 
 
 @dataclass(frozen=True)
@@ -106,6 +106,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     """The k candidates of ``df`` nearest to each row of ``queries`` by cosine:
     query_id, rank, vec_id, score."""
     p = params
+    bounded_batches(df.sparkSession)
     rows = materialize(_usable(df, id_col, vector_col), "nn-rows")
     asked = materialize(_usable(queries, id_col, vector_col), "nn-queries")
     nq, nc = max(1, -(-asked.count() // p.query_block)), max(1, -(-rows.count() // p.block))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import SPACES, chunks, text_bytes, words_of
+from feedspark.llm.common import bounded_batches, SPACES, chunks, text_bytes, words_of
 from feedspark.llm.tokens import UnitEncoder, default_path, encoder
 
 
@@ -158,6 +158,7 @@ def build_trees(df: DataFrame, text_col: str = "text", tokenizer: str | None = N
                 params: CountParams = CountParams()) -> DataFrame:
     """``df`` with leaf_chars and leaf_tokens, the leaves of each text's tree.
     Column names of ``df`` must not contain these two."""
+    bounded_batches(df.sparkSession)
     path, p, at = tokenizer or default_path(), params, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +184,7 @@ def apply_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     """Apply each row's edits (array of struct start, deleted, inserted) to its
     text and tree: id, text_after, counts before and after, the characters
     that were encoded again, and the leaves of the new tree."""
+    bounded_batches(df.sparkSession)
     path = tokenizer or default_path()
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"), "leaf_chars", "leaf_tokens")
 

@@ -22,7 +22,7 @@ from feedspark.llm.common import span_hashes
 
 SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 #: Units that a worker remembers before it starts anew.
-MOST_UNITS = 1_500_000
+MOST_UNITS = 1_000_000
 #: Splits a list of units in one call to the tokenizer; '<' units go alone.
 MARK = "<|startoftext|>"
 

@@ -19,8 +19,7 @@ POST_TEMPLATES = {
     "science": ("%1$s", "%3$s"),
 }
 DEFAULT_TEMPLATE = ("%1$s", "%3$s")
-DEFAULT_FOOTER = ("I'm a bot. Post feedback, blog inclusion requests, and suggestions "
-                  "to the moderators.")
+DEFAULT_FOOTER = "Posted automatically; questions go to this community's maintainers."
 SUMMARY_POST = "{summary}\n\n[Read more]({url})"
 
 # ---- bill feeds -------------------------------------------------------------
@@ -73,3 +72,7 @@ class RankParams:
 class SummaryParams:
     chunk_size: int = 5
     max_sentences: int = 7
+    # Passed to a summarizer hook: tokens of its input, and of its summary.
+    max_input: int = 1024
+    max_length: int = 150
+    min_length: int = 50

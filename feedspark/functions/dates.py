@@ -1,10 +1,9 @@
 """Date expressions.
 
-Free-form feed dates are parsed natively: the weekday is removed (Spark
-refuses to parse ``EEE``), a numeric offset is read into its own column,
-alphabetic zone names are ignored (they resolve to UTC, as an unknown zone
-name does in the reference's parser) and the rest is tried against a list of
-patterns.  Results are TIMESTAMP instants; the original offset is kept in
+Free-form feed dates are parsed natively: weekday, time of day, numeric
+offset and zone name are taken off by patterns (zone names resolve to UTC, as
+an unknown name does in the reference's parser) and what is left must be a
+date in one of the usual orders.  Results are TIMESTAMP instants; the original offset is kept in
 minutes so that ISO strings can be written with it.  The session time zone
 must be UTC (``feedspark.session.ensure_utc``).
 """
@@ -16,28 +15,21 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.text import PY_WS, py_strip
 
-# Patterns tried in order after weekday and zone are removed.
-DATE_PATTERNS = (
-    "d MMM yyyy HH:mm:ss",
-    "d MMM yyyy HH:mm",
-    "d MMMM yyyy HH:mm:ss",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "MMM d yyyy HH:mm:ss",
-    "MMM d yyyy",
-    "MMMM d yyyy",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-)
-
-_WEEKDAY = r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?" + PY_WS + "*"
-_OFFSET = r"([+-])(\d\d):?(\d\d)$"
-_ZONE = r"(?:Z|" + PY_WS + r"+[A-Za-z]{1,5}|" + PY_WS + r"*[+-]\d\d:?\d\d)$"
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?" + PY_WS + "*"
+# A time of day with its AM/PM mark, then a numeric offset (after GMT or UTC,
+# or alone) or a zone name; a month name after a time is no zone.
+_TIME = (r"(?i)T?(?<!\d)(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d+))?)?"
+         r"(?: ?([ap])\.?m\.?(?![a-z]))?"
+         r"(?: ?(?:GMT|UTC|Z)? ?([+-])(\d{1,2})(?::?(\d\d))?(?!\d)| ?(?!" + "|".join(_MONTHS) + r")[a-z]{1,5}(?![a-z]))?")
+_COMPACT = r"^(\d{4})(\d\d)(\d\d)(?:T?(\d{4}(?:\d\d)?))?Z?$"
+# What is left without weekday and time must be one of these dates.
+_YMD = r"^(\d{4}|\d\d)[-/.](\d{1,2}|[A-Za-z]{3,9})[-/.](\d{1,2})$"
+_DAY_NAME_YEAR = r"^(\d{1,2})(?:st|nd|rd|th)?[ .-]*([A-Za-z]{3,9})[ .,-]+(\d{4}|\d\d)$"
+_NAME_DAY_YEAR = r"^([A-Za-z]{3,9})\.? *(\d{1,2})(?:st|nd|rd|th)?[ ,]+(\d{4})$"
+_DAY_FIRST = r"^(1[3-9]|[23]\d)[-/.](\d{1,2})[-/.](\d{4})$"
+_MONTH_FIRST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
+_OFFSET = r":\d\d(?:[.,]\d+)?" + PY_WS + r"*([+-])(\d\d):?(\d\d)$"
 
 
 def _c(col) -> Column:
@@ -61,30 +53,74 @@ def offset_minutes(col) -> Column:
     return F.when(sign == "-", -mins).when(sign == "+", mins).otherwise(F.lit(0))
 
 
-def _local_part(col) -> Column:
-    s = py_strip(_c(col))
-    s = F.regexp_replace(s, _WEEKDAY, "")
-    s = F.regexp_replace(s, _ZONE, "")
-    return F.regexp_replace(F.regexp_replace(s, ",", " "), " +", " ")
-
-
 def _shift(ts: Column, minutes: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) - minutes.cast("long") * F.lit(60_000_000))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _int(s: Column) -> Column:
+    return F.nullif(s, F.lit("")).try_cast("int")
+
+
+def _year_first(date: Column) -> Column:
+    """A date in one of the known orders as year-month-day (the month may be a
+    name); other strings come back as they are."""
+    for pattern, order in ((_COMPACT, "$1-$2-$3"), (_DAY_NAME_YEAR, "$3-$2-$1"), (_NAME_DAY_YEAR, "$3-$1-$2"),
+                           (_DAY_FIRST, "$3-$2-$1"), (_MONTH_FIRST, "$3-$1-$2")):
+        date = F.regexp_replace(date, pattern, order)
+    return date
+
+
+def _parts(s: Column) -> Column:
+    """The pieces of a date string: date (year first), time groups, compact time."""
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, _TIME, " "), " +", " "), r"^[ ,]+|[ ,]+$", "")
+    groups = [F.regexp_extract(s, _TIME, i).alias(f"g{i}") for i in range(9)]
+    return F.struct(_year_first(rest).alias("date"), F.regexp_extract(rest, _COMPACT, 4).alias("clock"),
+                    F.regexp_count(s, F.lit(_TIME)).alias("times"), *groups)
+
+
+def _resolve(p: Column) -> Column:
+    """struct(published_at, offset_min) of the pieces ``p``."""
+    ymd = lambda i: F.regexp_extract(p["date"], _YMD, i)
+    year, name = _int(ymd(1)), F.lower(F.substring(ymd(2), 1, 3))
+    year = F.when(F.length(ymd(1)) == 4, year).when(year < 69, year + 2000).otherwise(year + 1900)
+    at = F.instr(F.lit(" ".join(_MONTHS)), name)
+    month = F.coalesce(_int(ymd(2)), F.when((F.length(name) == 3) & (at % 4 == 1), F.floor(at / 4).cast("int") + 1))
+    timed, clock = p["g0"] != "", p["clock"]
+    hour, mark = _int(p["g1"]), F.lower(p["g5"])
+    hour = (F.when(mark == "", hour).when(hour.between(1, 12), hour % 12 + F.when(mark == "p", 12).otherwise(0)))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    hh = F.when(timed, hour).otherwise(zero(_int(F.substring(clock, 1, 2))))
+    mi = F.when(timed, _int(p["g2"])).otherwise(zero(_int(F.substring(clock, 3, 2))))
+    sec = zero(F.when(timed, _int(p["g3"])).otherwise(_int(F.substring(clock, 5, 2))))
+    micros = zero(_int(F.when(p["g4"] != "", F.rpad(F.substring(p["g4"], 1, 6), 6, "0"))))
+    fine = (hh <= 23) & (mi <= 59) & (sec <= 59) & (p["times"] <= 1)
+    wall = F.when(fine, F.try_make_timestamp(year, month, _int(ymd(3)), hh, mi, sec.cast("decimal(16,6)"), F.lit("UTC")))
+    mins = _int(p["g7"]) * 60 + zero(_int(p["g8"]))
+    off = zero(F.when(p["g6"] == "-", -mins).otherwise(mins))
+    at_utc = F.timestamp_micros(F.unix_micros(wall) + micros - off.cast("long") * F.lit(60_000_000))
+    return F.struct(at_utc.alias("published_at"), off.alias("offset_min"))
+
+
 # D2
-def parse_published(col, patterns=DATE_PATTERNS) -> Column:
+def parse_published(col) -> Column:
     """Free-form date -> struct(published_at TIMESTAMP, offset_min INT).
 
-    No zone means UTC.  Unparseable or empty input gives a null
-    ``published_at`` (the reference raises; jobs route such rows to rejects).
+    Weekday, time of day (12 or 24 hours, up to nine decimals, cut to
+    microseconds), offset and zone name are taken off by patterns; the rest
+    must be a date.  No zone, or a zone name, means UTC.  Two-digit years:
+    69-99 are 1969-1999, 00-68 are 2000-2068.  Of two leading numbers the
+    first is the month, unless it exceeds 12.  Unparseable or empty input
+    gives a null ``published_at`` (the reference raises; jobs write such rows
+    to the rejects).
     """
-    local = F.trim(_local_part(col))
-    # Parse as UTC regardless of the session zone, then move by the offset.
-    wall = F.coalesce(*[F.try_to_timestamp(F.concat(local, F.lit(" +0000")), F.lit(p + " Z"))
-                        for p in patterns])
-    off = offset_minutes(col)
-    return F.struct(_shift(wall, off).alias("published_at"), off.alias("offset_min"))
+    s = F.coalesce(py_strip(_c(col)), F.lit(""))
+    s = F.regexp_replace(F.regexp_replace(s, _WEEKDAY, ""), PY_WS + "+", " ")
+    return _let(s, lambda x: _let(_parts(x), _resolve))
 
 
 def local_wall(ts, offset_min) -> Column:

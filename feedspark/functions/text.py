@@ -132,10 +132,12 @@ def clean_url(col) -> Column:
     """scheme://netloc/path: drops params (';' in the last path segment),
     query and fragment, as urlunparse(urlparse(u)[:3] + ('', '', '')).
     Tabs and line breaks are removed and leading blanks stripped first, as
-    urlsplit does.  The scheme is not lower-cased."""
+    urlsplit does.  The scheme is lower-cased, as there."""
     u = F.regexp_replace(_c(col), r"[\t\r\n]", "")
     u = F.regexp_replace(u, r"^[\x00-\x20]+", "")
     u = F.regexp_replace(u, r"[?#].*$", "")
+    scheme = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0)
+    u = F.concat(F.lower(scheme), F.substr(u, F.length(scheme) + 1))
     no_path = u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$")
     return F.when(no_path, u).otherwise(F.regexp_replace(u, r"^(.*/[^/;]*);[^/]*$", "$1"))
 

@@ -23,6 +23,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedspark.config import SummaryParams
+
 
 @F.pandas_udf(T.StringType())
 def _unescape_udf(s: pd.Series) -> pd.Series:
@@ -210,14 +212,16 @@ def container_facts(html_col: Column) -> Column:
 
 # --- summarizer hook -------------------------------------------------------
 
-SummarizerHook = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
+SummarizerHook = Callable[..., Iterator[pd.Series]]
 
 
-def summarize_chunks(chunks: Column, hook: SummarizerHook) -> Column:
+def summarize_chunks(chunks: Column, hook: SummarizerHook, params: SummaryParams = SummaryParams()) -> Column:
     """Apply a user summarizer to every chunk of an ARRAY<STRING> column.
 
-    ``hook`` is an iterator-of-Series function (text in, summary out), so a
-    model can be loaded once per Python worker.  Chunks of all rows in an
+    ``hook(batches, max_input, max_length, min_length)`` maps an iterator of
+    Series (prompted text) to one of Series (summary), so a model can be
+    loaded once per Python worker.  Every Series must come back with as many
+    rows as it went in; anything else is an error.  Chunks of all rows in an
     Arrow batch are flattened into one Series, summarised, and folded back,
     so the article rows never need a shuffle to be re-assembled.
     """
@@ -232,13 +236,18 @@ def summarize_chunks(chunks: Column, hook: SummarizerHook) -> Column:
                 lengths.append((lens, [a is None for a in s]))
                 yield pd.Series([c for a in s if a is not None for c in a], dtype=object)
 
-        for out in hook(flat()):
+        sizes = {"max_input": params.max_input, "max_length": params.max_length, "min_length": params.min_length}
+        for out in hook(flat(), **sizes):
             lens, nulls = lengths.pop(0)
             vals = list(out)
+            if len(vals) != sum(lens):
+                raise ValueError(f"the summarizer returned {len(vals)} summaries for {sum(lens)} chunks")
             res, i = [], 0
             for n, is_null in zip(lens, nulls):
                 res.append(None if is_null else vals[i:i + n])
                 i += n
             yield pd.Series(res, dtype=object)
+        if lengths:
+            raise ValueError(f"the summarizer left {len(lengths)} batches unanswered")
 
     return _run(chunks)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from feedspark import config, schemas
 from feedspark.functions.dates import format_pub_date, format_rfc822, parse_pub_date
 from feedspark.functions.text import absolute_url, bill_activity, clean_url, derived_url, vote_result
+from feedspark.operators.collect import article_key
 from feedspark.operators.pages import page_facts
 
 
@@ -25,6 +26,11 @@ def feed_catalog(spark: SparkSession, feeds=config.BILL_FEEDS) -> DataFrame:
     return spark.createDataFrame(rows, schemas.FEED_CATALOG)
 
 
+BILL_SCHEMA = ("seq long, bill_title string, bill_link string, bill_description string, bill_overview string, bill_text string, "
+               "bill_summary string, pub_date string, published_at timestamp, posted boolean, type string, vote_result string, "
+               "last_action string, next_step string")
+
+
 # J4 (+ F8)
 def feed_type_join(items: DataFrame, catalog: DataFrame, only_enabled: bool = True) -> DataFrame:
     """Attach the feed type.  The catalog is configuration with a fixed,
@@ -58,12 +64,9 @@ def enrich(items: DataFrame, pages: DataFrame, site: str = config.BILL_SITE) ->
     and for Votes items the first paragraph of the explainer page linked
     from ``#vote_explainer``, which replaces the overview."""
     facts = page_facts(pages)
-    own = facts.select(F.col("url").alias("_u1"), F.col("has_content").alias("_c1"),
-                       F.col("overview").alias("_ov1"), F.col("explainer_href").alias("_href"))
-    summ = facts.select(F.col("url").alias("_u2"), F.col("has_summary").alias("_s2"),
-                        F.col("summary_text").alias("_sum2"))
-    expl = facts.select(F.col("url").alias("_u3"), F.col("has_content").alias("_c3"),
-                        F.col("first_p").alias("_fp3"))
+    own = facts.select(F.col("url").alias("_u1"), F.col("overview").alias("_ov1"), F.col("explainer_href").alias("_href"))
+    summ = facts.select(F.col("url").alias("_u2"), F.col("summary_text").alias("_sum2"))
+    expl = facts.select(F.col("url").alias("_u3"), F.col("first_p").alias("_fp3"))
 
     x = _prepare(items)
     x = x.join(own, _spread(x["link"]) == own["_u1"], "left")
@@ -78,8 +81,8 @@ def enrich(items: DataFrame, pages: DataFrame, site: str = config.BILL_SITE) ->
     summary = F.when(F.col("type") == "Activity", F.coalesce(F.col("_sum2"), F.lit(""))).otherwise(F.lit(""))
     return (x.withColumn("bill_overview", overview)
              .withColumn("bill_summary", summary)
-             .drop("_u1", "_c1", "_ov1", "_href", "_sum_key", "_u2", "_s2", "_sum2",
-                   "_expl_url", "_expl_key", "_u3", "_c3", "_fp3"))
+             .drop("_u1", "_ov1", "_href", "_sum_key", "_u2", "_sum2",
+                   "_expl_url", "_expl_key", "_u3", "_fp3"))
 
 
 # P3 + P5
@@ -94,6 +97,7 @@ def to_bill_articles(enriched: DataFrame) -> DataFrame:
         d.alias("bill_description"),
         "bill_overview", "bill_text", "bill_summary",
         format_pub_date(F.col("_pub.published_at"), F.col("_pub.offset_min")).alias("pub_date"),
+        F.col("_pub.published_at").alias("published_at"),
         F.lit(False).alias("posted"),
         t.alias("type"),
         F.when(t == "Votes", F.nullif(vote_result(d), F.lit(""))).alias("vote_result"),
@@ -110,14 +114,12 @@ def bill_articles(items: DataFrame, pages: DataFrame, catalog: DataFrame,
 
 # U2
 def union_feeds(bills: DataFrame) -> DataFrame:
-    """One table from per-type item sets whose optional columns differ: a
-    Votes set carries ``vote_result``, an Activity set ``last_action`` and
-    ``next_step``, a New set neither; missing columns become null."""
-    base = [c for c in bills.columns if c not in ("vote_result", "last_action", "next_step")]
-    act = bills.filter(F.col("type") == "Activity").select(*base, "last_action", "next_step")
-    votes = bills.filter(F.col("type") == "Votes").select(*base, "vote_result")
-    new = bills.filter(~F.col("type").isin("Activity", "Votes")).select(*base)
-    return act.unionByName(votes, allowMissingColumns=True).unionByName(new, allowMissingColumns=True)
+    """One table of all bill types whose optional columns differ: Votes rows
+    carry ``vote_result``, Activity rows ``last_action`` and ``next_step``;
+    elsewhere they are null.  One pass over the enriched rows."""
+    only = lambda kind, c: F.when(F.col("type") == kind, F.col(c)).alias(c)
+    optional = {"vote_result": "Votes", "last_action": "Activity", "next_step": "Activity"}
+    return bills.select(*[only(optional[c], c) if c in optional else F.col(c) for c in bills.columns])
 
 
 # O2
@@ -126,15 +128,15 @@ def bills_newest_first(bills: DataFrame) -> DataFrame:
 
 
 # P4
-def bill_to_article(bills: DataFrame, community: str = "politics") -> DataFrame:
-    """Rename bill columns to the article columns the poster reads."""
+def bill_to_article(bills: DataFrame, community: str = "politics", run: str = "") -> DataFrame:
+    """Bill rows as article rows, as the poster reads them."""
     return bills.select(
-        "seq", F.lit(community).alias("community"), F.col("type").alias("blog_name"),
+        F.lit(community).alias("community"), F.col("type").alias("blog_name"),
         F.col("bill_link").alias("url"), F.col("bill_title").alias("title"),
         F.col("bill_description").alias("description"),
-        F.col("pub_date").alias("date_published"),
-        F.to_timestamp("pub_date", "yyyy-MM-dd HH:mm:ss").alias("published_at"),
-        F.col("posted"))
+        F.col("pub_date").alias("date_published"), "published_at", "posted",
+        F.lit(run).alias("run"), "seq",
+        article_key(F.lit(community), "type", F.lit(run), "seq").alias("article_id")).select(*schemas.ARTICLE.fieldNames())
 
 
 # D6 (intent of the reference's re-formatting step)

@@ -4,9 +4,10 @@ U1, O1, L1, A1, ST2).
 The reference polls every feed of a community, keeps entries dated strictly
 after the stored ``last_fetched`` day, cleans them, appends them to the
 article table, re-sorts it and advances the date.  Here that is one
-DataFrame chain; the only shuffles are the join of entries to their feed
-(the feed list is small and is broadcast by the planner when its measured
-size allows) and the final sort.
+DataFrame chain; the only shuffle is the join of entries to their feed, which
+the planner turns into a broadcast when the feed list's size allows.  New rows
+get a key of their own (``article_key``) and are appended; nothing stored is
+read for that.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.dates import date_token, iso_date, parse_published, watermark_ts
 from feedspark.functions.text import clean_description
-from feedspark.operators.strategy import broadcast_if_small
+from feedspark.schemas import ARTICLE, STORED_ORDER
 
 
 # P1
@@ -31,10 +32,9 @@ def explode_feeds(tracker: DataFrame) -> DataFrame:
 
 
 def entries_with_feed(entries: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Attach blog and watermark to each entry by its feed URL.  The feed
-    list is counted and broadcast when under the row bound, so entries are
-    never shuffled for this join, even when one feed holds most of them."""
-    feeds = broadcast_if_small(feeds)
+    """Attach blog and watermark to each entry by its feed URL.  Feed lists
+    are configuration; the planner broadcasts them by size, and AQE splits a
+    hot feed if it does not."""
     return entries.join(feeds, entries["feed_url"] == feeds["rss_url"], "inner").drop("rss_url")
 
 
@@ -59,9 +59,25 @@ def dated_entries(entries: DataFrame, compat: bool = False) -> DataFrame:
             .withColumn("date_published", iso_date("published_at", "offset_min")))
 
 
+REJECT_COLUMNS = ["entry_id", "feed_url", "link", "title", "published"]
+
+
 def rejects(dated: DataFrame) -> DataFrame:
     """Entries whose date could not be parsed (the reference raises)."""
-    return dated.filter(F.col("published_at").isNull())
+    return (dated.filter(F.col("published_at").isNull())
+            .select("community", "blog_name", *REJECT_COLUMNS, F.lit("date").alias("reason")))
+
+
+def undated_entries(entries: DataFrame) -> DataFrame:
+    """Entries without any date (F1 drops them)."""
+    return entries.filter(F.length(F.coalesce(F.col("published"), F.lit(""))) == 0)
+
+
+def unmatched_entries(entries: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Entries of a feed that no blog tracks: they reach no article table."""
+    return (entries.join(feeds.select("rss_url").distinct(), entries["feed_url"] == F.col("rss_url"), "left_anti")
+            .select(F.lit(None).cast("string").alias("community"), F.lit(None).cast("string").alias("blog_name"),
+                    *REJECT_COLUMNS, F.lit("feed").alias("reason")))
 
 
 # F2
@@ -95,27 +111,34 @@ def to_articles(new_entries: DataFrame) -> DataFrame:
     )
 
 
+def article_key(community, blog_name, run, seq) -> Column:
+    """The row's name for good: community|blog|run|position, '|' in names
+    written as '%7C'."""
+    part = lambda c: F.replace(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")), F.lit("|"), F.lit("%7C"))
+    return F.concat_ws("|", part(community), part(blog_name), part(run), part(seq))
+
+
 # U1
-def append_articles(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """existing + new, duplicates kept.  New rows get ``seq`` after the
-    largest stored one (a scalar subquery, not a driver round trip), offset
-    by their read-time id, so stored order breaks date ties as the reference
-    does: existing rows first, then new rows in feed order."""
-    return existing.unionByName(number_new(existing, new))
+def append_articles(existing: DataFrame, new: DataFrame, run: str) -> DataFrame:
+    """existing + new, duplicates kept."""
+    return existing.unionByName(key_new(new, run).select(*existing.columns))
 
 
-def number_new(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """New article rows in the stored schema, ``seq`` after the stored ones."""
-    base = existing.select(F.coalesce(F.max("seq"), F.lit(-1)).alias("m")).scalar()
-    return new.withColumn("seq", base + F.lit(1) + F.col("entry_id")).select(*existing.columns)
+def key_new(new: DataFrame, run: str) -> DataFrame:
+    """New article rows in the stored schema.  ``seq`` is the entry's position
+    in this run, so stored order breaks date ties as the reference does:
+    earlier runs first, then feed order."""
+    return (new.withColumn("run", F.lit(run)).withColumn("seq", F.col("entry_id"))
+            .withColumn("article_id", article_key("community", "blog_name", "run", "seq"))
+            .select(*ARTICLE.fieldNames()))
 
 
 # O1
 def articles_by_date(articles: DataFrame, compat: bool = False) -> DataFrame:
-    """Stored order: by instant then ``seq``; compat mode sorts the ISO
-    strings as the reference does (not time order for mixed offsets)."""
-    key = "date_published" if compat else "published_at"
-    return articles.orderBy(F.col(key).asc_nulls_first(), F.col("seq").asc())
+    """Stored order: by instant, then run and position; compat mode sorts the
+    ISO strings as the reference does (not time order for mixed offsets)."""
+    key = "date_published" if compat else STORED_ORDER[0]
+    return articles.orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc() for c in STORED_ORDER[1:]])
 
 
 # A1
@@ -124,46 +147,58 @@ def new_article_count(new_articles: DataFrame) -> DataFrame:
 
 
 # K2 (value part; the write is in sources.sinks)
-def advance_tracker(tracker: DataFrame, run_date: str) -> DataFrame:
-    """Set ``last_fetched`` to the run date (a UTC 'yyyy-MM-dd' argument)."""
-    return tracker.withColumn("last_fetched", F.lit(run_date))
+def advance_tracker(tracker: DataFrame, run_date: str, seen_feeds: DataFrame | None = None) -> DataFrame:
+    """Set ``last_fetched`` to the run date (a UTC 'yyyy-MM-dd' argument).
+    With ``seen_feeds`` (rss_url) a feed of which this run has seen no entry
+    keeps its date, in a tracker row of its own, so nothing of it is lost."""
+    if seen_feeds is None:
+        return tracker.withColumn("last_fetched", F.lit(run_date))
+    feeds = explode_feeds(tracker)
+    seen = seen_feeds.select("rss_url").distinct().withColumn("_seen", F.lit(True))
+    dated = feeds.join(seen, "rss_url", "left").withColumn(
+        "last_fetched", F.when(F.col("_seen"), F.lit(run_date)).otherwise(F.col("last_fetched")))
+    return (dated.groupBy("community", "last_fetched")  # a community's feed list: configuration
+            .agg(F.array_sort(F.collect_list(F.struct("blog_name", "rss_url"))).alias("blogs"))
+            .select("community", "last_fetched", "blogs"))
 
 
 @dataclass
 class CollectResult:
-    articles: DataFrame      # the new article table, stored order
+    articles: DataFrame      # existing and new rows, stored order
     new_articles: DataFrame  # rows added by this run
-    new_rows: DataFrame      # the same rows in the stored schema, with seq
+    new_rows: DataFrame      # the same rows in the stored schema, with their key
     late: DataFrame          # per-blog count of entries behind the watermark
-    rejects: DataFrame       # entries whose date did not parse
-    tracker: DataFrame       # tracker with the advanced date
+    rejects: DataFrame       # entries without a tracked feed, a date, or a date that parses
+    tracker: DataFrame       # tracker, advanced for the feeds that this run has seen
 
 
 # ST2
 def collect_batch(tracker: DataFrame, entries: DataFrame, existing: DataFrame,
-                  run_date: str, compat: bool = False, dedupe: bool = False) -> CollectResult:
+                  run_date: str, compat: bool = False, dedupe: bool = False, run: str | None = None) -> CollectResult:
     """S2 -> P1 -> D2/F1 -> F2 -> T6 -> P2 -> U1 -> O1, plus L1, A1 and K2.
 
-    ``entries`` has FEED_ENTRY columns plus ``entry_id``; ``existing`` has
-    the ARTICLE schema.  ``dedupe=True`` (off by default: the reference keeps
-    duplicates) drops new rows whose (blog_name, url) is already stored, and
-    repeats within the run, with an anti join.
+    ``entries`` has feed_url, link, title, description, published and
+    ``entry_id``; ``existing`` has the ARTICLE schema; ``run`` names this run
+    in the keys of its rows (default: the run date).  ``dedupe=True`` (off by
+    default: the reference keeps duplicates) drops new rows whose (community,
+    blog_name, url) is already stored, and repeats within the run.
     """
+    run = run or run_date
     feeds = explode_feeds(tracker)
-    dated = dated_entries(entries_with_feed(entries, feeds), compat=compat)
+    matched = entries_with_feed(entries, feeds)
+    dated = dated_entries(matched, compat=compat)
     new = to_articles(since_watermark(dated))
     if dedupe:
-        seen = existing.select("blog_name", "url")
-        new = (new.join(seen, ["blog_name", "url"], "left_anti")
-                  .groupBy("blog_name", "url").agg(F.min_by(F.struct(*new.columns), "entry_id").alias("r"))
+        own = ["community", "blog_name", "url"]
+        new = (new.join(existing.select(*own), own, "left_anti")
+                  .groupBy(*own).agg(F.min_by(F.struct(*new.columns), "entry_id").alias("r"))
                   .select("r.*"))
-    articles = articles_by_date(append_articles(existing, new), compat=compat)
+    undated = undated_entries(matched).select("community", "blog_name", *REJECT_COLUMNS, F.lit("no date").alias("reason"))
     return CollectResult(
-        articles=articles,
+        articles=articles_by_date(append_articles(existing, new, run), compat=compat),
         new_articles=new.drop("entry_id"),
-        new_rows=number_new(existing, new),
+        new_rows=key_new(new, run),
         late=late_entries(dated),
-        rejects=rejects(dated),
-        tracker=advance_tracker(tracker, run_date),
+        rejects=rejects(dated).unionByName(undated).unionByName(unmatched_entries(entries, feeds)),
+        tracker=advance_tracker(tracker, run_date, entries.select(F.col("feed_url").alias("rss_url"))),
     )
-

@@ -3,7 +3,7 @@ T7, T8, T9, J5).
 
 The reference walks the stored list and posts the first unposted article.
 Here that is a top-k per community: ``row_number() <= n`` over
-(published_at, seq), which Spark plans as a partial WindowGroupLimit before
+stored order, which Spark plans as a partial WindowGroupLimit before
 the shuffle, so even a community holding a third of all rows sends at most
 ``n`` rows per map task across the network.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from feedspark import config
 from feedspark.functions.text import single_line_description
-from feedspark.operators.strategy import broadcast_if_small
+from feedspark.schemas import STORED_ORDER
+from feedspark.session import settle
 
 
 # F3
@@ -26,7 +27,7 @@ def unposted(articles: DataFrame) -> DataFrame:
 
 # W1 / O3
 def next_to_post(articles: DataFrame, n: int = 1, by: str = "community",
-                 order=("published_at", "seq")) -> DataFrame:
+                 order=STORED_ORDER) -> DataFrame:
     """The first ``n`` unposted articles of each community in stored order."""
     w = Window.partitionBy(by).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     return (unposted(articles)
@@ -45,7 +46,7 @@ def _by_community(community: Column, per: dict, default):
 # T7 + T8
 def render_posts(picked: DataFrame, templates: dict | None = None,
                  footers: dict | None = None) -> DataFrame:
-    """(community, title, content, url, seq) per picked article.
+    """(community, title, content, url, article_id) per picked article.
 
     Templates are java format strings with positional arguments
     (1 title, 2 blog_name, 3 url, 4 one-line description, 5 footer), chosen
@@ -62,7 +63,7 @@ def render_posts(picked: DataFrame, templates: dict | None = None,
         per = {k: F.format_string(v[i], *args) for k, v in templates.items()}
         return _by_community(c, per, F.format_string(config.DEFAULT_TEMPLATE[i], *args))
 
-    return picked.select("community", fmt(0).alias("title"), fmt(1).alias("content"), "url", "seq")
+    return picked.select("community", fmt(0).alias("title"), fmt(1).alias("content"), "url", "article_id")
 
 
 # T9
@@ -74,20 +75,20 @@ def summary_post_body(summary, url) -> Column:
 
 # J5
 def mark_posted(articles: DataFrame, picked: DataFrame) -> DataFrame:
-    """Set ``posted`` for the picked rows (by ``seq``).  The picked side has
-    at most n rows per community, but the planner cannot know that from a
-    window's output: it is counted, and broadcast when under the row bound,
-    so the article table is streamed, not shuffled."""
-    hit = broadcast_if_small(picked.select(F.col("seq").alias("_hit_seq")).distinct())
-    return (articles.join(hit, articles["seq"] == hit["_hit_seq"], "left")
-            .withColumn("posted", F.coalesce(F.col("posted"), F.lit(False)) | F.col("_hit_seq").isNotNull())
-            .drop("_hit_seq"))
-
-
-def mark_posted_by_url(articles: DataFrame, urls: DataFrame,
-                       order=("published_at", "seq")) -> DataFrame:
-    """Summarizer variant: the **first** stored article with each URL."""
+    """Set ``posted`` for the picked rows, by ``article_id``.  The picks (at
+    most n rows per community) are settled first, so the planner knows their
+    bytes and streams the article table past them when they are few."""
+    hit = settle(picked.select(F.col("article_id").alias("_hit")).distinct(), "picked")
+    return (articles.join(hit, articles["article_id"] == hit["_hit"], "left")
+            .withColumn("posted", F.coalesce(F.col("posted"), F.lit(False)) | F.col("_hit").isNotNull())
+            .drop("_hit"))
+
+
+def mark_posted_by_url(articles: DataFrame, urls: DataFrame, order=STORED_ORDER) -> DataFrame:
+    """Summarizer variant: the **first** stored article of each (community,
+    url); each community has a list of its own."""
     key = F.struct(*[F.col(c) for c in order])
-    first = (articles.join(broadcast_if_small(urls.select("url").distinct()), "url", "left_semi")
-             .groupBy("url").agg(F.min_by("seq", key).alias("seq")))
+    wanted = settle(urls.select("community", "url").distinct(), "urls")
+    first = (articles.join(wanted, ["community", "url"], "left_semi")
+             .groupBy("community", "url").agg(F.min_by("article_id", key).alias("article_id")))
     return mark_posted(articles, first)

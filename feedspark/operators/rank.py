@@ -17,8 +17,8 @@ Plan: the article text is hash-partitioned by ``doc_id`` once.  All later
 aggregations and windows are keyed by ``doc_id`` plus more columns, which
 that partitioning already satisfies, so sentences, terms, document
 frequencies, scores and ranks are computed without another exchange.  A
-single article cannot dominate a partition (texts are bounded), so the
-doc-level partitioning is skew-safe.
+article's sentences, terms and ranks stay in one task, so an article must fit
+a task's memory; its rows are sorted and spill.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ def by_doc(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, text) hash-partitioned by doc_id: the one shuffle of the
     ranking jobs.  Pass its result with ``partitioned=True`` to reuse it."""
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-                .filter(F.col("doc_id").isNotNull())
                 .repartition("doc_id"))
 
 
@@ -141,4 +140,4 @@ def main_points(docs: DataFrame, params: RankParams = RankParams(), id_col: str
     """(doc_id, main_points ARRAY<STRING>) for every input article; null
     points where the reference's ranking fails."""
     d = by_doc(docs, id_col, text_col)
-    return d.select("doc_id").join(_points(d, params), "doc_id", "left")
+    return d.select("doc_id").join(_points(d.filter(F.col("doc_id").isNotNull()), params), "doc_id", "left")

@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.config import RankParams, SummaryParams
-from feedspark.functions.text import (cap_sentences, drop_prompt_lines, is_blank, novel_points,
+from feedspark.functions.text import (PROMPT_PREFIX, cap_sentences, drop_prompt_lines, is_blank, novel_points,
                                       split_sentences, text_chunks)
 from feedspark.functions.udfs import SummarizerHook, summarize_chunks
 from feedspark.operators.queue import mark_posted_by_url, next_to_post, summary_post_body
 from feedspark.operators.rank import _points, by_doc
-from feedspark.operators.strategy import broadcast_if_small
+from feedspark.session import settle
 
 
 def lead_sentence(chunk: Column) -> Column:
@@ -32,10 +32,12 @@ def lead_sentence(chunk: Column) -> Column:
 # UD1
 def chunk_summaries(text: Column, hook: SummarizerHook | None = None,
                     params: SummaryParams = SummaryParams()) -> Column:
+    """With a hook, each chunk reaches it behind the prompt prefix, and the
+    hook gets the length parameters (it cuts its input itself)."""
     chunks = text_chunks(text, params.chunk_size)
     if hook is None:
         return F.transform(chunks, lead_sentence)
-    return summarize_chunks(chunks, hook)
+    return summarize_chunks(F.transform(chunks, lambda c: F.concat(F.lit(PROMPT_PREFIX + " "), c)), hook, params)
 
 
 # UD2 (A4 -> T10 -> O4 -> F6)
@@ -58,7 +60,7 @@ def summary_and_points(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # without a separate filter (which would be pushed below the exchange
     # and force a second shuffle).
     d = by_doc(docs, id_col, text_col)
-    pts = _points(d, rank_params)
+    pts = _points(d.filter(F.col("doc_id").isNotNull()), rank_params)
     summ = d.select("doc_id", is_blank(F.col("text")).alias("_blank"),
                     article_summary(F.col("text"), hook, summary_params).alias("summary"))
     both = summ.join(pts, "doc_id", "left")
@@ -81,18 +83,17 @@ def summarize_queue(articles: DataFrame, pages: DataFrame, n: int = 1,
     """
     from feedspark.operators.pages import page_content
 
-    picked = next_to_post(articles, n=n)
-    # The picked URLs are a handful: count them and broadcast, so the pages
-    # table (raw HTML) is filtered in place and never shuffled.
-    pages1 = pages.join(broadcast_if_small(picked.select("url").distinct()), "url", "left_semi")
+    # The picks are a few rows that four steps need: found once, written down.
+    picked = settle(next_to_post(articles, n=n), "picked")
+    pages1 = pages.join(picked.select("url").distinct(), "url", "left_semi")
     content = page_content(pages1).select("url", "content")
-    # one page per URL: the content rows are tiny, pick deterministically
+    # one page per URL: the content rows are few, pick deterministically
     content = content.groupBy("url").agg(F.min("content").alias("content"))
-    jobs = picked.join(content, "url", "left").withColumn("job_id", F.col("seq"))
-    sp = summary_and_points(jobs, id_col="job_id", text_col="content", hook=hook,
+    jobs = settle(picked.join(content, "url", "left"), "jobs")
+    sp = summary_and_points(jobs, id_col="article_id", text_col="content", hook=hook,
                             summary_params=summary_params, rank_params=rank_params)
-    out = (jobs.join(sp.withColumnRenamed("doc_id", "job_id"), "job_id", "left")
+    out = (jobs.join(sp.withColumnRenamed("doc_id", "article_id"), "article_id", "left")
                .select("community", "title",
                        summary_post_body(F.col("summary"), F.col("url")).alias("content"),
-                       "url", "seq", "summary", "main_points"))
-    return out, mark_posted_by_url(articles, picked.select("url"))
+                       "url", "article_id", "summary", "main_points"))
+    return out, mark_posted_by_url(articles, picked)

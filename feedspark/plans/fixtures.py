@@ -4,8 +4,8 @@ sampled or capped.
 
 - ``dated``: each document gets one event (its timestamp and value).
 - ``articles``: the stored article table (ARTICLE schema).
-- ``feed_entries``: blog feed entries with HTML descriptions and four date
-  styles.
+- ``feed_entries``: blog feed entries with HTML descriptions and twelve date
+  styles, some of them no date.
 - ``tracker``: one tracker row per blog, watermark 2024-01-15.
 - ``bill_items``: bill feed items of three types, linked to pages.
 - ``pages_rich`` / ``summary_pages`` / ``explainer_pages``: pages with the
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from feedspark import config
 from feedspark.functions.dates import iso_date
 from feedspark.functions.text import clean_url
-from feedspark.operators.strategy import spread
+from feedspark.operators.collect import article_key
+from feedspark.schemas import ARTICLE
 from feedspark.session import ensure_utc
 
 WATERMARK = "2024-01-15"
@@ -29,16 +30,9 @@ FEED_SITE = ".example.org"
 COMMUNITY = "dnd"
 
 
-# Text tables whose rows are expensive to process (raw HTML, long texts).
-SPREAD_TABLES = ("documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table; text tables are spread over all cores when their
-    files hold fewer row groups than there are cores (see strategy.spread)."""
     ensure_utc(spark)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in SPREAD_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _community(lang: Column) -> Column:
@@ -79,19 +73,19 @@ def articles(spark, sf_dir) -> DataFrame:
         F.col("text").alias("description"),
         iso_date(F.col("ts")).alias("date_published"),
         F.col("ts").alias("published_at"),
-        (F.col("value") < 20).alias("posted"),
-    )
+        (F.col("value") < 20).alias("posted"), F.lit("").alias("run"),
+    ).withColumn("article_id", article_key("community", "blog_name", "run", "seq")).select(*ARTICLE.fieldNames())
 
 
 def feed_entries(spark, sf_dir) -> DataFrame:
     d = dated(spark, sf_dir)
-    rfc = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss")
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    k = F.col("doc_id") % 4
-    published = (F.when(k == 0, F.concat(iso, F.lit("Z")))
-                 .when(k == 1, F.concat(rfc, F.lit(" +0000")))
-                 .when(k == 2, F.concat(rfc, F.lit(" -0400")))
-                 .otherwise(F.concat(rfc, F.lit(" GMT"))))
+    f = lambda pattern, tail="": F.concat(F.date_format("ts", pattern), F.lit(tail))
+    rfc, iso = "EEE, dd MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"
+    styles = [f(iso, "Z"), f(rfc, " +0000"), f(rfc, " -0400"), f(rfc, " GMT"), f("d MMM yyyy hh:mm:ss a"),
+              f("EEE, d MMM yy HH:mm:ss", " +0000"), f("EEE MMM d HH:mm:ss yyyy"), f("EEEE, dd-MMM-yy HH:mm:ss", " GMT"),
+              f("MM/dd/yyyy HH:mm:ss"), f("yyyyMMdd"), f(iso, "+02"),
+              F.when(F.col("doc_id") % 24 == 11, F.lit("soon")).otherwise(f(iso, ".123456789Z"))]
+    published = F.coalesce(*[F.when(F.col("doc_id") % len(styles) == i, x) for i, x in enumerate(styles)])
     link = F.concat(_post_url(F.col("source"), F.col("doc_id")),
                     F.when(F.col("doc_id") % 2 == 0, F.lit("?utm_source=feed")).otherwise(F.lit("")))
     desc = F.concat(F.lit("<p>"), F.col("text"), F.lit(" &amp;  <b>"), F.col("source"),
@@ -198,7 +192,8 @@ SELECT CAST(d.doc_id AS BIGINT) AS seq,
   split_part(d.text, chr(10), 1) AS title, d.text AS description,
   strftime(d.ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(d.ts) % 1000000 <> 0
      THEN '.' || lpad(CAST(epoch_us(d.ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS date_published,
-  d.ts AS published_at, d.value < 20 AS posted
+  d.ts AS published_at, d.value < 20 AS posted,
+  CASE d.lang WHEN 'en' THEN 'dnd' WHEN 'de' THEN 'nfl' WHEN 'fr' THEN 'science' ELSE 'politics' END || '|' || d.source || '||' || d.doc_id AS article_id
 FROM dated_v d LEFT JOIN pages p ON p.page_id = d.doc_id""",
     "feed_v": f"""
 SELECT d.doc_id, d.source, d.ts, d.text,
@@ -206,14 +201,26 @@ SELECT d.doc_id, d.source, d.ts, d.text,
   'https://' || d.source || '{FEED_SITE}/p/' || d.doc_id || CASE WHEN d.doc_id % 2 = 0 THEN '?utm_source=feed' ELSE '' END AS link,
   split_part(d.text, chr(10), 1) AS title,
   '<p>' || d.text || ' &amp;  <b>' || d.source || '</b> &lt;i&gt;&amp;nbsp;x</p> ' AS description,
-  CASE d.doc_id % 4 WHEN 0 THEN strftime(d.ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
+  CASE d.doc_id % 12 WHEN 0 THEN strftime(d.ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
     WHEN 1 THEN strftime(d.ts, '%a, %d %b %Y %H:%M:%S') || ' +0000'
     WHEN 2 THEN strftime(d.ts, '%a, %d %b %Y %H:%M:%S') || ' -0400'
-    ELSE strftime(d.ts, '%a, %d %b %Y %H:%M:%S') || ' GMT' END AS published,
-  date_trunc('second', d.ts) + CASE WHEN d.doc_id % 4 = 2 THEN INTERVAL 4 HOUR ELSE INTERVAL 0 HOUR END AS exp_ts,
-  CASE WHEN d.doc_id % 4 = 2 THEN -240 ELSE 0 END AS exp_off,
-  strftime(date_trunc('second', d.ts), '%Y-%m-%dT%H:%M:%S') || CASE WHEN d.doc_id % 4 = 2 THEN '-04:00' ELSE '+00:00' END AS exp_iso,
-  d.doc_id % 4 <> 0 AND strftime(d.ts, '%a') IN ('Tue', 'Thu') AS compat_skip
+    WHEN 3 THEN strftime(d.ts, '%a, %d %b %Y %H:%M:%S') || ' GMT'
+    WHEN 4 THEN strftime(d.ts, '%-d %b %Y %I:%M:%S %p')
+    WHEN 5 THEN strftime(d.ts, '%a, %-d %b %y %H:%M:%S') || ' +0000'
+    WHEN 6 THEN strftime(d.ts, '%a %b %-d %H:%M:%S %Y')
+    WHEN 7 THEN strftime(d.ts, '%A, %d-%b-%y %H:%M:%S') || ' GMT'
+    WHEN 8 THEN strftime(d.ts, '%m/%d/%Y %H:%M:%S')
+    WHEN 9 THEN strftime(d.ts, '%Y%m%d')
+    WHEN 10 THEN strftime(d.ts, '%Y-%m-%dT%H:%M:%S') || '+02'
+    ELSE CASE WHEN d.doc_id % 24 = 11 THEN 'soon' ELSE strftime(d.ts, '%Y-%m-%dT%H:%M:%S') || '.123456789Z' END END AS published,
+  CASE WHEN d.doc_id % 24 = 11 THEN NULL WHEN d.doc_id % 12 = 9 THEN date_trunc('day', d.ts)
+    WHEN d.doc_id % 12 = 11 THEN date_trunc('second', d.ts) + INTERVAL 123456 MICROSECOND
+    ELSE date_trunc('second', d.ts) - to_hours(CASE d.doc_id % 12 WHEN 2 THEN -4 WHEN 10 THEN 2 ELSE 0 END) END AS exp_ts,
+  CASE d.doc_id % 12 WHEN 2 THEN -240 WHEN 10 THEN 120 ELSE 0 END AS exp_off,
+  CASE WHEN d.doc_id % 24 = 11 THEN NULL WHEN d.doc_id % 12 = 9 THEN strftime(d.ts, '%Y-%m-%dT00:00:00+00:00')
+    ELSE strftime(date_trunc('second', d.ts), '%Y-%m-%dT%H:%M:%S') || CASE d.doc_id % 12 WHEN 11 THEN '.123456' ELSE '' END
+      || CASE d.doc_id % 12 WHEN 2 THEN '-04:00' WHEN 10 THEN '+02:00' ELSE '+00:00' END END AS exp_iso,
+  d.doc_id % 12 IN (1, 2, 3, 5, 6, 7) AND strftime(d.ts, '%a') IN ('Tue', 'Thu') AS compat_skip
 FROM dated_v d""",
     "tracker_v": f"""
 SELECT DISTINCT '{COMMUNITY}' AS community, source AS blog_name,

@@ -1,13 +1,17 @@
-"""The reference's four scripts as batch jobs over files.
-
-    python -m feedspark.plans.jobs collect  --tracker T --feeds F --articles A --out O --run-date 2024-02-01
-    python -m feedspark.plans.jobs post     --articles A --outbox X --out O [--n 1]
-    python -m feedspark.plans.jobs summarize --articles A --pages P --outbox X --out O
-    python -m feedspark.plans.jobs bills    --items I --pages P --out O
-
-Every job reads whole inputs and writes a new version folder; the path of
-what it wrote is printed as JSON.  Order of writes follows the safe order:
-articles before the tracker, outbox before the marked article table.
+"""The reference's scripts as jobs over files.
+
+    python -m feedspark.plans.jobs collect   --tracker T --feeds F --feed-map M --articles A --out O --run-date 2024-02-01
+    python -m feedspark.plans.jobs stream    --tracker T --feeds F --feed-map M --articles A --out O
+    python -m feedspark.plans.jobs post      --articles A --outbox X [--n 1]
+    python -m feedspark.plans.jobs summarize --articles A --pages P --outbox X [--n 1]
+    python -m feedspark.plans.jobs bills     --items I --pages P --articles A --out O
+
+Nothing that is stored is rewritten: new articles are appended as new files,
+and the outbox is the record of what was posted; an article counts as posted
+by its stored flag or by an outbox row with its key.  ``--rewrite`` (collect,
+post, summarize) writes a whole new version of the article table in stored
+order instead, as the reference rewrites its file.  What was written is
+printed as JSON.  Articles are written before the tracker.
 """
 
 from __future__ import annotations
@@ -18,102 +22,81 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedspark import schemas
 from feedspark.operators import bills as B
 from feedspark.operators import collect as C
 from feedspark.operators import queue as Q
 from feedspark.operators import summarize as U
-from feedspark.session import ensure_utc
+from feedspark.session import ensure_utc, settle
 from feedspark.sources import readers, sinks
 
 
-def _entries_from_feeds(spark: SparkSession, feeds_path: str, feed_of_file: DataFrame | None = None) -> DataFrame:
-    """Feed items read from RSS files; the feed URL is the item's file unless
-    a (file, feed_url) map is given."""
-    items = readers.read_feed_items(spark, feeds_path)
-    e = items.select("entry_id", F.col("source_file").alias("file"), "link", "title", "description",
-                     F.col("pubDate").alias("published"))
-    if feed_of_file is not None:
-        from feedspark.operators.strategy import broadcast_if_small
-        return e.join(broadcast_if_small(feed_of_file), "file").drop("file")
-    return e.withColumnRenamed("file", "feed_url")
+def entries_from_feeds(spark: SparkSession, feeds_path: str, feed_map: DataFrame) -> DataFrame:
+    """Feed entries of RSS and Atom files; ``feed_map`` (file, feed_url) says
+    which feed a file was fetched from.  Entries of other files have no feed
+    and end in the rejects."""
+    return readers.read_entries(spark, feeds_path).join(feed_map, "file", "left").drop("file")
 
 
-def collect_job(spark, tracker_path, entries: DataFrame, articles_path, out_root, run_date,
-                compat=False, dedupe=False, articles_format="parquet", tracker_multi_line=False):
-    """``tracker_multi_line=True`` for a tracker file holding one JSON object
-    (or an array), as the reference stores it; the default reads the JSON
-    lines this job writes."""
-    ensure_utc(spark)
-    tracker = readers.read_tracker(spark, tracker_path, multi_line=tracker_multi_line)
-    existing = readers.read_articles(spark, articles_path, articles_format)
-    r = C.collect_batch(tracker, entries, existing, run_date, compat=compat, dedupe=dedupe)
-    art = sinks.write_articles(r.articles, f"{out_root}/articles")
-    trk = sinks.write_tracker(r.tracker, f"{out_root}/tracker")      # only after the articles
-    return {"articles": art, "tracker": trk}
-
-
-# ---- append-only mode -------------------------------------------------------
-# The default jobs rewrite the whole article table each run, as the reference
-# rewrites its file.  At scale that is a full rewrite (and, for the stored
-# order, a full sort) per run.  In append-only mode nothing written is ever
-# rewritten: new articles are appended as new files (each file sorted in
-# stored order, partitioned by community), and the outbox is the record of
-# what was posted.  "posted" is derived: the stored flag OR an outbox row for
-# that seq.
-
-
-def collect_append(spark, tracker_path, entries: DataFrame, articles_root, run_date,
-                   compat=False, dedupe=False, tracker_multi_line=False, tracker_out=None):
+def stored_articles(spark: SparkSession, root: str) -> DataFrame:
+    """The current article table; empty if nothing is stored yet."""
+    path = sinks.current_path(spark, root)
+    if not readers.exists(spark, path):
+        return spark.createDataFrame([], schemas.ARTICLE)
+    return readers.read_articles(spark, path)
+
+
+def collect_job(spark, tracker_root, entries: DataFrame, articles_root, out_root, run_date, compat=False,
+                dedupe=False, tracker_multi_line=False, rewrite=False):
+    """Collect one run: article rows, rejects, late counts, then the tracker.
+    ``tracker_multi_line=True`` for a tracker file holding one JSON object (or
+    an array), as the reference stores it."""
     ensure_utc(spark)
-    tracker = readers.read_tracker(spark, tracker_path, multi_line=tracker_multi_line)
-    existing = readers.read_articles(spark, articles_root)
-    r = C.collect_batch(tracker, entries, existing, run_date, compat=compat, dedupe=dedupe)
-    (r.new_rows.repartition("community").sortWithinPartitions("published_at", "seq")
-        .write.mode("append").partitionBy("community").parquet(articles_root))
-    trk = sinks.write_tracker(r.tracker, tracker_out or f"{articles_root}/../tracker")
-    return {"articles": articles_root, "tracker": trk}
+    run = sinks.new_version_path(run_date).replace("/v=", "#")
+    tracker = readers.read_tracker(spark, sinks.current_path(spark, tracker_root), multi_line=tracker_multi_line)
+    r = C.collect_batch(tracker, entries, stored_articles(spark, articles_root), run_date, compat=compat, dedupe=dedupe, run=run)
+    if rewrite:
+        art = sinks.write_articles(r.articles, f"{out_root}/articles")
+    else:
+        art = sinks.append_article_rows(r.new_rows, articles_root)
+    out = {"articles": art, "rejects": sinks.write_report(r.rejects, f"{out_root}/rejects", run),
+           "late": sinks.write_report(r.late, f"{out_root}/late", run)}
+    return out | {"tracker": sinks.write_tracker(r.tracker, f"{out_root}/tracker")}  # only after the articles
 
 
 def queue_state(spark, articles_root, outbox_root) -> DataFrame:
-    """Articles with ``posted`` derived from the outbox (append-only mode)."""
-    articles = readers.read_articles(spark, articles_root)
-    try:
-        sent = spark.read.parquet(outbox_root).select(F.col("seq").alias("_sent")).distinct()
-    except Exception:  # no outbox yet
+    """Articles with ``posted`` as stored or as the outbox shows."""
+    articles = stored_articles(spark, articles_root)
+    if not readers.exists(spark, outbox_root):
         return articles
-    from feedspark.operators.strategy import broadcast_if_small
-    sent = broadcast_if_small(sent)
-    return (articles.join(sent, articles["seq"] == sent["_sent"], "left")
+    sent = spark.read.parquet(outbox_root).select(F.col("article_id").alias("_sent")).distinct()
+    return (articles.join(sent, articles["article_id"] == sent["_sent"], "left")
             .withColumn("posted", F.coalesce(F.col("posted"), F.lit(False)) | F.col("_sent").isNotNull())
             .drop("_sent"))
 
 
-def post_append(spark, articles_root, outbox_root, n=1, footers=None):
-    """Pick and render the next articles; append them to the outbox only."""
+def post_job(spark, articles_root, outbox_root, out_root=None, n=1, footers=None):
+    """Render the next articles into the outbox; with ``out_root`` also write
+    the marked article table as a new version."""
     ensure_utc(spark)
     state = queue_state(spark, articles_root, outbox_root)
-    picked = Q.next_to_post(state, n=n)
-    sinks.write_outbox(Q.render_posts(picked, footers=footers), outbox_root)
-    return {"outbox": outbox_root}
-
-
-def post_job(spark, articles_path, outbox_root, out_root, n=1, footers=None):
-    ensure_utc(spark)
-    articles = readers.read_articles(spark, articles_path)
-    picked = Q.next_to_post(articles, n=n)
+    picked = settle(Q.next_to_post(state, n=n), "picked")
+    marked = Q.mark_posted(state, picked) if out_root else None
+    if out_root:  # before the outbox grows: the state reads it
+        path = sinks.write_articles(marked, f"{out_root}/articles")
     sinks.write_outbox(Q.render_posts(picked, footers=footers), outbox_root)
-    art = sinks.write_articles(Q.mark_posted(articles, picked), f"{out_root}/articles")
-    return {"outbox": outbox_root, "articles": art}
+    return {"outbox": outbox_root} | ({"articles": path} if out_root else {})
 
 
-def summarize_job(spark, articles_path, pages_path, outbox_root, out_root, n=1, hook=None):
+def summarize_job(spark, articles_root, pages_path, outbox_root, out_root=None, n=1, hook=None):
     ensure_utc(spark)
-    articles = readers.read_articles(spark, articles_path)
-    pages = readers.read_pages(spark, pages_path)
-    outbox, marked = U.summarize_queue(articles, pages, n=n, hook=hook)
-    sinks.write_outbox(outbox.select("community", "title", "content", "url", "seq"), outbox_root)
-    art = sinks.write_articles(marked, f"{out_root}/articles")
-    return {"outbox": outbox_root, "articles": art}
+    state = queue_state(spark, articles_root, outbox_root)
+    outbox, marked = U.summarize_queue(state, readers.read_pages(spark, pages_path), n=n, hook=hook)
+    outbox = settle(outbox.select("community", "title", "content", "url", "article_id"), "outbox")
+    if out_root:
+        path = sinks.write_articles(marked, f"{out_root}/articles")
+    sinks.write_outbox(outbox, outbox_root)
+    return {"outbox": outbox_root} | ({"articles": path} if out_root else {})
 
 
 def bill_items_from_files(spark, items_path) -> DataFrame:
@@ -126,42 +109,66 @@ def bill_items_from_files(spark, items_path) -> DataFrame:
                  .select(F.col("entry_id").alias("seq"), "feed_url", "title", "link", "description", "pubDate"))
 
 
-def bills_job(spark, items: DataFrame, pages_path, out_root, only_enabled=True):
+def bills_job(spark, items: DataFrame, pages_path, out_root, only_enabled=True, articles_root=None, run="bills"):
+    """Enriched bills, newest first; with ``articles_root`` the bills whose
+    URL the queue does not hold yet are appended to the article table."""
     ensure_utc(spark)
     pages = readers.read_pages(spark, pages_path)
-    bills = B.bills_newest_first(B.bill_articles(items, pages, B.feed_catalog(spark), only_enabled))
     path = sinks.new_version_path(f"{out_root}/bills")
-    bills.write.mode("errorifexists").json(path)
-    return {"bills": path}
+    B.bills_newest_first(B.bill_articles(items, pages, B.feed_catalog(spark), only_enabled)).write.mode("errorifexists").json(path)
+    sinks.publish(spark, f"{out_root}/bills", path)
+    if not articles_root:
+        return {"bills": path}
+    bills = spark.read.schema(B.BILL_SCHEMA).json(path)
+    rows = B.bill_to_article(bills, run=sinks.new_version_path(run).replace("/v=", "#"))
+    known = stored_articles(spark, articles_root).select("community", "url")
+    return {"bills": path, "articles": sinks.append_article_rows(rows.join(known, ["community", "url"], "left_anti"), articles_root)}
+
+
+def stream_job(spark, tracker_root, feeds_path, feed_map: DataFrame, articles_root, out_root, tracker_multi_line=False):
+    """Drain the feed files that arrived since the last call into the article
+    table (its own folder, exactly once) and the rejects."""
+    from feedspark.streaming.collect_stream import start_collect_stream, start_rejects_stream
+
+    ensure_utc(spark)
+    tracker = readers.read_tracker(spark, sinks.current_path(spark, tracker_root), multi_line=tracker_multi_line)
+    options = {"feed_of_file": feed_map}
+    runs = [start_collect_stream(spark, feeds_path, None, tracker, articles_root, f"{out_root}/checkpoint", fmt="rss", options=options),
+            start_rejects_stream(spark, feeds_path, tracker, f"{out_root}/rejects", f"{out_root}/checkpoint-rejects", feed_map)]
+    for q in runs:
+        q.awaitTermination()
+    return {"articles": articles_root, "rejects": f"{out_root}/rejects"}
+
+
+NEEDS = {"collect": ("tracker", "feeds", "feed_map", "articles", "out", "run_date"),
+         "stream": ("tracker", "feeds", "feed_map", "articles", "out"), "post": ("articles", "outbox"),
+         "summarize": ("articles", "pages", "outbox"), "bills": ("items", "pages", "out")}
 
 
 def main(argv=None):
     ap = argparse.ArgumentParser(prog="feedspark-jobs")
-    ap.add_argument("job", choices=["collect", "post", "summarize", "bills"])
-    ap.add_argument("--tracker"), ap.add_argument("--feeds"), ap.add_argument("--articles")
-    ap.add_argument("--pages"), ap.add_argument("--items"), ap.add_argument("--outbox")
-    ap.add_argument("--out", required=True), ap.add_argument("--run-date")
-    ap.add_argument("--n", type=int, default=1), ap.add_argument("--compat", action="store_true")
-    ap.add_argument("--dedupe", action="store_true")
-    ap.add_argument("--tracker-multiline", action="store_true")
-    ap.add_argument("--append-only", action="store_true",
-                    help="append new articles / outbox rows; never rewrite the article table")
+    ap.add_argument("job", choices=sorted(NEEDS))
+    for name in ("tracker", "feeds", "feed-map", "articles", "pages", "items", "outbox", "out", "run-date"):
+        ap.add_argument(f"--{name}")
+    ap.add_argument("--n", type=int, default=1)
+    for name in ("compat", "dedupe", "tracker-multiline", "rewrite"):
+        ap.add_argument(f"--{name}", action="store_true")
     a = ap.parse_args(argv)
+    if missing := [f"--{n.replace('_', '-')}" for n in NEEDS[a.job] + (("out",) if a.rewrite else ()) if not getattr(a, n)]:
+        ap.error(f"{a.job} needs {', '.join(missing)}")
     spark = SparkSession.builder.appName(f"feedspark-{a.job}").getOrCreate()
-    if a.job == "collect" and a.append_only:
-        res = collect_append(spark, a.tracker, _entries_from_feeds(spark, a.feeds), a.articles, a.run_date,
-                             a.compat, a.dedupe, a.tracker_multiline, tracker_out=f"{a.out}/tracker")
-    elif a.job == "collect":
-        res = collect_job(spark, a.tracker, _entries_from_feeds(spark, a.feeds), a.articles, a.out,
-                          a.run_date, a.compat, a.dedupe, tracker_multi_line=a.tracker_multiline)
-    elif a.job == "post" and a.append_only:
-        res = post_append(spark, a.articles, a.outbox, a.n)
+    out = a.out if a.rewrite else None
+    if a.job == "collect":
+        entries = entries_from_feeds(spark, a.feeds, readers.read_feed_map(spark, a.feed_map))
+        res = collect_job(spark, a.tracker, entries, a.articles, a.out, a.run_date, a.compat, a.dedupe, a.tracker_multiline, a.rewrite)
+    elif a.job == "stream":
+        res = stream_job(spark, a.tracker, a.feeds, readers.read_feed_map(spark, a.feed_map), a.articles, a.out, a.tracker_multiline)
     elif a.job == "post":
-        res = post_job(spark, a.articles, a.outbox, a.out, a.n)
+        res = post_job(spark, a.articles, a.outbox, out, a.n)
     elif a.job == "summarize":
-        res = summarize_job(spark, a.articles, a.pages, a.outbox, a.out, a.n)
+        res = summarize_job(spark, a.articles, a.pages, a.outbox, out, a.n)
     else:
-        res = bills_job(spark, bill_items_from_files(spark, a.items), a.pages, a.out)
+        res = bills_job(spark, bill_items_from_files(spark, a.items), a.pages, a.out, articles_root=a.articles)
     print(json.dumps(res))
 
 

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedspark import config
 from feedspark.functions import dates as D
 from feedspark.functions import html as H
 from feedspark.functions import text as T
-from feedspark.functions.udfs import container_facts, unescape_html
+from feedspark.functions.udfs import unescape_html
 from feedspark.operators import bills as B
 from feedspark.operators import collect as C
 from feedspark.operators import pages as P
@@ -27,6 +27,7 @@ from feedspark.operators import summarize as U
 from feedspark.plans import fixtures as fx
 from feedspark.plans import sqlfns as s
 from feedspark.plans.fixtures import RUN_DATE, WATERMARK, duck_with
+from feedspark.session import scratch_path, settle
 from feedspark.sources import readers, sinks
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -52,31 +53,41 @@ WM_SQL = f"TIMESTAMP '{WATERMARK} 00:00:00'"
 # ============================================================ S: sources
 
 
-@register("scan_feed_items", duck_with("feed_v") +
-          "SELECT CAST(doc_id AS BIGINT) AS doc_id, title, link, description, published AS pubDate FROM feed_v")
+@register("scan_feed_items", duck_with("feed_v") + "SELECT title, link, description, published AS pubDate FROM feed_v")
 def scan_feed_items(spark, d):
-    e = fx.feed_entries(spark, d)
-    xml = readers.item_xml(F.col("title"), F.col("link"), F.col("description"), F.col("published"))
-    return (e.select(big("doc_id").alias("doc_id"), readers.parse_feed_items(xml).alias("i"))
-             .select("doc_id", "i.title", "i.link", "i.description", "i.pubDate"))
+    path = scratch_path(spark, "rss")
+    e = fx.feed_entries(spark, d).select("title", "link", "description", F.col("published").alias("pubDate"))
+    e.write.format("xml").option("rootTag", "rss").option("rowTag", "item").save(path)
+    return readers.read_feed_items(spark, path).select("title", "link", "description", "pubDate")
+
+
+@register("scan_atom_entries", duck_with("feed_v") + "SELECT title, link, description, published AS pubDate FROM feed_v")
+def scan_atom_entries(spark, d):
+    path = scratch_path(spark, "atom")
+    links = F.array(F.struct(F.lit("https://example.org/self").alias("_href"), F.lit("self").alias("_rel")),
+                    F.struct(F.col("link").alias("_href"), F.lit("alternate").alias("_rel")))
+    odd = F.col("doc_id") % 2 == 1
+    e = fx.feed_entries(spark, d).select(
+        "title", links.alias("link"), F.when(odd, F.col("description")).alias("summary"), F.when(~odd, F.col("description")).alias("content"),
+        F.when(odd, F.col("published")).alias("published"), F.when(~odd, F.col("published")).alias("updated"))
+    e.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+    return readers.read_atom_entries(spark, path).select("title", "link", "description", "pubDate")
 
 
 @register("scan_tracker", duck_with("tracker_v") +
           "SELECT community, blog_name, rss_url, last_fetched FROM tracker_v")
 def scan_tracker(spark, d):
-    js = fx.tracker(spark, d).select(F.to_json(F.struct("*")).alias("js"))
-    t = js.select(readers.parse_tracker(F.col("js")).alias("t")).select("t.*")
-    return C.explode_feeds(t)
+    path = sinks.write_tracker(fx.tracker(spark, d), scratch_path(spark, "tracker"))
+    return C.explode_feeds(readers.read_tracker(spark, path))
 
 
-ARTICLE_COLS = ["seq", "community", "blog_name", "url", "title", "description", "date_published", "posted"]
+ARTICLE_COLS = ["article_id", "community", "blog_name", "url", "title", "description", "date_published", "posted", "seq"]
 
 
 @register("scan_articles", duck_with("articles_v") + f"SELECT {', '.join(ARTICLE_COLS)} FROM articles_v")
 def scan_articles(spark, d):
-    from feedspark.schemas import ARTICLE
-    js = fx.articles(spark, d).select(F.to_json(F.struct("*")).alias("js"))
-    return js.select(F.from_json("js", ARTICLE).alias("a")).select(*[f"a.{c}" for c in ARTICLE_COLS])
+    path = sinks.write_articles(fx.articles(spark, d), scratch_path(spark, "articles"), fmt="json")
+    return readers.read_articles(spark, path, "json-lines").select(*ARTICLE_COLS)
 
 
 @register("scan_pages", "SELECT CAST(page_id AS BIGINT) AS page_id, url, html FROM pages")
@@ -105,34 +116,57 @@ def _collect(spark, d, compat=False):
                            run_date=RUN_DATE, compat=compat)
 
 
+KEY_SQL = f"'dnd|' || source || '|{RUN_DATE}|' || doc_id"
 NEW_ROWS_SQL = (
     f"SELECT 'dnd' AS community, source AS blog_name, link AS url, title, {s.clean_desc('description')} AS description, "
-    f"exp_iso AS date_published, FALSE AS posted FROM feed_v WHERE exp_ts > {WM_SQL}")
-OLD_ROWS_SQL = ("SELECT community, blog_name, url, title, description, date_published, posted FROM articles_v")
-OUT_COLS = ["community", "blog_name", "url", "title", "description", "date_published", "posted"]
+    f"exp_iso AS date_published, FALSE AS posted, {KEY_SQL} AS article_id FROM feed_v WHERE exp_ts > {WM_SQL}")
+OUT_COLS = ["community", "blog_name", "url", "title", "description", "date_published", "posted", "article_id"]
+OLD_ROWS_SQL = f"SELECT {', '.join(OUT_COLS)} FROM articles_v"
+ALL_ROWS_SQL = duck_with("articles_v", "feed_v") + OLD_ROWS_SQL + " UNION ALL " + NEW_ROWS_SQL
 
 
-@register("collect_batch", duck_with("articles_v", "feed_v") + OLD_ROWS_SQL + " UNION ALL " + NEW_ROWS_SQL)
+@register("collect_batch", ALL_ROWS_SQL)
 def collect_batch(spark, d):
     return _collect(spark, d).articles.select(*OUT_COLS)
 
 
-@register("articles_by_date", duck_with("articles_v", "feed_v") + OLD_ROWS_SQL + " UNION ALL " + NEW_ROWS_SQL)
+def with_position(ordered: DataFrame) -> DataFrame:
+    """``ordered`` with each row's position (from 0): rows are numbered within
+    their partition, partitions by their counts (one row each)."""
+    rows = settle(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part, here = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.withColumn("_part", part).join(before, "_part").withColumn("position", F.col("_before") + here).drop("_part", "_at", "_before")
+
+
+@register("articles_by_date", duck_with("articles_v", "feed_v") + f"""
+SELECT community, url, article_id, date_published, row_number() OVER (ORDER BY ts, run, seq, article_id) - 1 AS position FROM (
+SELECT community, url, article_id, date_published, published_at AS ts, '' AS run, seq FROM articles_v UNION ALL
+SELECT 'dnd', link, {KEY_SQL}, exp_iso, exp_ts, '{RUN_DATE}', doc_id FROM feed_v WHERE exp_ts > {WM_SQL})""")
 def articles_by_date(spark, d):
-    r = _collect(spark, d)
-    return r.articles.select(*OUT_COLS)
+    return with_position(_collect(spark, d).articles.select("community", "url", "article_id", "date_published"))
 
 
 @register("append_articles", duck_with("articles_v", "feed_v") +
-          "SELECT community, blog_name, url, date_published, posted, FALSE AS is_new FROM articles_v UNION ALL "
-          f"SELECT 'dnd', source, link, exp_iso, FALSE, TRUE FROM feed_v WHERE exp_ts > {WM_SQL}")
+          "SELECT community, blog_name, url, date_published, posted, article_id, FALSE AS is_new FROM articles_v UNION ALL "
+          f"SELECT 'dnd', source, link, exp_iso, FALSE, {KEY_SQL}, TRUE FROM feed_v WHERE exp_ts > {WM_SQL}")
 def append_articles(spark, d):
-    existing = fx.articles(spark, d)
-    top = existing.select(F.max("seq")).scalar()
     feeds = C.explode_feeds(fx.tracker(spark, d))
     new = C.to_articles(C.since_watermark(C.dated_entries(C.entries_with_feed(fx.feed_entries(spark, d), feeds))))
-    return C.append_articles(existing, new).select(
-        "community", "blog_name", "url", "date_published", "posted", (F.col("seq") > top).alias("is_new"))
+    return C.append_articles(fx.articles(spark, d), new, RUN_DATE).select(
+        "community", "blog_name", "url", "date_published", "posted", "article_id", (F.col("run") == RUN_DATE).alias("is_new"))
+
+
+@register("collect_rejects", duck_with("feed_v") +
+          "SELECT 'dnd' AS community, source AS blog_name, feed_url, link, title, published, 'date' AS reason FROM feed_v WHERE exp_ts IS NULL "
+          "AND source <> 'src3' UNION ALL "
+          "SELECT NULL, NULL, feed_url, link, title, published, 'feed' FROM feed_v WHERE source = 'src3'")
+def collect_rejects(spark, d):
+    """The feed of one source is tracked by no blog in this run."""
+    tracker = fx.tracker(spark, d).where(F.col("blogs")[0]["blog_name"] != "src3")
+    r = C.collect_batch(tracker, fx.feed_entries(spark, d), fx.articles(spark, d), run_date=RUN_DATE)
+    return r.rejects.select("community", "blog_name", "feed_url", "link", "title", "published", "reason")
 
 
 @register("explode_feeds", duck_with("feed_v", "tracker_v") +
@@ -147,7 +181,7 @@ def explode_feeds(spark, d):
           f"SELECT 'dnd' AS community, source AS blog_name, link AS url, title, {s.clean_desc('description')} AS description, "
           f"exp_iso AS date_published, FALSE AS posted FROM feed_v WHERE exp_ts > {WM_SQL}")
 def to_articles(spark, d):
-    return _collect(spark, d).new_articles.select(*OUT_COLS)
+    return _collect(spark, d).new_articles.select(*OUT_COLS[:-1])
 
 
 @register("new_article_count", duck_with("feed_v") +
@@ -177,18 +211,19 @@ def since_watermark(spark, d):
     return e.select(big("doc_id").alias("doc_id"), "date_published")
 
 
-@register("write_articles", duck_with("articles_v", "feed_v") + OLD_ROWS_SQL + " UNION ALL " + NEW_ROWS_SQL)
+@register("write_articles", ALL_ROWS_SQL)
 def write_articles(spark, d):
-    from feedspark.session import scratch_path
-    path = sinks.write_articles(_collect(spark, d).articles, scratch_path(spark, "articles"))
-    return readers.read_articles(spark, path).select(*OUT_COLS)
+    root = scratch_path(spark, "articles")
+    sinks.write_articles(_collect(spark, d).articles, root)
+    return readers.read_articles(spark, sinks.current_path(spark, root)).select(*OUT_COLS)
 
 
 @register("write_tracker", duck_with("tracker_v") +
           f"SELECT community, blog_name, rss_url, '{RUN_DATE}' AS last_fetched FROM tracker_v")
 def write_tracker(spark, d):
-    from feedspark.session import scratch_path
-    path = sinks.write_tracker(_collect(spark, d).tracker, scratch_path(spark, "tracker"))
+    root = scratch_path(spark, "tracker")
+    sinks.write_tracker(_collect(spark, d).tracker, root)
+    path = sinks.current_path(spark, root)
     return C.explode_feeds(readers.read_tracker(spark, path))
 
 
@@ -305,7 +340,7 @@ def unposted(spark, d):
     return Q.unposted(fx.articles(spark, d)).select("seq", "community")
 
 
-NEXT_SQL = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY published_at, seq) AS queue_pos "
+NEXT_SQL = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY published_at, seq, article_id) AS queue_pos "
             "FROM articles_v WHERE NOT posted) WHERE queue_pos <= {n}")
 
 
@@ -344,17 +379,16 @@ def render_posts(spark, d):
 
 @register("write_outbox", duck_with("articles_v") + _render_sql(NEXT_SQL.format(n=1)))
 def write_outbox(spark, d):
-    from feedspark.session import scratch_path
     root = scratch_path(spark, "outbox")
     sinks.write_outbox(Q.render_posts(Q.next_to_post(fx.articles(spark, d))), root)
     return spark.read.parquet(root).select("community", "title", "content", "url")
 
 
 @register("mark_posted", duck_with("articles_v") +
-          f"SELECT seq, posted OR seq IN (SELECT seq FROM ({NEXT_SQL.format(n=1)})) AS posted FROM articles_v")
+          f"SELECT article_id, posted OR article_id IN (SELECT article_id FROM ({NEXT_SQL.format(n=1)})) AS posted FROM articles_v")
 def mark_posted(spark, d):
     a = fx.articles(spark, d)
-    return Q.mark_posted(a, Q.next_to_post(a)).select("seq", "posted")
+    return Q.mark_posted(a, Q.next_to_post(a)).select("article_id", "posted")
 
 
 # ============================================================ bills
@@ -450,16 +484,20 @@ def union_feeds(spark, d):
 
 
 @register("bills_newest_first", duck_with("bills_v") +
-          "SELECT seq, strftime(wall_ts, '%Y-%m-%d %H:%M:%S') AS pub_date FROM bills_v WHERE type <> 'Votes'")
+          "SELECT seq, strftime(wall_ts, '%Y-%m-%d %H:%M:%S') AS pub_date, "
+          "row_number() OVER (ORDER BY strftime(wall_ts, '%Y-%m-%d %H:%M:%S') DESC, seq) - 1 AS position FROM bills_v WHERE type <> 'Votes'")
 def bills_newest_first(spark, d):
-    return B.bills_newest_first(_bills(spark, d, only_enabled=True)).select("seq", "pub_date")
+    return with_position(B.bills_newest_first(_bills(spark, d, only_enabled=True)).select("seq", "pub_date"))
 
 
 @register("bill_to_article", bills_with("bills_sv") +
-          f"SELECT seq, 'politics' AS community, type AS blog_name, bill_link AS url, bill_title AS title, "
-          f"bill_description AS description, pub_date AS date_published, posted FROM ({BILL_ROW_SQL})")
+          f"SELECT 'politics|' || type || '||' || seq AS article_id, seq, 'politics' AS community, type AS blog_name, bill_link AS url, "
+          f"bill_title AS title, bill_description AS description, pub_date AS date_published, posted, "
+          f"strftime({BILL_INSTANT}, '%Y-%m-%d %H:%M:%S') AS published_utc "
+          f"FROM ({BILL_ROW_SQL.replace('FROM bills_sv', ', wall_ts, off_min FROM bills_sv')})")
 def bill_to_article(spark, d):
-    return B.bill_to_article(_bills(spark, d)).select(*ARTICLE_COLS)
+    return B.bill_to_article(_bills(spark, d)).select(
+        *ARTICLE_COLS, F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_utc"))
 
 
 @register("vote_result", duck_with("bills_v") +
@@ -565,25 +603,6 @@ def content_snippet(spark, d):
     return _pc(spark, d).select("page_id", "snippet")
 
 
-def _facts(spark, d):
-    return _rich(spark, d).select("page_id", container_facts(F.col("html")).alias("f"))
-
-
-@register("container_first_paragraph", "SELECT CAST(page_id AS BIGINT) AS page_id, 'Overview of page ' || page_id AS overview FROM pages")
-def container_first_paragraph(spark, d):
-    return _facts(spark, d).select("page_id", F.coalesce("f.content_child_p", F.lit("")).alias("overview"))
-
-
-@register("container_paragraphs", "SELECT CAST(page_id AS BIGINT) AS page_id, 'Part one ' || page_id || ' Part two' AS summary_text FROM pages")
-def container_paragraphs(spark, d):
-    return _facts(spark, d).select("page_id", F.coalesce("f.summary_text", F.lit("")).alias("summary_text"))
-
-
-@register("container_first_link", "SELECT CAST(page_id AS BIGINT) AS page_id, '/explain/' || page_id AS href FROM pages")
-def container_first_link(spark, d):
-    return _facts(spark, d).select("page_id", F.coalesce("f.explainer_href", F.lit("")).alias("href"))
-
-
 # ============================================================ sentences, chunks, summaries
 
 def _docs(spark, d):
@@ -744,26 +763,23 @@ def novel_points(spark, d):
 
 # ---- the queue that summarizes (UD4)
 
-QUEUE_SQL = (duck_with("articles_v") + f""", fetched_v AS (SELECT * FROM articles_v WHERE url IN (SELECT url FROM pages)),
-picked AS ({NEXT_SQL.format(n=1).replace("FROM articles_v", "FROM fetched_v")}),
+QUEUE_SQL = (duck_with("articles_v") + f""",
+picked AS ({NEXT_SQL.format(n=1)}),
 pbody AS (SELECT url, {s.drop_boilerplate('html')} AS body FROM pages),
 ppc AS (SELECT url, {s.kept_paragraphs(s.paragraphs('body'), 'title')} AS kept
         FROM (SELECT url, body, {s.page_title('body')} AS title FROM pbody)),
 pcontent AS (SELECT url, min(array_to_string(kept, chr(10))) AS content FROM ppc GROUP BY url),
-jobs AS (SELECT p.community, p.title, p.url, p.seq, c.content FROM picked p LEFT JOIN pcontent c ON p.url = c.url),
-docsq AS (SELECT seq AS doc_id, content AS text FROM jobs),
+jobs AS (SELECT p.community, p.title, p.url, p.article_id, c.content FROM picked p LEFT JOIN pcontent c ON p.url = c.url),
+docsq AS (SELECT article_id AS doc_id, content AS text FROM jobs),
 """ + rank_ctes("docsq") + ", " + summary_ctes("docsq") + """
 SELECT j.community, j.title, coalesce(nov.summary, 'None') || chr(10) || chr(10) || '[Read more](' || j.url || ')' AS content,
        j.url, array_to_string(nov.np, chr(10)) AS main_points
-FROM jobs j LEFT JOIN nov ON j.seq = nov.doc_id""")
+FROM jobs j LEFT JOIN nov ON j.article_id = nov.doc_id""")
 
 
 @register("summarize_queue", QUEUE_SQL)
 def summarize_queue(spark, d):
-    # The summarizer's queue: articles whose page has been fetched.
-    pages = fx.table(spark, d, "pages").select("url", "html")
-    fetched = fx.articles(spark, d).join(pages.select("url"), "url", "left_semi")
-    out, _ = U.summarize_queue(fetched, pages)
+    out, _ = U.summarize_queue(fx.articles(spark, d), fx.table(spark, d, "pages").select("url", "html"))
     return out.select("community", "title", "content", "url", F.array_join("main_points", "\n").alias("main_points"))
 
 
@@ -771,7 +787,7 @@ def summarize_queue(spark, d):
 
 @register("collect_stream", duck_with("feed_v") +
           f"SELECT 'dnd' AS community, source AS blog_name, link AS url, title, {s.clean_desc('description')} AS description, "
-          "exp_iso AS date_published, FALSE AS posted FROM feed_v")
+          "exp_iso AS date_published, FALSE AS posted, 'dnd|' || source || '|stream|' || doc_id AS article_id FROM feed_v WHERE exp_ts IS NOT NULL")
 def collect_stream(spark, d):
     from feedspark.streaming.collect_stream import collect_stream_once
     return collect_stream_once(spark, fx.feed_entries(spark, d), fx.tracker(spark, d)).select(*OUT_COLS)

@@ -10,10 +10,17 @@ test data holds (``&amp;`` last, so nothing is decoded twice).
 from __future__ import annotations
 
 from feedspark.config import STOP_WORDS
-from feedspark.functions import html as H
 from feedspark.functions.text import PY_NON_WS, PY_WS
 
 
+# What the elements look like, stated for DuckDB's RE2.
+HEADER, FOOTER, TITLE, PARAGRAPH = (rf"(?is)<{name}(?:\s[^>]*)?>{body}</{name}>" for name, body in
+                                    (("header", ".*?"), ("footer", ".*?"), ("title", "(.*?)"), ("p", "(.*?)")))
+META_BY_NAME = r"""(?is)<meta\s[^>]*\bname\s*=\s*["']description["'][^>]*>"""
+META_BY_PROPERTY = r"""(?is)<meta\s[^>]*\bproperty\s*=\s*["']og:description["'][^>]*>"""
+CONTENT = r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
+
 def q(s: str) -> str:
     """SQL string literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -52,6 +59,7 @@ def single_line(x):
 
 def clean_url(x):
     u = f"regexp_replace(regexp_replace(regexp_replace({x}, '[\\t\\r\\n]', '', 'g'), '^[\\x00-\\x20]+', ''), '[?#].*$', '')"
+    u = f"(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*:')) || regexp_replace({u}, '^[A-Za-z][A-Za-z0-9+.-]*:', ''))"
     return (f"(CASE WHEN regexp_matches({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$') THEN {u} "
             f"ELSE regexp_replace({u}, '^(.*/[^/;]*);[^/]*$', '\\1') END)")
 
@@ -62,24 +70,24 @@ def iso_utc(ts):
 
 
 def drop_boilerplate(x):
-    return f"regexp_replace(regexp_replace({x}, {q(H.HEADER_RE)}, '', 'g'), {q(H.FOOTER_RE)}, '', 'g')"
+    return f"regexp_replace(regexp_replace({x}, {q(HEADER)}, '', 'g'), {q(FOOTER)}, '', 'g')"
 
 
 def page_title(body):
-    return unescape(strip_tags(f"regexp_extract({body}, {q(H.TITLE_RE)}, 1)"))
+    return unescape(strip_tags(f"regexp_extract({body}, {q(TITLE)}, 1)"))
 
 
 def meta_description(body):
-    name = f"regexp_extract({body}, {q(H.META_NAME_RE)}, 0)"
-    prop = f"regexp_extract({body}, {q(H.META_PROP_RE)}, 0)"
+    name = f"regexp_extract({body}, {q(META_BY_NAME)}, 0)"
+    prop = f"regexp_extract({body}, {q(META_BY_PROPERTY)}, 0)"
     tag = f"(CASE WHEN {name} <> '' THEN {name} ELSE {prop} END)"
-    dq = f"regexp_extract({tag}, {q(H.CONTENT_ATTR_RE)}, 1)"
-    sq = f"regexp_extract({tag}, {q(H.CONTENT_ATTR_RE)}, 2)"
+    dq = f"regexp_extract({tag}, {q(CONTENT)}, 1)"
+    sq = f"regexp_extract({tag}, {q(CONTENT)}, 2)"
     return unescape(f"(CASE WHEN {tag} = '' THEN '' WHEN {dq} <> '' THEN {dq} ELSE {sq} END)")
 
 
 def paragraphs(body):
-    return f"list_transform(regexp_extract_all({body}, {q(H.PARAGRAPH_RE)}, 1), lambda p: {unescape(strip_tags('p'))})"
+    return f"list_transform(regexp_extract_all({body}, {q(PARAGRAPH)}, 1), lambda p: {unescape(strip_tags('p'))})"
 
 
 def kept_paragraphs(paras, title):

@@ -10,12 +10,6 @@ FEED_ITEM = T.StructType([
     T.StructField("description", S), T.StructField("pubDate", S),
 ])
 
-# Blog entry as the collector sees it.
-FEED_ENTRY = T.StructType([
-    T.StructField("feed_url", S), T.StructField("link", S), T.StructField("title", S),
-    T.StructField("description", S), T.StructField("published", S),
-])
-
 TRACKER = T.StructType([
     T.StructField("community", S),
     T.StructField("last_fetched", S),
@@ -23,24 +17,24 @@ TRACKER = T.StructType([
         T.StructField("blog_name", S), T.StructField("rss_url", S)]))),
 ])
 
-# The stored article table.  ``seq`` keeps the stored order; ``published_at``
-# is the instant behind the ISO string ``date_published``.
+# Atom entry: the link is an attribute, the text is summary or content.
+ATOM_ENTRY = T.StructType([
+    T.StructField("title", S),
+    T.StructField("link", T.ArrayType(T.StructType([T.StructField("_href", S), T.StructField("_rel", S)]))),
+    T.StructField("summary", S), T.StructField("content", S),
+    T.StructField("published", S), T.StructField("updated", S),
+])
+
+# The stored article table.  ``article_id`` names a row for good (community,
+# blog, run and position in the run): joins, windows and marks use it.  Stored
+# order is (published_at, run, seq, article_id); ``seq`` alone names nothing.
 ARTICLE = T.StructType([
-    T.StructField("seq", L), T.StructField("community", S), T.StructField("blog_name", S),
+    T.StructField("article_id", S), T.StructField("community", S), T.StructField("blog_name", S),
     T.StructField("url", S), T.StructField("title", S), T.StructField("description", S),
     T.StructField("date_published", S), T.StructField("published_at", TS),
-    T.StructField("posted", B),
-])
-
-BILL_ARTICLE = T.StructType([
-    T.StructField("seq", L),
-    T.StructField("bill_title", S), T.StructField("bill_link", S),
-    T.StructField("bill_description", S), T.StructField("bill_overview", S),
-    T.StructField("bill_text", S), T.StructField("bill_summary", S),
-    T.StructField("pub_date", S), T.StructField("posted", B), T.StructField("type", S),
-    T.StructField("vote_result", S), T.StructField("last_action", S),
-    T.StructField("next_step", S),
+    T.StructField("posted", B), T.StructField("run", S), T.StructField("seq", L),
 ])
+STORED_ORDER = ("published_at", "run", "seq", "article_id")
 
 PAGE = T.StructType([T.StructField("url", S), T.StructField("html", S)])
 
@@ -48,8 +42,3 @@ FEED_CATALOG = T.StructType([
     T.StructField("feed_url", S), T.StructField("type", S),
     T.StructField("file", S), T.StructField("enabled", B),
 ])
-
-OUTBOX = T.StructType([
-    T.StructField("community", S), T.StructField("title", S),
-    T.StructField("content", S), T.StructField("url", S), T.StructField("seq", L),
-])

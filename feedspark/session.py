@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_utc(spark: SparkSession) -> SparkSession:
@@ -46,6 +46,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a small or reused result to the shared scratch folder and read it
+    back: computed once, safe against lost executors, and of a size that the
+    planner knows, so that it decides by bytes whether to broadcast it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_session(master: str | None = None, cpus: int | None = None,
                   app: str = "feedspark") -> SparkSession:
     """Session for tests and the benchmark (local mode).

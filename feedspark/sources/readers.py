@@ -3,7 +3,7 @@ feeds, trackers, article tables and pages are files or tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark import schemas
@@ -26,23 +26,35 @@ def read_feed_items(spark: SparkSession, path: str, row_tag: str = "item",
     return df
 
 
-def parse_feed_items(xml_col: Column, schema=schemas.FEED_ITEM) -> Column:
-    """S1 for item documents held in a column (one ``<item>`` per value)."""
-    return F.from_xml(xml_col, schema, {"ignoreSurroundingSpaces": "false"})
+def read_atom_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Every Atom ``<entry>`` at ``path`` with the columns of
+    ``read_feed_items``: the alternate link (or else the first), published or
+    else updated, summary or else content."""
+    df = (spark.read.format("xml").option("rowTag", "entry").option("ignoreSurroundingSpaces", "false")
+          .schema(schemas.ATOM_ENTRY).load(path))
+    links = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.coalesce(F.get(links, 0), F.get(F.col("link"), 0))["_href"]
+    return df.select("title", link.alias("link"), F.coalesce("summary", "content").alias("description"),
+                     F.coalesce("published", "updated").alias("pubDate"),
+                     F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("entry_id"))
 
 
-def xml_escape(col: Column) -> Column:
-    c = F.replace(col, F.lit("&"), F.lit("&amp;"))
-    c = F.replace(c, F.lit("<"), F.lit("&lt;"))
-    return F.replace(c, F.lit(">"), F.lit("&gt;"))
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Items of RSS files and entries of Atom files, as feed entries with the
+    name of their file."""
+    both = read_feed_items(spark, path).unionByName(read_atom_entries(spark, path))
+    return both.select("entry_id", F.element_at(F.split("source_file", "/"), -1).alias("file"), "link", "title",
+                       "description", F.col("pubDate").alias("published"))
 
 
-def item_xml(title: Column, link: Column, description: Column, pub_date: Column) -> Column:
-    """Serialise one feed item (the inverse of ``parse_feed_items``)."""
-    def el(name, v):
-        return F.concat(F.lit(f"<{name}>"), xml_escape(v), F.lit(f"</{name}>"))
-    return F.concat(F.lit("<item>"), el("title", title), el("link", link),
-                    el("description", description), el("pubDate", pub_date), F.lit("</item>"))
+def read_feed_map(spark: SparkSession, path: str) -> DataFrame:
+    """Which feed a file was fetched from: JSON lines of (file, feed_url)."""
+    return spark.read.schema("file string, feed_url string").json(path).distinct()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 # S2
@@ -52,14 +64,13 @@ def read_tracker(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return spark.read.schema(schemas.TRACKER).option("multiLine", multi_line).json(path)
 
 
-def parse_tracker(json_col: Column) -> Column:
-    return F.from_json(json_col, schemas.TRACKER)
-
-
 # S3
 def read_articles(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """``fmt``: parquet, json (one array a file) or json-lines."""
     reader = spark.read.schema(schemas.ARTICLE)
-    if fmt == "json":
+    if fmt == "json-lines":
+        fmt = "json"
+    elif fmt == "json":
         reader = reader.option("multiLine", True)
     return reader.format(fmt).load(path)
 
@@ -70,12 +81,14 @@ STORED_ARTICLE = "blog_name string, url string, title string, description string
                  "date_published string, posted boolean"
 
 
-def import_article_file(spark: SparkSession, path: str, community: str) -> DataFrame:
+def import_article_file(spark: SparkSession, path: str, community: str, run: str = "") -> DataFrame:
     """Read an article file in the reference's format into the ARTICLE
     schema.  The array order is the stored order, so ``seq`` is the row's
     position in its file (one file is one task; ids increase in file order);
-    ``published_at`` is parsed from the ISO string."""
+    the key holds the community and ``run`` (give each further file of a
+    community its own); ``published_at`` is parsed from the ISO string."""
     from feedspark.functions.dates import parse_published
+    from feedspark.operators.collect import article_key
 
     df = spark.read.schema(STORED_ARTICLE).option("multiLine", True).json(path)
     p = parse_published(F.col("date_published"))
@@ -83,7 +96,8 @@ def import_article_file(spark: SparkSession, path: str, community: str) -> DataF
         F.monotonically_increasing_id().alias("seq"), F.lit(community).alias("community"),
         "blog_name", "url", "title", F.coalesce(F.col("description"), F.lit("")).alias("description"),
         "date_published", p["published_at"].alias("published_at"),
-        F.coalesce(F.col("posted"), F.lit(False)).alias("posted"))
+        F.coalesce(F.col("posted"), F.lit(False)).alias("posted"), F.lit(run).alias("run")).withColumn(
+        "article_id", article_key("community", "blog_name", "run", "seq")).select(*schemas.ARTICLE.fieldNames())
 
 
 # S4

@@ -1,23 +1,46 @@
 """Sinks.
 
-Tables are never overwritten in place: each write goes to a new version
-folder, and a small pointer file names the current one, so a failed or
-retried job never leaves a half-written table behind and a reader never
-reads the folder it is replacing.  Spark's file commit protocol makes each
-version folder all-or-nothing.
+Tables are never overwritten in place: each whole-table write goes to a new
+version folder, and only then is a pointer row appended under
+``<root>/_current``, so a failed or retried job never leaves a half-written
+table behind, and the next run finds the newest whole version with
+``current_path``.  Spark's file commit protocol makes each version folder, and
+each pointer row, all-or-nothing.
 """
 
 from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedspark.schemas import STORED_ORDER
+
+POINTER = "_current"
 
 
 def new_version_path(root: str) -> str:
     return f"{root.rstrip('/')}/v={time.strftime('%Y%m%dT%H%M%S')}-{time.time_ns() % 1_000_000:06d}"
 
 
+def publish(spark: SparkSession, root: str, path: str) -> None:
+    """Name ``path`` as the current version of ``root``."""
+    (spark.createDataFrame([(time.time_ns(), path)], "at long, path string").coalesce(1)
+     .write.mode("append").json(f"{root.rstrip('/')}/{POINTER}"))
+
+
+def current_path(spark: SparkSession, root: str) -> str:
+    """The newest published version of ``root``; ``root`` itself if it has
+    never been written in versions."""
+    from feedspark.sources.readers import exists
+
+    pointer = f"{root.rstrip('/')}/{POINTER}"
+    if not exists(spark, pointer):
+        return root
+    return spark.read.schema("at long, path string").json(pointer).agg(F.max_by("path", "at")).first()[0]
+
+
 # K1
 def write_articles(articles: DataFrame, root: str, fmt: str = "parquet",
                    partition_by: tuple = ("community",)) -> str:
@@ -29,17 +52,34 @@ def write_articles(articles: DataFrame, root: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+    publish(articles.sparkSession, root, path)
     return path
 
 
+def append_article_rows(rows: DataFrame, root: str) -> str:
+    """Append new rows, in stored order within each file.  Rows are dealt by
+    ranges of (community, date), so a large community fills many tasks."""
+    (rows.repartitionByRange("community", "published_at").sortWithinPartitions("community", *STORED_ORDER)
+     .write.mode("append").partitionBy("community").parquet(root))
+    return root
+
+
 # K2
 def write_tracker(tracker: DataFrame, root: str) -> str:
-    """The advanced tracker, written only after the articles it covers."""
+    """The advanced tracker (configuration: one file), written only after the
+    articles that it covers."""
     path = new_version_path(root)
     tracker.coalesce(1).write.mode("errorifexists").json(path)
+    publish(tracker.sparkSession, root, path)
     return path
 
 
+def write_report(rows: DataFrame, root: str, run: str) -> str:
+    """Append a run's rejects or late counts, under the run's name."""
+    rows.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").json(root)
+    return root
+
+
 # K3
 def write_outbox(posts: DataFrame, root: str) -> str:
     """Append rendered posts to the outbox, partitioned by community.  A

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.operators.collect import dated_entries, entries_with_feed, explode_feeds, to_articles
+from feedspark.operators.collect import dated_entries, entries_with_feed, explode_feeds, key_new, rejects, to_articles
 from feedspark.schemas import FEED_ITEM
 from feedspark.session import scratch_path
 
@@ -27,13 +27,24 @@ ENTRY_COLUMNS = ["entry_id", "feed_url", "link", "title", "description", "publis
 
 def article_stream(entries_stream: DataFrame, tracker: DataFrame, compat: bool = False,
                    dedupe_delay: str | None = None) -> DataFrame:
-    """Streaming entries -> article rows (stream-static join to the feeds)."""
+    """Streaming entries -> rows of the article table (stream-static join to
+    the feeds).  Their run is ``stream``; the entry id completes the key."""
     arts = to_articles(dated_entries(entries_with_feed(entries_stream, explode_feeds(tracker)), compat=compat))
     arts = arts.filter(F.col("published_at").isNotNull())
     if dedupe_delay:
         arts = (arts.withWatermark("published_at", dedupe_delay)
-                    .dropDuplicatesWithinWatermark(["blog_name", "url"]))
-    return arts
+                    .dropDuplicatesWithinWatermark(["community", "blog_name", "url"]))
+    return key_new(arts, "stream")
+
+
+def reject_stream(entries_stream: DataFrame, tracker: DataFrame, compat: bool = False) -> DataFrame:
+    """Streaming entries whose date does not parse, or whose feed no blog
+    tracks (``feed``)."""
+    feeds = explode_feeds(tracker)
+    matched = entries_stream.join(feeds, entries_stream["feed_url"] == feeds["rss_url"], "left").drop("rss_url")
+    dated = dated_entries(matched, compat=compat).filter(F.col("published_at").isNull() | F.col("blog_name").isNull())
+    return rejects(dated.withColumn("published_at", F.lit(None).cast("timestamp"))).withColumn(
+        "reason", F.when(F.col("blog_name").isNull(), "feed").otherwise("date"))
 
 
 def rss_entry_stream(spark: SparkSession, landing: str, feed_of_file: DataFrame | None = None) -> DataFrame:
@@ -49,7 +60,7 @@ def rss_entry_stream(spark: SparkSession, landing: str, feed_of_file: DataFrame
         F.element_at(F.split(path, "/"), -1).alias("file"), path.alias("path"),
         "link", "title", "description", F.col("pubDate").alias("published"))
     if feed_of_file is not None:
-        return e.join(F.broadcast(feed_of_file), "file").drop("file", "path")
+        return e.join(feed_of_file, "file", "left").drop("file", "path")
     return e.withColumnRenamed("path", "feed_url").drop("file")
 
 
@@ -66,20 +77,27 @@ def start_collect_stream(spark: SparkSession, landing: str, schema, tracker: Dat
             reader = reader.option(k, v)
         stream = reader.load(landing)
     arts = article_stream(stream, tracker, compat, dedupe_delay)
-    writer = (arts.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    writer = (arts.writeStream.format("parquet").partitionBy("community").option("checkpointLocation", checkpoint)
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start(sink)
 
 
-def collect_stream_once(spark: SparkSession, entries: DataFrame, tracker: DataFrame,
-                        n_files: int = 4, compat: bool = False) -> DataFrame:
-    """Land ``entries`` as several files, drain them through the stream,
-    and return what the sink holds."""
+def start_rejects_stream(spark: SparkSession, landing: str, tracker: DataFrame, sink: str, checkpoint: str,
+                         feed_of_file: DataFrame | None = None, compat: bool = False):
+    """Drain what the collector cannot use of the RSS files in ``landing``."""
+    out = reject_stream(rss_entry_stream(spark, landing, feed_of_file), tracker, compat)
+    return (out.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append")
+            .trigger(availableNow=True).start(sink))
+
+
+def collect_stream_once(spark: SparkSession, entries: DataFrame, tracker: DataFrame, compat: bool = False) -> DataFrame:
+    """Land ``entries`` as files (as many as the input has partitions), drain
+    them through the stream, and return what the sink holds."""
     root = scratch_path(spark, "stream")
     landing, sink, ckpt = f"{root}/landing", f"{root}/sink", f"{root}/checkpoint"
     land = entries.select(*ENTRY_COLUMNS)
-    land.repartition(n_files).write.parquet(landing)
+    land.write.parquet(landing)
     q = start_collect_stream(spark, landing, land.schema, tracker, sink, ckpt, compat=compat)
     q.awaitTermination()
-    return spark.read.parquet(sink).drop("entry_id")
+    return spark.read.parquet(sink)

@@ -1,39 +1,104 @@
 """End-to-end jobs over files: collect then post then summarize."""
 
+import json
+import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from feedspark.plans import fixtures as fx
+from feedspark.operators.queue import mark_posted, next_to_post
 from feedspark.plans import jobs
 from feedspark.sources import readers, sinks
 
+NEW = 191  # entries of the fixture after the watermark
+
 
 def test_collect_post_summarize(spark):
     root = tempfile.mkdtemp(prefix="jobs-")
-    # inputs as files: tracker JSON, existing article table, pages
-    trk = sinks.write_tracker(fx.tracker(spark, SF_SMALL), f"{root}/in/tracker")
-    art0 = sinks.write_articles(fx.articles(spark, SF_SMALL), f"{root}/in/articles")
+    sinks.write_tracker(fx.tracker(spark, SF_SMALL), f"{root}/tracker")
+    a0 = fx.articles(spark, SF_SMALL)
+    sinks.append_article_rows(a0, f"{root}/articles")
     entries = fx.feed_entries(spark, SF_SMALL)
-    res = jobs.collect_job(spark, trk, entries, art0, f"{root}/out1", "2024-02-01")
+    res = jobs.collect_job(spark, f"{root}/tracker", entries, f"{root}/articles", root, "2024-02-01")
     arts = readers.read_articles(spark, res["articles"])
-    assert arts.count() == fx.articles(spark, SF_SMALL).count() + 199     # 199 entries after the watermark
-    assert set(r.last_fetched for r in readers.read_tracker(spark, res["tracker"]).collect()) == {"2024-02-01"}
-
-    post = jobs.post_job(spark, res["articles"], f"{root}/outbox", f"{root}/out2")
-    out = spark.read.parquet(post["outbox"])
-    assert out.count() == arts.select("community").distinct().count()
-    after = readers.read_articles(spark, post["articles"])
-    assert after.filter("posted").count() == arts.filter("posted").count() + out.count()
-
-    pages = fx.table(spark, SF_SMALL, "pages").select("url", "html")
-    pages.write.parquet(f"{root}/pages")
-    fetched = after.join(pages.select("url"), "url", "left_semi")
-    fpath = sinks.write_articles(fetched, f"{root}/in/fetched")
-    summ = jobs.summarize_job(spark, fpath, f"{root}/pages", f"{root}/outbox2", f"{root}/out3")
+    assert arts.count() == a0.count() + NEW
+    assert arts.select("article_id").distinct().count() == arts.count()
+    trk = readers.read_tracker(spark, sinks.current_path(spark, f"{root}/tracker"))
+    assert {r.last_fetched for r in trk.collect()} == {"2024-02-01"}
+    assert spark.read.json(res["rejects"]).groupBy("reason").count().collect()[0] == ("date", 8)
+
+    n = arts.select("community").distinct().count()
+    for k in (1, 2):  # nothing stored is rewritten; the outbox says what was posted
+        jobs.post_job(spark, f"{root}/articles", f"{root}/outbox")
+        out = spark.read.parquet(f"{root}/outbox")
+        assert out.count() == out.select("article_id").distinct().count() == k * n
+    p1 = next_to_post(arts)
+    p2 = next_to_post(mark_posted(arts, p1))
+    assert {r.article_id for r in out.collect()} == {r.article_id for r in p1.collect()} | {r.article_id for r in p2.collect()}
+    marked = jobs.post_job(spark, f"{root}/articles", f"{root}/outbox", f"{root}/marked")
+    after = readers.read_articles(spark, sinks.current_path(spark, f"{root}/marked/articles"))
+    assert marked["articles"] and after.filter("posted").count() == arts.filter("posted").count() + 3 * n
+
+    fx.table(spark, SF_SMALL, "pages").select("url", "html").write.parquet(f"{root}/pages")
+    summ = jobs.summarize_job(spark, f"{root}/articles", f"{root}/pages", f"{root}/outbox2")
     o2 = spark.read.parquet(summ["outbox"])
-    assert o2.count() > 0 and o2.filter(F.col("content").contains("[Read more](")).count() == o2.count()
+    assert o2.count() == n and o2.filter(F.col("content").contains("[Read more](")).count() == n
+
+
+RSS_DOC = """<rss><channel>{}</channel></rss>"""
+RSS_ITEM = "<item><title>{0}</title><link>https://x/{0}</link><description>d</description><pubDate>{1}</pubDate></item>"
+
+
+def _feed_files(root):
+    os.makedirs(f"{root}/feeds")
+    files = {"a.xml": [("a1", "Mon, 15 Jan 2024 10:00:00 GMT"), ("a2", "soon"), ("a3", "Mon, 01 Jan 2024 10:00:00 GMT")],
+             "b.xml": [("b1", "Mon, 15 Jan 2024 10:00:00 GMT")], "stray.xml": [("s1", "Mon, 15 Jan 2024 10:00:00 GMT")]}
+    for name, items in files.items():
+        with open(f"{root}/feeds/{name}", "w") as f:
+            f.write(RSS_DOC.format("".join(RSS_ITEM.format(*i) for i in items)))
+    with open(f"{root}/map.json", "w") as f:
+        f.write('{"file": "a.xml", "feed_url": "https://a/feed"}\n{"file": "b.xml", "feed_url": "https://b/feed"}\n')
+    with open(f"{root}/tracker.json", "w") as f:
+        f.write('{"community": "dnd", "last_fetched": "2024-01-10", "blogs": [{"blog_name": "A", "rss_url": "https://a/feed"}, '
+                '{"blog_name": "C", "rss_url": "https://c/feed"}]}')
+
+
+def test_cli_from_rss_files_to_articles(spark, capsys):
+    root = tempfile.mkdtemp(prefix="cli-")
+    _feed_files(root)
+    jobs.main(["collect", "--tracker", f"{root}/tracker.json", "--tracker-multiline", "--feeds", f"{root}/feeds", "--feed-map", f"{root}/map.json",
+               "--articles", f"{root}/articles", "--out", f"{root}/out", "--run-date", "2024-02-01"])
+    res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    rows = readers.read_articles(spark, res["articles"]).collect()
+    assert [(r.blog_name, r.url) for r in rows] == [("A", "https://x/a1")]
+    rejects = {(r.link, r.reason) for r in spark.read.json(res["rejects"]).collect()}
+    assert rejects == {("https://x/a2", "date"), ("https://x/b1", "feed"), ("https://x/s1", "feed")}
+    assert [(r.blog_name, r.n_late) for r in spark.read.json(res["late"]).collect()] == [("A", 1)]
+    tracker = {b.blog_name: r.last_fetched for r in readers.read_tracker(spark, res["tracker"]).collect() for b in r.blogs}
+    assert tracker == {"A": "2024-02-01", "C": "2024-01-10"}  # nothing of C was seen
+
+
+def test_cli_needs_a_feed_map():
+    with pytest.raises(SystemExit):
+        jobs.main(["collect", "--tracker", "t", "--feeds", "f", "--articles", "a", "--out", "o", "--run-date", "2024-02-01"])
+
+
+def test_stream_job_feeds_the_queue(spark):
+    root = tempfile.mkdtemp(prefix="stream-")
+    _feed_files(root)
+    args = (spark, f"{root}/tracker.json", f"{root}/feeds", readers.read_feed_map(spark, f"{root}/map.json"), f"{root}/articles", f"{root}/out")
+    for _ in range(2):  # the second call finds nothing new
+        res = jobs.stream_job(*args, tracker_multi_line=True)
+    rows = readers.read_articles(spark, res["articles"])
+    assert sorted(r.url for r in rows.collect()) == ["https://x/a1", "https://x/a3"]
+    assert rows.select("article_id").distinct().count() == 2
+    assert {(r.link, r.reason) for r in spark.read.json(res["rejects"]).collect()} == {
+        ("https://x/a2", "date"), ("https://x/b1", "feed"), ("https://x/s1", "feed")}
+    jobs.post_job(spark, f"{root}/articles", f"{root}/outbox")
+    assert [r.url for r in spark.read.parquet(f"{root}/outbox").collect()] == ["https://x/a3"]
 
 
 def test_dedupe_option(spark):
@@ -44,14 +109,14 @@ def test_dedupe_option(spark):
     empty = a.filter(F.lit(False))
     plain = collect_batch(t, twice, empty, "2024-02-01").new_articles.count()
     dd = collect_batch(t, twice, empty, "2024-02-01", dedupe=True).new_articles.count()
-    assert plain == 2 * dd == 2 * 199
+    assert plain == 2 * dd == 2 * NEW
     # against the stored table, entries whose URL is already stored go too
     stored = collect_batch(t, twice, a, "2024-02-01", dedupe=True).new_articles
-    assert stored.join(a.select("blog_name", "url"), ["blog_name", "url"], "left_semi").count() == 0
+    own = ["community", "blog_name", "url"]  # each community has a list of its own
+    assert stored.join(a.select(*own), own, "left_semi").count() == 0 < stored.count()
 
 
 def test_bills_job_from_rss_files(spark):
-    import os
     from xml.sax.saxutils import escape
 
     from feedspark import config
@@ -67,33 +132,16 @@ def test_bills_job_from_rss_files(spark):
         with open(f"{root}/rss/{f.file}", "w") as fh:
             fh.write("<rss><channel>" + "".join(by_feed.get(f.feed_url, [])) + "</channel></rss>")
     fx.bill_pages(spark, SF_SMALL).write.parquet(f"{root}/pages")
-    res = jobs.bills_job(spark, jobs.bill_items_from_files(spark, f"{root}/rss"), f"{root}/pages", f"{root}/out")
+    for _ in range(2):  # bills whose URL the queue holds are not appended again
+        res = jobs.bills_job(spark, jobs.bill_items_from_files(spark, f"{root}/rss"), f"{root}/pages", f"{root}/out",
+                             articles_root=f"{root}/articles")
     out = spark.read.json(res["bills"])
     n_enabled = sum(1 for r in items if r.feed_url != fx.catalog_url("Votes"))
     assert out.count() == n_enabled
     assert out.filter("type = 'Activity' AND bill_summary LIKE 'Part one %'").count() > 0
-
-
-def test_append_only_mode(spark):
-    """Append-only collect + post: nothing stored is rewritten; posted is
-    derived from the outbox; results equal the rewrite mode."""
-    root = tempfile.mkdtemp(prefix="append-")
-    trk = sinks.write_tracker(fx.tracker(spark, SF_SMALL), f"{root}/in/tracker")
-    a0 = fx.articles(spark, SF_SMALL)
-    a0.write.partitionBy("community").parquet(f"{root}/articles")
-    jobs.collect_append(spark, trk, fx.feed_entries(spark, SF_SMALL), f"{root}/articles", "2024-02-01",
-                        tracker_out=f"{root}/tracker")
-    arts = readers.read_articles(spark, f"{root}/articles")
-    assert arts.count() == a0.count() + 199
-    assert arts.select("seq").distinct().count() == arts.count()
-    jobs.post_append(spark, f"{root}/articles", f"{root}/outbox")
-    jobs.post_append(spark, f"{root}/articles", f"{root}/outbox")
-    out = spark.read.parquet(f"{root}/outbox")
-    n_comm = arts.select("community").distinct().count()
-    assert out.count() == 2 * n_comm and out.select("seq").distinct().count() == 2 * n_comm
-    # same picks as marking the table twice in rewrite mode
-    from feedspark.operators.queue import mark_posted, next_to_post
-    p1 = next_to_post(arts)
-    p2 = next_to_post(mark_posted(arts, p1))
-    expect = {r.seq for r in p1.collect()} | {r.seq for r in p2.collect()}
-    assert {r.seq for r in out.collect()} == expect
+    stored = readers.read_articles(spark, f"{root}/articles")
+    assert stored.count() == stored.select("article_id").distinct().count() == n_enabled
+    jobs.post_job(spark, f"{root}/articles", f"{root}/outbox")
+    posted = spark.read.parquet(f"{root}/outbox").collect()
+    oldest = min(stored.collect(), key=lambda r: (r.published_at, r.run, r.seq))
+    assert [(r.community, r.url) for r in posted] == [("politics", oldest.url)]

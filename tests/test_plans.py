@@ -50,3 +50,20 @@ def test_summary_is_per_row(spark):
 def test_scan_prunes_columns(spark):
     p = plan(queries()["page_title"](spark, SF_SMALL))
     assert "ReadSchema: struct<page_id:bigint,html:string>" in p
+
+
+def test_registered_queries_deal_nothing_round_robin(spark):
+    for name in ("page_content", "article_summary", "split_sentences", "scan_pages", "text_chunks"):
+        p = plan(queries()[name](spark, SF_SMALL))
+        assert "RoundRobin" not in p and "Exchange" not in p, name
+
+
+def test_union_of_bills_is_one_pass(spark):
+    bills = B.bill_articles(fx.bill_items(spark, SF_SMALL), fx.bill_pages(spark, SF_SMALL), B.feed_catalog(spark), only_enabled=False)
+    assert plan(B.union_feeds(bills)).count("Scan parquet") == plan(bills).count("Scan parquet")
+
+
+def test_summarize_queue_reads_articles_for_the_picks_and_the_marks_only(spark):
+    from feedspark.operators.summarize import summarize_queue
+    out, _ = summarize_queue(fx.articles(spark, SF_SMALL), fx.table(spark, SF_SMALL, "pages").select("url", "html"))
+    assert "documents.parquet" not in plan(out)  # the picks were found once and are read back

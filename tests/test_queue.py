@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from feedspark.operators.queue import mark_posted, mark_posted_by_url, next_to_post, render_posts
 from feedspark.schemas import ARTICLE
 
@@ -9,7 +11,7 @@ T0 = dt.datetime(2024, 1, 1, 10, 0)
 
 
 def _articles(spark, rows):
-    full = [(seq, c, b, u, "T" + str(seq), "line1\nline2\r", "iso", ts, p) for seq, c, b, u, ts, p in rows]
+    full = [(f"{c}|{b}||{seq}", c, b, u, "T" + str(seq), "line1\nline2\r", "iso", ts, p, "", seq) for seq, c, b, u, ts, p in rows]
     return spark.createDataFrame(full, ARTICLE)
 
 
@@ -26,7 +28,7 @@ def test_mark_posted(spark):
                           (3, "dnd", "b", "v", T0, False)])
     marked = {r.seq: r.posted for r in mark_posted(a, next_to_post(a)).collect()}
     assert marked == {1: True, 2: False, 3: False}
-    by_url = {r.seq: r.posted for r in mark_posted_by_url(a, a.filter("seq = 2").select("url")).collect()}
+    by_url = {r.seq: r.posted for r in mark_posted_by_url(a, a.filter("seq = 2").select("community", "url")).collect()}
     assert by_url == {1: True, 2: False, 3: False}   # first stored article with that URL
 
 
@@ -49,6 +51,28 @@ def test_compat_sort_orders_strings(spark):
             (2, "f", "b", "t", "d", "2024-01-01T12:00:00+00:00")]   # 12:00 UTC
     e = spark.createDataFrame(rows, "entry_id long, feed_url string, link string, title string, "
                                     "description string, published string")
-    d = dated_entries(e).withColumn("seq", e["entry_id"])
+    d = dated_entries(e).withColumn("seq", e["entry_id"]).withColumns({"run": F.lit(""), "article_id": F.col("link")})
     assert [r.link for r in articles_by_date(d).collect()] == ["b", "a"]               # by instant
     assert [r.link for r in articles_by_date(d, compat=True).collect()] == ["a", "b"]  # by string
+
+
+def test_communities_keep_their_own_queue(spark):
+    """Equal positions and equal URLs in two communities are two articles."""
+    a = _articles(spark, [(0, "dnd", "b", "u", T0, False), (0, "nfl", "b", "u", T0, False),
+                          (1, "dnd", "b", "v", T0, False), (1, "nfl", "b", "w", T0, False)])
+    first = next_to_post(a)
+    assert {r.article_id for r in first.collect()} == {"dnd|b||0", "nfl|b||0"}
+    marked = {r.article_id for r in mark_posted(a, first.filter("community = 'dnd'")).filter("posted").collect()}
+    assert marked == {"dnd|b||0"}
+    by_url = {r.article_id for r in mark_posted_by_url(a, first).filter("posted").collect()}
+    assert by_url == {"dnd|b||0", "nfl|b||0"}
+
+
+def test_one_feed_of_two_blogs_gives_two_keys(spark):
+    from feedspark.operators.collect import collect_batch
+    tracker = spark.createDataFrame([("dnd", "2024-01-01", [("one", "u"), ("two", "u")])],
+                                    "community string, last_fetched string, blogs array<struct<blog_name:string,rss_url:string>>")
+    e = spark.createDataFrame([(7, "u", "l", "t", "d", "2024-01-05")], "entry_id long, feed_url string, link string, "
+                              "title string, description string, published string")
+    new = collect_batch(tracker, e, spark.createDataFrame([], ARTICLE), "2024-02-01").new_rows
+    assert {r.article_id for r in new.collect()} == {"dnd|one|2024-02-01|7", "dnd|two|2024-02-01|7"}

@@ -3,6 +3,8 @@
 from typing import Iterator
 
 import pandas as pd
+import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from feedspark.operators.summarize import article_summary, summary_and_points
@@ -16,9 +18,11 @@ def test_default_summary(spark):
 
 
 def test_user_hook(spark):
-    def hook(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda c: "summarize: echo" if c.startswith("P0") else f"S{len(c.split(chr(10)))}.")
+    def hook(batches: Iterator[pd.Series], max_input: int, max_length: int, min_length: int) -> Iterator[pd.Series]:
+        assert (max_input, max_length, min_length) == (1024, 150, 50)
+        for s in batches:  # every chunk comes behind the prompt
+            assert s.str.startswith("summarize: P").all()
+            yield s.map(lambda c: "summarize: echo" if c.startswith("summarize: P0") else f"S{len(c.split(chr(10)))}.")
 
     text = "\n".join(f"P{i} words." for i in range(11))
     df = spark.createDataFrame([(text,), (None,)], "t string")
@@ -30,6 +34,22 @@ def test_user_hook(spark):
     assert rows[1].s is None
 
 
+def test_hook_must_answer_every_chunk(spark):
+    def hook(batches, **sizes):
+        for s in batches:
+            yield s.iloc[1:]
+
+    df = spark.createDataFrame([("one",)], "t string")
+    with pytest.raises(PythonException, match="0 summaries for 1 chunks"):
+        df.select(article_summary(F.col("t"), hook=hook)).collect()
+
+
+def test_null_ids_keep_their_row(spark):
+    from feedspark.operators.rank import main_points
+    df = spark.createDataFrame([(None, "a b. c d."), (1, "a b. c d.")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in main_points(df).collect()) == ["1", "None"]
+
+
 def test_blank_text_gives_nulls(spark):
     df = spark.createDataFrame([(1, "  "), (2, None)], "doc_id long, text string")
     got = {r.doc_id: (r.summary, r.main_points) for r in summary_and_points(df).collect()}

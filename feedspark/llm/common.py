@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from feedspark.session import scratch_path
 #: Bytes of text that a Python task works on at a time (a longer text is taken alone).
 CHUNK_BYTES = 1 << 20
 #: Most bytes of an Arrow batch between the JVM and a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: ASCII white space, the only word separators of `[^\\x20\\x09-\\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -83,6 +84,35 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], weight: str,
 
 # ---- inside tasks ----------------------------------------------------------
 
+@functools.lru_cache(maxsize=1)
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers wait for their next task
+    beside the others of their executor."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
+def giving_back(run):
+    """``run`` (an iterator function), with ``give_back`` now and then."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        for k, out in enumerate(run(batches), 1):
+            yield out
+            del out
+            if k % 16 == 0:
+                give_back()
+        give_back()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (multiply and xor-shift)."""
     x = x ^ (x >> np.uint64(30))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import bounded_batches, chunks, fresh, text_bytes
+from feedspark.llm.common import bounded_batches, chunks, fresh, give_back, text_bytes
 
 UNKNOWN = "und"
 
@@ -245,6 +245,7 @@ def identify(df: DataFrame, net: ByteGru | None, langs: list[str], text_col: str
     def classify(texts):
         import pandas as pd
 
+        give_back()
         data, offs = text_bytes(pa.Array.from_pandas(texts, type=pa.string()))
         best = []
         for lo, hi in chunks(offs):

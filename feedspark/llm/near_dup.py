@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedspark.llm.common import bounded_batches, chunks, fresh, lower_ascii, materialize, mix64, span_hashes, text_bytes, words_of
+from feedspark.llm.common import bounded_batches, chunks, fresh, giving_back, lower_ascii, materialize, mix64, span_hashes, text_bytes, words_of
 
 
 @dataclass(frozen=True)
@@ -197,7 +197,7 @@ def _size_fits(a: str, b: str, percent: int):
 def _sets_of(ids: DataFrame, texts: DataFrame, p: NearDupParams, name: str) -> DataFrame:
     """(id, shingles): the full sets of the given ids."""
     wanted = texts.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
-    return materialize(wanted.select("id", "text").mapInArrow(_sets(p), "id long, shingles binary"), f"{name}-sets")
+    return materialize(wanted.select("id", "text").mapInArrow(giving_back(_sets(p)), "id long, shingles binary"), f"{name}-sets")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, p: NearDupParams, name: str) -> DataFrame:
@@ -308,7 +308,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     p = params
     bounded_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialize(texts.mapInArrow(_sketches(p), SKETCH), "nd-sketch")
+    sketch = materialize(texts.mapInArrow(giving_back(_sketches(p)), SKETCH), "nd-sketch")
     reps = materialize(
         sketch.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n")
         .agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nd-reps")
@@ -340,7 +340,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = _sets_of(sides.select("id"), texts, p, "nd-2")
     links2 = materialize(
         sides.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .mapInPandas(_tiles(p), TILE_LINKS).distinct(), "nd-2-links")
+        .mapInPandas(giving_back(_tiles(p)), TILE_LINKS).distinct(), "nd-2-links")
     if links2.isEmpty():
         return _named(sketch, reps, first.select(F.col("id").alias("rep"), F.col("comp").alias("root")))
     named = first.select(F.col("id").alias("x"), "comp")

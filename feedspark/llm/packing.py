@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import bounded_batches, chunks, materialize, text_bytes
+from feedspark.llm.common import bounded_batches, chunks, giving_back, materialize, text_bytes
 from feedspark.llm.tokens import default_path, encoder
 
 
@@ -156,7 +156,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     p, path = params, tokenizer or default_path()
     bounded_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialize(texts.mapInArrow(_pack_partition(p, path), PIECES), "pack-pieces")
+    pieces = materialize(texts.mapInArrow(giving_back(_pack_partition(p, path)), PIECES), "pack-pieces")
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, window long, offset long"
     cols = [c.strip().split(" ")[0] for c in out.split(",")]
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import bounded_batches, SPACES, chunks, text_bytes, words_of
+from feedspark.llm.common import SPACES, bounded_batches, chunks, giving_back, text_bytes, words_of
 from feedspark.llm.tokens import UnitEncoder, default_path, encoder
 
 
@@ -173,7 +173,7 @@ def build_trees(df: DataFrame, text_col: str = "text", tokenizer: str | None = N
                     [*part.schema.names, "leaf_chars", "leaf_tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, {TREE}")
+    return df.mapInArrow(giving_back(run), f"{schema}, {TREE}")
 
 
 EDITED = "text_after string, tokens_before long, tokens_after long, reencoded_chars long, leaf_chars array<long>, leaf_tokens array<long>"
@@ -210,7 +210,7 @@ def apply_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
                      *[pa.array(x, pa.list_(pa.int64())) for x in leaves]],
                     ["doc_id", *[c.split(" ")[0] for c in EDITED.split(", ")]])
 
-    return rows.mapInArrow(run, f"doc_id long, {EDITED}")
+    return rows.mapInArrow(giving_back(run), f"doc_id long, {EDITED}")
 
 
 def edit(start: Column, deleted: Column, inserted: Column) -> Column:

@@ -194,23 +194,22 @@ def _size_fits(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def _sets_of(ids: DataFrame, texts: DataFrame, p: NearDupParams, name: str) -> DataFrame:
-    """(id, shingles): the full sets of the given ids."""
-    wanted = texts.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
-    return materialize(wanted.select("id", "text").mapInArrow(giving_back(_sets(p)), "id long, shingles binary"), f"{name}-sets")
+def _sets_of(ids: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(id, shingles): the full sets of the given ids.  The ids grow with the
+    corpus: both sides are shuffled, at any size."""
+    wanted = texts.join(ids.distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    return materialize(wanted.select("id", "text").mapInArrow(giving_back(_sets(p)), "id long, shingles binary"), "nd-sets")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, p: NearDupParams, name: str) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets."""
-    pairs = materialize(pairs, f"{name}-pairs")
-    sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, p, name)
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(a, "a").join(b, "b")
     common = both.select("a", "b", (F.length("sa") / 8).cast("long").alias("na"),
                          (F.length("sb") / 8).cast("long").alias("nb"), _common("sa", "sb").alias("c"))
     return materialize(common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * p.percent)
-                       .select("a", "b"), f"{name}-links")
+                       .select("a", "b"), "nd-1-links")
 
 
 TILE_LINKS = "a long, b long"
@@ -322,7 +321,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of = lambda c: facts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     likely = (pairs.join(of("a"), "a").join(of("b"), "b").where(_size_fits("na", "nb", p.percent))
               .where(_agreement("sa", "sb") >= p.agree).select("a", "b"))
-    links = _confirm(likely, texts, p, "nd-1")
+    sets = _sets_of(in_bucket.select("id"), texts, p)  # of all documents that share a band with another one
+    links = _confirm(likely, sets, p)
     first = materialize(components(links), "nd-comp")
 
     placed = (in_bucket.where("members > 2").join(first, "id", "left")
@@ -337,7 +337,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", "n", "sig",
                 F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
                 (F.col("own") == F.col("other")).alias("same")), "nd-sides")
-    sets = _sets_of(sides.select("id"), texts, p, "nd-2")
     links2 = materialize(
         sides.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         .mapInPandas(giving_back(_tiles(p)), TILE_LINKS).distinct(), "nd-2-links")
@@ -369,5 +368,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated with the same id are one document; all columns are returned."""
     drop = fresh(df, "_drop")
     gone = (near_duplicates(df, id_col, text_col, params).where("NOT kept")
-            .select(F.col("doc_id").alias(drop)).distinct())
+            .select(F.col("doc_id").alias(drop)).distinct().hint("merge"))
     return df.join(gone, F.col(id_col) == F.col(drop), "left_anti")

@@ -67,9 +67,9 @@ class ByteGru:
         also what backpropagation needs."""
         h, rec, table = self.hidden, self.weights[f"rec_{d}"], self.weights[f"in_{d}"]
         steps, columns = x.shape
-        out = np.empty((steps, h, columns), np.float32)
-        state = np.zeros((h, columns), np.float32)
-        seen, rest = np.empty((3 * h, columns), np.float32), np.empty((3 * h, columns), np.float32)
+        out = np.empty((steps, h, columns), rec.dtype)
+        state = np.zeros((h, columns), rec.dtype)
+        seen, rest = np.empty((3 * h, columns), rec.dtype), np.empty((3 * h, columns), rec.dtype)
         memo = []
         for t in range(steps):
             np.take(table, x[t], axis=1, out=seen, mode="clip")
@@ -125,7 +125,7 @@ class ByteGru:
             above["b"][steps - 1 - t] = w["out"][:, h:].T @ y
         for d, xs in (("f", x), ("b", x[::-1])):
             rec, memo = w[f"rec_{d}"], runs[d][1]
-            down = np.zeros((h, columns), np.float32)
+            down = np.zeros((h, columns), rec.dtype)
             for t in range(steps - 1, -1, -1):
                 state, gates, rest, new = memo[t]
                 down = down + above[d][t]

@@ -101,7 +101,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_licences": licence_oracle(),
-    "op6_shards": op6_shards,
     "op7_neighbours": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings

@@ -60,7 +60,7 @@ def crc32_mod3(doc_id: Column) -> Column:
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], weight: str, out: str,
-                rows_per_bucket: int = 4000) -> DataFrame:
+                rows_per_bucket: int = 1000) -> DataFrame:
     """``out``: the sum of ``weight`` over the rows of the same group that come
     before this one.  Rows are ordered by (bucket of a hash of ``order``,
     ``order``), so that a group of any size is spread over many tasks: only

@@ -1,14 +1,16 @@
 """Sharding by a k-d tree over document metadata.
 
 The table is split recursively: a node that is to give k shards is cut along
-its widest metadata dimension at the weighted median (for odd k at the
-quantile floor(k/2)/k), weighted by bytes, until every leaf is one shard of
-about the target bytes.  All cuts of a level are found together: histograms
+its widest metadata dimension at the weighted median (in general at the share
+of its bytes that the first k/2 shards have room for), until every leaf is one
+shard of about the target bytes.  All cuts of a level are found together: histograms
 of bounded size narrow each cut down to where a bin holds next to nothing, so
 only bin sums reach the driver, and the tree is applied as one expression.
 
 Documents with equal texts form a group that is never cut: a group is one
 point, at the metadata of its smallest id, with the bytes of all its members.
+The few groups of more than 1/16 of a shard are dealt first, largest to the
+emptiest shard; the tree shares out the room that they leave.
 Every dimension is scaled to 0..1 and spread by a hash of the text within
 equal values, so that a value held by a third of all rows can be cut as well.
 
@@ -34,6 +36,8 @@ class ShardParams:
     #: Bins of a histogram, and the share of a node that a cut may miss.
     bins: int = 1024
     miss: float = 2e-4
+    #: Groups of at least this part of a shard are dealt before the tree.
+    heavy: float = 1 / 16
 
 
 @dataclass
@@ -64,11 +68,32 @@ def _place(node: Node, axes: list[str]) -> Column:
     return F.when(F.col(axes[node.axis]) < node.at, left).otherwise(right)
 
 
-def _cuts(points: DataFrame, root: Node, level: list[Node], axes: list[str], p: ShardParams) -> None:
+def room_left(heavy: list[int], rest: int, shards: int) -> tuple[list[int], list[float]]:
+    """Deal ``heavy`` (descending) to the emptiest shards; the shard of each,
+    and the room for the ``rest`` that makes all shards as even as can be."""
+    load = [0] * shards
+    dealt = []
+    for size in heavy:
+        k = min(range(shards), key=lambda i: (load[i], i))
+        load[k] += size
+        dealt.append(k)
+    full = sorted(load)
+    for k in range(shards, 0, -1):  # the k emptiest shards share the rest
+        level = (rest + sum(full[:k])) / k
+        if level >= full[k - 1]:
+            break
+    return dealt, [max(0.0, level - x) for x in load]
+
+
+def _cuts(points: DataFrame, root: Node, level: list[Node], axes: list[str], room: list[float], p: ShardParams) -> None:
     """Choose axis and cut of every node of ``level``."""
     placed = points.withColumn("node", _place(root, axes))
     extents = {r["node"]: r for r in placed.groupBy("node").agg(
         F.sum("bytes").alias("bytes"), *[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes]).collect()}
+    def share(n: Node) -> float:
+        own = room[n.first:n.first + n.shards]
+        return sum(own[:n.shards // 2]) / (sum(own) or 1.0)
+
     todo: dict[int, dict] = {}
     for n in level:
         r = extents.get(n.number)
@@ -77,7 +102,7 @@ def _cuts(points: DataFrame, root: Node, level: list[Node], axes: list[str], p:
             continue
         n.axis = max(range(len(axes)), key=lambda i: r[f"hi_{axes[i]}"] - r[f"lo_{axes[i]}"])
         low, high = r[f"lo_{axes[n.axis]}"], math.nextafter(r[f"hi_{axes[n.axis]}"], 2.0)
-        todo[n.number] = {"node": n, "low": low, "high": high, "under": 0, "all": r["bytes"], "goal": r["bytes"] * (n.shards // 2) / n.shards}
+        todo[n.number] = {"node": n, "low": low, "high": high, "under": 0, "all": r["bytes"], "goal": r["bytes"] * share(n)}
     while todo:
         number = F.col("node")
         pick = lambda f: F.coalesce(*[F.when(number == k, F.lit(f(t))) for k, t in todo.items()])
@@ -101,11 +126,11 @@ def _cuts(points: DataFrame, root: Node, level: list[Node], axes: list[str], p:
                 t["low"], t["high"], t["under"] = least, math.nextafter(most, 2.0), under
 
 
-def grow(points: DataFrame, axes: list[str], p: ShardParams) -> Node:
+def grow(points: DataFrame, axes: list[str], room: list[float], p: ShardParams) -> Node:
     root = Node(0, p.shards, 0)
     level, count = [root], 1
     while level := [n for n in level if n.shards > 1]:
-        _cuts(points, root, level, axes, p)
+        _cuts(points, root, level, axes, room, p)
         for n in level:
             half = n.shards // 2
             n.below = [Node(count, half, n.first), Node(count + 1, n.shards - half, n.first + half)]
@@ -139,8 +164,15 @@ def assign(df: DataFrame, metadata: dict[str, Column], id_col: str = "doc_id", t
     points = materialize(groups.select(*key, "bytes", *[
         _unit(F.col(n), ends[f"lo_{n}"], ends[f"hi_{n}"], u).alias(n) if ends[f"lo_{n}"] is not None else (u * JITTER).alias(n)
         for n in names]), "shard-points")
-    root = grow(points, names, params)
-    shards = points.select(*key, _shard_of(root, names).cast("int").alias("shard"))
+    p, spark = params, df.sparkSession
+    total = points.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    large = F.col("bytes") >= total / p.shards * p.heavy
+    heavy = sorted((tuple(r) for r in points.where(large).select("bytes", *key).collect()), reverse=True)  # at most shards / p.heavy rows
+    dealt, room = room_left([r[0] for r in heavy], total - sum(r[0] for r in heavy), p.shards)
+    light = points.where(~large)
+    root = grow(light, names, room, p)
+    shards = light.select(*key, _shard_of(root, names).cast("int").alias("shard")).union(
+        spark.createDataFrame([(h, size, k) for (_, h, size), k in zip(heavy, dealt)], "h long, size long, shard int"))
     placed = rows.join(shards, key).select("doc_id", "size", "text_crc32", "shard", F.lit(1).cast("long").alias("one"))
     placed = materialize(placed, "shard-placed")
     return prefix_sums(placed, ["shard"], ["doc_id", "text_crc32"], "one", "slot").drop("one")

@@ -218,13 +218,13 @@ TILE_LINKS = "a long, b long"
 def _tiles(p: NearDupParams):
     """Rows arrive sorted by (key, i, j).  A tile's members are compared as
     matrices of signatures and confirmed on their sets; a pair is looked at in
-    the first band that it shares only, and only while its components are not
+    the first band whose full key it shares only, and only while its components are not
     joined yet, so no more links leave a tile than it has members."""
     def compare(t: pd.DataFrame) -> tuple[list[int], list[int]]:
         same, band = bool(t["same"].iat[0]), int(t["band"].iat[0])
         ids, n = t["id"].to_numpy(), t["n"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"]), np.uint8).reshape(len(t), -1)
-        own = np.ascontiguousarray(sig).view(np.uint32) if p.rows == 4 else None
+        own = np.stack([np.asarray(x, np.int64) for x in t["bands"]])  # full keys: a signature's 8 bits may agree by chance
         roots = np.unique(t["comp"].to_numpy(), return_inverse=True)[1]
         sets = [np.frombuffer(x, np.uint64) for x in t["shingles"]]
         side = t["side"].to_numpy()
@@ -238,8 +238,7 @@ def _tiles(p: NearDupParams):
                 continue
             agree = (sig[fit] == sig[k]).sum(axis=1)
             keep = agree >= p.agree
-            if own is not None:
-                keep &= (own[fit] == own[k]).argmax(axis=1) == band
+            keep &= (own[fit] == own[k]).argmax(axis=1) == band
             fit = fit[keep][np.argsort(-agree[keep], kind="stable")]
             for other in fit.tolist():
                 if roots[other] == roots[k]:
@@ -317,7 +316,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                           .where("members > 1"), "nd-buckets")
     in_bucket = materialize(banded.join(buckets, "key"), "nd-members")
     pairs = in_bucket.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    facts = reps.select("id", "n", "sig")
+    facts = reps.select("id", "n", "sig", "bands")
     of = lambda c: facts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     likely = (pairs.join(of("a"), "a").join(of("b"), "b").where(_size_fits("na", "nb", p.percent))
               .where(_agreement("sa", "sb") >= p.agree).select("a", "b"))
@@ -332,9 +331,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sides = materialize(
         placed.join(open_keys, "key").join(facts, "id")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .select("key", "band", "id", "comp", "n", "sig", "own",
+        .select("key", "band", "id", "comp", "n", "sig", "bands", "own",
                 F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", "n", "sig",
+        .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", "n", "sig", "bands",
                 F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
                 (F.col("own") == F.col("other")).alias("same")), "nd-sides")
     links2 = materialize(

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from cases import classes, edge, edge_rows, empty, shingles
 from conftest import SF_SMALL
 
-from feedspark.llm.near_dup import NearDupParams, components, keep_one, near_duplicates
+from feedspark.llm.near_dup import NearDupParams, _tiles, components, keep_one, near_duplicates
 
 
 def test_documents_against_brute_force(spark):
@@ -33,6 +35,20 @@ def test_large_group_of_near_copies_in_small_tiles(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_pair_that_agrees_modulo_256_in_an_earlier_band():
+    """Its full keys differ there, so it is in no bucket of that band and must
+    be confirmed in the first band whose key it shares."""
+    p = NearDupParams()
+    bands = np.arange(2 * p.bands).reshape(2, p.bands)
+    bands[1, 3] = bands[0, 3]
+    tile = pd.DataFrame({"key": int(bands[0, 3]), "i": 0, "j": 0, "band": 3, "id": [1, 2], "comp": [1, 2], "n": 100, "side": 2, "same": True,
+                         "sig": [bytes(p.coordinates)] * 2, "bands": list(bands), "shingles": [np.arange(100, dtype=np.uint64).tobytes()] * 2})
+    links = pd.concat(_tiles(p)(iter([tile])))
+    assert links[["a", "b"]].to_numpy().tolist() == [[1, 2]]
+    later = pd.concat(_tiles(p)(iter([tile.assign(key=int(bands[0, 7]), band=7)])))
+    assert later.empty  # looked at once only
+
+
 def test_edge_rows(spark):
     got = near_duplicates(edge(spark)).collect()
     sets = {r[0]: shingles(r[1]) for r in edge_rows() if r[0] is not None}

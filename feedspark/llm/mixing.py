@@ -146,9 +146,13 @@ def _by_source(sources: list[Source], value) -> Column:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        params: MixParams = MixParams()) -> Mix:
+        params: MixParams = MixParams(), row: Column | None = None, content: Column | None = None) -> Mix:
+    """``row`` and ``content``, if given, are columns of ``df`` carried in
+    ``docs``: a key of each row's own, and a hash of its content that orders
+    rows of one id and size."""
     p = params
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    extra = [c.alias(n) for c, n in ((row, "row"), (content, "content")) if c is not None]
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *extra)
     rows = materialize(rows, "mix-sizes")
     found = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     names = sorted((s for s in found if s is not None)) + [None] * (None in found)
@@ -156,7 +160,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     spark = df.sparkSession
     order = spark.createDataFrame([(s.name, s.index) for s in sources], "name string, source_index int")
     docs = rows.join(F.broadcast(order), rows["source"].eqNullSafe(order["name"])).drop("name")  # one row a source
-    docs = materialize(prefix_sums(docs, ["source_index"], ["doc_id", "size"], "size", "position"), "mix-docs")
+    order_by = ["doc_id", "size"] + ["content"] * (content is not None)
+    docs = materialize(prefix_sums(docs, ["source_index"], order_by, "size", "position"), "mix-docs")
     slots = _slots(spark, sources, p)
     first, last = F.floor(F.col("position") / p.block), F.floor((F.col("position") + F.col("size") - 1) / p.block)
     pieces = (docs.where("size > 0").select("source_index", "position", "size", F.explode(F.sequence(first, last)).alias("block"))
@@ -245,13 +250,15 @@ def cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     params: MixParams = MixParams()) -> DataFrame:
     """The documents of the mix with the text that it takes of them, all
-    other columns as they are.  Rows with one id (null included) count once;
-    documents of which nothing is taken go."""
+    other columns as they are.  Every row is a document of its own, as in
+    ``mix``, also if its id is null or another row's; documents of which
+    nothing is taken go."""
     bounded_batches(df.sparkSession)
-    docs = materialize(df.dropDuplicates([id_col]), "mix-input")
-    m = mix(docs, id_col, text_col, source_col, params)
-    own, key = fresh(docs, "_spans"), fresh(docs, "_key")
-    named = m.taken.join(m.docs.where("size > 0").select("source_index", "position", F.col("doc_id").alias(key)), ["source_index", "position"])
+    own, key, row = fresh(df, "_spans"), fresh(df, "_key"), fresh(df, "_row")
+    docs = materialize(df.withColumn(row, F.monotonically_increasing_id()), "mix-input")
+    content = F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t and t != "variant"])
+    m = mix(docs, id_col, text_col, source_col, params, F.col(row), content)
+    named = m.taken.join(m.docs.where("size > 0").select("source_index", "position", F.col("row").alias(key)), ["source_index", "position"])
     spans = named.groupBy(key).agg(F.collect_list(F.struct("round", "doc_start", "length")).alias(own))  # bounded by the text
-    return (docs.join(spans, F.col(id_col).eqNullSafe(F.col(key)))
-            .withColumn(text_col, cut_text(F.col(text_col), F.col(own))).drop(own, key))
+    return (docs.join(spans, F.col(row) == F.col(key))
+            .withColumn(text_col, cut_text(F.col(text_col), F.col(own))).drop(own, key, row))

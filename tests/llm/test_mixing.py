@@ -70,6 +70,18 @@ def test_mixed_texts_hold_the_words_taken(spark):
     assert whole and all(mixed[i] == rows[i].strip(" \t\n\x0b\x0c\r") + "\n" + rows[i].strip(" \t\n\x0b\x0c\r") for i in whole)
 
 
+def test_every_row_is_a_document(spark):
+    """Null ids, one id with several texts, and a repeated row."""
+    rows = [(None, f"null id {i} " + f"w{i} " * (i + 1), "a") for i in range(8)] + [(1, "first text", "a"), (1, "second text", "b"), (2, "twice", "b"), (2, "twice", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    p = MixParams(weights=(1,), share=1.0, most=1.0, block=4)  # takes every word once
+    got = [(r.doc_id, " ".join(words(r.text)), r.source) for r in mixed_documents(df, params=p).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, t.strip(), s)) for i, t, s in rows)
+    half = MixParams(weights=(1,), share=0.5, most=1.0, block=4)
+    runs = [sorted(map(str, mixed_documents(d, params=half).collect())) for d in (df, df.orderBy("text").repartition(3))]
+    assert runs[0] == runs[1]
+
+
 def test_edge_rows(spark):
     got = digest(mix(edge(spark))).collect()
     assert len(got) == len(edge_rows())

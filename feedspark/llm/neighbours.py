@@ -20,7 +20,9 @@ Defined results: vectors that are null, zero, of another length than the
 first dimension asked for, or hold null or non-finite components take no
 part.  A query is not its own candidate: rows that repeat its id are skipped
 too.  Equal scores are ordered by the smaller id.  Rows with a null id take
-no part.
+no part.  Rows repeated, or sharing an id, are rows of their own, as in the
+registered SQL: every copy of a candidate takes a rank, and every copy of a
+query adds its pairs to the ranking of its id.
 """
 
 from __future__ import annotations
@@ -144,7 +146,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
         """Heaps of several tiles into one for each query."""
         out = []
         for i, own in frame.groupby("query_id"):
-            pairs = set(zip((-own["score"]).tolist(), own["vec_id"].tolist()))
+            pairs = zip((-own["score"]).tolist(), own["vec_id"].tolist())
             out += [(i, r + 1, c, -s) for r, (s, c) in enumerate(heapq.nsmallest(p.k, pairs))]
         return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 

@@ -82,6 +82,24 @@ def test_neighbours_with_ties_and_odd_vectors(spark):
     assert nearest(df.where("vec_id < 0"), df).count() == 0
 
 
+def test_neighbours_rank_every_copy_as_the_sql_does(spark):
+    """The nearest vector is held more than k times, and a query twice."""
+    from pyspark.sql import functions as F
+
+    from feedspark.llm.neighbours import NeighbourParams, nearest
+    near, rows = [1.0, 0.1], [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0])]
+    rows += [(1, near)] * 7 + [(2, [0.1, 1.0])] * 3 + [(i, [1.0, i / 10]) for i in range(3, 20)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = con.execute(ORACLES["op7_neighbours"]).fetchall()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for size in (4, 2048):
+        got = nearest(df, df.where("vec_id % 50 = 0"), params=NeighbourParams(k=5, block=size, query_block=1))
+        got = got.select("query_id", "rank", "vec_id", F.col("score"))
+        assert digest(got.columns, [tuple(r) for r in got.collect()])[1] == digest(got.columns, want)[1]
+
+
 # ---- sharding -----------------------------------------------------------------------
 
 def test_shards(spark):

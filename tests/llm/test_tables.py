@@ -171,6 +171,87 @@ def test_licences(spark):
     assert scan(edge(spark)).count() == len(edge_rows()) and scan(empty(spark)).count() == 0
 
 
+APACHE = """   Copyright [yyyy] [name of copyright owner]
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+GPL3 = """    <one line to give the program's name and a brief idea of what it does.>
+    Copyright (C) <year>  <name of author>
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License along
+    with this program; if not, write to the Free Software Foundation, Inc.,
+    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
+BSD2 = """Copyright (c) <year>, <owner>
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+
+
+def test_licence_texts_as_published(spark):
+    from feedspark.llm.licences import scan
+    commented = lambda text, sign: "\n".join(sign + line for line in text.split("\n"))
+    texts = {"MIT": "MIT License\n\n" + MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2,
+             "BSD-2-Clause": BSD2 + DISCLAIMER, "BSD-3-Clause": BSD3 + DISCLAIMER}
+    rows = [(name, t) for name, text in texts.items() for t in (text, commented(text, " * "), commented(text, "# "), text.replace("\n", "\r\n"))]
+    rows = [(i, t, name) for i, (name, t) in enumerate(rows)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert [(i, got[i].licences, got[i].n_rules) for i, _, _ in rows] == [(i, name, 1) for i, _, name in rows]
+    full = "<apache_ref><apache_compliance><apache_copy><apache_as_is><apache_see>"
+    assert all(r.sentence_ids.endswith(full) for r in got.values() if r.name == "Apache-2.0")  # not its reference only
+    other = [(1, "Some heading\nReleased under the MIT License."), (2, "Released under the. MIT License."), (3, "Not released under the MIT License.")]
+    found = {r.doc_id: r.licences for r in scan(spark.createDataFrame(other, "doc_id long, text string")).collect()}
+    assert found == {1: "MIT", 2: "", 3: ""}  # lines are joined only into a known sentence, never over a full stop
+
+
 # ---- the pipeline ---------------------------------------------------------------------
 
 def test_pipeline_stages(spark):

@@ -143,9 +143,10 @@ def chunks(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the row that it lies in."""
-    space = _SPACE[data]
+def words_of(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the row that it lies in;
+    ``separators`` marks the byte values that no word holds."""
+    space = separators[data]
     before = np.ones(len(data), bool)
     before[1:] = space[:-1]
     before[offs[:-1][offs[:-1] < len(data)]] = True

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedspark.llm.backoff import BackoffParams, score_texts
 from feedspark.llm.common import crc32_mod3, table
 from feedspark.llm.language import LanguageParams, identify, learn
 from feedspark.llm.licences import oracle as licence_oracle
@@ -16,10 +17,12 @@ from feedspark.llm.near_dup import NearDupParams, near_duplicates
 from feedspark.llm.neighbours import NeighbourParams, nearest
 from feedspark.llm.packing import PackParams, pack
 from feedspark.llm.quality import apply_rules, base_rule, default_rules, with_figures
+from feedspark.llm.resampling import ResampleParams, resample
 from feedspark.llm.sharding import ShardParams, assign
 from feedspark.llm.token_counts import apply_edits, build_trees, edit
 from feedspark.llm.toxicity import ToxicityParams, score_column
 from feedspark.llm.toxicity import learn as learn_toxicity
+from feedspark.llm.whitening import WhitenParams, whiten
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*figures, base_rule().alias("base_failed"), (F.col("kept") & ~base_rule()).alias("kept"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), params=ResampleParams(percent=5, least_words=20))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), params=WhitenParams(components=4, scale=256))
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 7 == 2, F.lit(False))
+    scored = score_texts(docs, ~held_out("doc_id"), params=BackoffParams(order=2))
+    return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_licences": op2_licences,
@@ -98,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_resample": op11_resample,
+    "op12_whiten": op12_whiten,
+    "op13_lm_scores": op13_lm_scores,
 }
 ORACLES: dict[str, str] = {
     "op2_licences": licence_oracle(),

@@ -24,8 +24,10 @@ signature filter (at least 64 of 96 coordinates) fails such a pair with
 about 5e-7.
 
 Defined results: null or empty text, or none but white space: empty set, own
-component.  Repeated rows are one node.  A null id links nothing: component
-null, kept.  Extra columns are ignored.
+component.  Every text is looked at, also if several rows with different texts
+share an id; a component is named by its smallest id, and ``keep_one`` keeps one
+text of it (rows repeated with id and text are one document).  A null id links
+nothing: component null, kept.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 
 SKETCH = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("n", T.LongType()),
+    T.StructField("id", T.LongType()), T.StructField("content", T.LongType()), T.StructField("n", T.LongType()),
     T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()),
     T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
@@ -124,12 +126,17 @@ def _sketches(p: NearDupParams):
             data, offs = text_bytes(batch.column(1))
             for lo, hi in chunks(offs):
                 sets = shingle_sets(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], p.words)
-                yield _sketch_batch(ids.slice(lo, hi - lo), sets, p)
+                yield _sketch_batch(ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), sets, p)
 
     return run
 
 
-def _sketch_batch(ids: pa.Array, sets: list[np.ndarray], p: NearDupParams) -> pa.RecordBatch:
+def _sums(x: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums over a set, which name it."""
+    return x.sum(dtype=np.uint64), mix64(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+
+
+def _sketch_batch(ids: pa.Array, content: pa.Array, sets: list[np.ndarray], p: NearDupParams) -> pa.RecordBatch:
     n = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(n)
     f1, f2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
@@ -148,23 +155,26 @@ def _sketch_batch(ids: pa.Array, sets: list[np.ndarray], p: NearDupParams) -> pa
         small = s.astype(np.uint8)
         for i, row, narrow, x in zip(part, folded.view(np.int64), small, own):
             bands[i], sig[i] = row, narrow.tobytes()
-            f1[i] = x.sum(dtype=np.uint64)
-            f2[i] = mix64(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+            f1[i], f2[i] = _sums(x)
         step = upto
     return pa.RecordBatch.from_arrays(
-        [ids.cast(pa.int64()), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+        [ids.cast(pa.int64()), content, pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
          pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], [f.name for f in SKETCH])
 
 
 def _sets(p: NearDupParams):
+    """The sets of (node, text, f1, f2) rows; a row whose text is not the
+    node's (its id has several texts) goes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column(1))
+            want = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (2, 3)], axis=1)
             for lo, hi in chunks(offs):
                 sets = shingle_sets(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], p.words)
+                own = [k for k, s in enumerate(sets) if _sums(s) == tuple(want[lo + k])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(own, pa.int64())),
+                     pa.array([sets[k].tobytes() for k in own], pa.binary())], ["id", "shingles"])
 
     return run
 
@@ -194,11 +204,12 @@ def _size_fits(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def _sets_of(ids: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, shingles): the full sets of the given ids.  The ids grow with the
+def _sets_of(nodes: DataFrame, reps: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(id, shingles): the full sets of the given nodes.  They grow with the
     corpus: both sides are shuffled, at any size."""
-    wanted = texts.join(ids.distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    return materialize(wanted.select("id", "text").mapInArrow(giving_back(_sets(p)), "id long, shingles binary"), "nd-sets")
+    wanted = reps.join(nodes.distinct(), "id", "left_semi").select(F.col("id").alias("node"), F.col("doc").alias("id"), "f1", "f2")
+    rows = texts.join(wanted.hint("merge"), "id").dropDuplicates(["id", "node", "text"])  # repeated rows; dealt by id already
+    return materialize(rows.select("node", "text", "f1", "f2").mapInArrow(giving_back(_sets(p)), "id long, shingles binary"), "nd-sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
@@ -300,16 +311,17 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    params: NearDupParams = NearDupParams()) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_shingles, component_id, kept."""
-    p = params
+def _classified(df: DataFrame, id_col: str, text_col: str, p: NearDupParams) -> DataFrame:
+    """(id, content, n, root, component) of every row: ``content`` hashes the
+    text, ``root`` numbers the component, ``component`` is its smallest id."""
     bounded_batches(df.sparkSession)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialize(texts.mapInArrow(giving_back(_sketches(p)), SKETCH), "nd-sketch")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sketch = materialize(texts.select("id", "text", F.xxhash64("text").alias("content")).mapInArrow(giving_back(_sketches(p)), SKETCH), "nd-sketch")
+    # One node for each distinct set, numbered; ``doc`` is one of the ids that hold it.
     reps = materialize(
         sketch.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n")
-        .agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nd-reps")
+        .agg(F.min("id").alias("doc"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .withColumn("id", F.monotonically_increasing_id()), "nd-reps")
 
     banded = reps.select(F.posexplode("bands").alias("band", "key"), "id")
     buckets = materialize(banded.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("members"))
@@ -320,7 +332,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of = lambda c: facts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     likely = (pairs.join(of("a"), "a").join(of("b"), "b").where(_size_fits("na", "nb", p.percent))
               .where(_agreement("sa", "sb") >= p.agree).select("a", "b"))
-    sets = _sets_of(in_bucket.select("id"), texts, p)  # of all documents that share a band with another one
+    sets = _sets_of(in_bucket.select("id"), reps, texts, p)  # of all documents that share a band with another one
     links = _confirm(likely, sets, p)
     first = materialize(components(links), "nd-comp")
 
@@ -353,19 +365,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _named(sketch: DataFrame, reps: DataFrame, final: DataFrame) -> DataFrame:
-    by_set = (reps.select("f1", "f2", "n", F.col("id").alias("rep")).join(final, "rep", "left")
-              .select("f1", "f2", "n", F.coalesce("root", "rep").alias("root")))
+    nodes = (reps.select("f1", "f2", "n", "doc", F.col("id").alias("rep")).join(final, "rep", "left")
+             .withColumn("root", F.coalesce("root", "rep")))
+    names = nodes.groupBy("root").agg(F.min("doc").alias("component"))
+    by_set = nodes.join(names, "root").select("f1", "f2", "n", "root", "component")
     return (sketch.join(by_set, ["f1", "f2", "n"], "left")
-            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
+            .select("id", "content", "n", F.when(F.col("id").isNotNull(), F.col("root")).alias("root"),
+                    F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    params: NearDupParams = NearDupParams()) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_shingles, component_id, kept."""
+    return (_classified(df, id_col, text_col, params)
+            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              params: NearDupParams = NearDupParams()) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each component.  Rows
-    repeated with the same id are one document; all columns are returned."""
-    drop = fresh(df, "_drop")
-    gone = (near_duplicates(df, id_col, text_col, params).where("NOT kept")
-            .select(F.col("doc_id").alias(drop)).distinct().hint("merge"))
-    return df.join(gone, F.col(id_col) == F.col(drop), "left_anti")
+    """The rows of ``df`` that stay: of each component the text of its
+    smallest id (of several such texts, one).  Rows repeated with id and text
+    stay or go together; rows without an id or a word stay; all columns are
+    returned."""
+    own, content = fresh(df, "_drop"), fresh(df, "_content")
+    classes = materialize(_classified(df, id_col, text_col, params).where("root IS NOT NULL").select("id", "content", "root").distinct(), "nd-classes")
+    stays = classes.groupBy("root").agg(F.min(F.struct("id", "content")).alias("m"))
+    gone = (classes.join(stays, "root").where(F.struct("id", "content") != F.col("m"))
+            .select(F.col("id").alias(own), F.col("content").alias(content)).hint("merge"))
+    match = (F.col(id_col).cast("long") == F.col(own)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(content))
+    return df.join(gone, match, "left_anti")

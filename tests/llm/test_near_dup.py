@@ -73,3 +73,42 @@ def test_keep_one_keeps_columns(spark):
     assert kept.columns == edge(spark).columns
     want = classes({r[0]: shingles(r[1]) for r in edge_rows() if r[0] is not None}, 80)
     assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
+
+
+TEXT = " ".join(f"t{i}" for i in range(80))
+OTHER = " ".join(f"o{i}" for i in range(70))
+
+
+@pytest.mark.parametrize("rows,kept,components", [
+    ([(0, TEXT), (1, TEXT), (1, OTHER)], [(0, TEXT), (1, OTHER)], [0, 0, 1]),
+    ([(0, TEXT), (0, OTHER), (1, TEXT), (2, OTHER)], [(0, TEXT), (0, OTHER)], [0, 0, 0, 0]),
+    ([(3, OTHER), (3, TEXT), (3, TEXT + " end"), (3, TEXT)], None, [3, 3, 3, 3]),
+    ([(5, TEXT), (5, TEXT)], [(5, TEXT), (5, TEXT)], [5, 5]),
+    ([(4, TEXT + " x"), (2, OTHER), (2, TEXT), (9, OTHER + " y"), (9, "short one"), (9, None)], [(2, OTHER), (2, TEXT), (9, "short one"), (9, None)], None)])
+def test_several_texts_under_one_id(spark, rows, kept, components):
+    """No text is lost: each group of near copies keeps one text."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = [(r.doc_id, r.text) for r in keep_one(docs, params=NearDupParams(percent=80, agree=58)).collect()]
+    if kept is None:
+        assert (3, OTHER) in got and 2 <= len(got) <= 3 and len({t for _, t in got}) == 2
+    else:
+        assert sorted(got, key=repr) == sorted(kept, key=repr)
+    if components is not None:
+        assert sorted(r.component_id for r in near_duplicates(docs).collect()) == sorted(components)
+
+
+def test_recall_at_the_pipelines_threshold(spark):
+    """Pairs planted at similarity 0.80 to 0.95: all are linked."""
+    random.seed(8)
+    rows, want = [], {}
+    for i in range(150):
+        base = [f"p{i}w{k}" for k in range(200)]
+        near = list(base)
+        for k in random.sample(range(200), random.choice([1, 2, 3])):
+            near[k] = f"new{i}x{k}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want[2 * i + 1] = 2 * i if 100 * len(a & b) >= 80 * len(a | b) else 2 * i + 1
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params=NearDupParams(percent=80, agree=58)).collect()
+    assert sum(w % 2 == 0 for w in want.values()) > 100
+    assert {r.doc_id: r.component_id for r in got if r.doc_id % 2} == want

@@ -1,20 +1,25 @@
 """Toxicity scores behind a noisy-channel deobfuscation.
 
-A word written with look-alike signs, with separators between its letters or
-with repeated letters is read as the output of a noisy channel.  Its characters
-span a lattice: each may stand for itself, for a letter that it looks like, or
-for nothing (a separator, a repetition).  Viterbi decoding under a character
-trigram model finds the likeliest original.  Words that hold nothing but
-letters, without long repetitions, have a lattice with one path and are taken
-as they are; letters standing alone in a row are decoded as one word.
+A token is read as the output of a noisy channel.  Its characters span a
+lattice: each may stand for itself, for a letter that it looks like, for nothing
+(a separator, a repetition), or for the end of a word.  Viterbi decoding under a
+character trigram model finds the likeliest words behind it, over the whole
+lattice and at any length; tokens whose lattice has one path (letters, none
+twice in a row) are that path.  Letters standing alone in a row are decoded as
+one token whose blanks are separators.  A token of digits and number signs is a
+number, not a word.
+
+The character model counts the trigrams of all words of all whole texts.  Its
+alphabet is fixed: the Latin letters up to U+017F, one class for all other
+letters, one for the end of a word.  So its table has a bounded number of entries
+at any corpus size, nothing is cut, and only the counted entries reach the
+driver.
 
 The restored words' forms and prefixes are the features of a logistic
 regression with weights that are never negative: it starts from a low score
 and only evidence raises it, so a clean text stays clean at any length.  It is
-trained here on a bounded sample of labelled rows (``ToxicityParams``); the
-character model counts the words of all whole texts in Spark, and only its
-table of grams reaches the driver: of more than ``model_grams`` grams the most
-frequent stay.  Scoring reads whole texts, in one pass without a shuffle.
+trained here on a bounded sample of labelled rows (``ToxicityParams``).
+Scoring reads whole texts, in one pass without a shuffle.
 
 Defined results: a null or empty text has the score of no evidence.  Without
 any labelled row every score is 0.  Repeated rows get equal scores; of several
@@ -23,20 +28,23 @@ labels of an id the largest counts; null labels are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedspark.llm.common import bounded_batches, give_back, materialize
+from feedspark.llm.common import bounded_batches, give_back, giving_back, materialize
 
 # ---- fixed values: what a sign may stand for --------------------------------
 LOOK_ALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -48,8 +56,6 @@ class ToxicityParams:
     #: Bound of the labelled sample: documents of each label, each of at most so many characters.
     sample_docs: int = 2500
     sample_chars: int = 30_000
-    #: Most grams that the character model holds, by count (some 100 bytes each).
-    model_grams: int = 300_000
     prefixes: tuple[int, ...] = (4, 5, 6)
     #: Documents that a feature must mark, and its least log odds.
     support: int = 3
@@ -63,123 +69,177 @@ class ToxicityParams:
     seed: int = 11
 
 
-@dataclass
+# ---- the character model -------------------------------------------------------
+
+#: Class 0 is the end of a word; Latin letters have classes of their own, all other letters share the last one.
+LATIN = [c for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower()]
+OTHER = len(LATIN) + 1
+SIZE = OTHER + 1
+CLASS = {c: i for i, c in enumerate(LATIN, 1)}
+
+
+@functools.lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of every code point; 0 for what is no letter."""
+    out = np.array([OTHER if chr(c).isalpha() else 0 for c in range(sys.maxunicode + 1)], np.uint8)
+    for c, i in CLASS.items():
+        out[ord(c)] = i
+    return out
+
+
+def count_trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys ``(a * SIZE + b) * SIZE + c`` of the class trigrams of all words
+    of ``text`` (two ends before each word, one behind it), and their counts."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    x = np.zeros(len(codes) + 3, np.int64)
+    x[2:-1] = _classes()[codes]
+    c, b, a = x[2:], x[1:-1], x[:-2]
+    key = ((a * SIZE + b) * SIZE + c)[(c > 0) | (b > 0)]
+    # Before a word's first letter stands its predecessor's last one, not an end.
+    first = key // SIZE % SIZE == 0
+    key[first] %= SIZE
+    counts = np.bincount(key, minlength=1)
+    held = np.flatnonzero(counts)
+    return held, counts[held]
+
+
 class CharModel:
-    """Character trigrams with word ends, interpolated with shorter ones."""
-    grams: list[dict[str, int]] = field(default_factory=lambda: [Counter(), Counter(), Counter()])
-    known: dict[str, float] = field(default_factory=dict)
+    """Class trigrams, interpolated with shorter ones."""
+
+    def __init__(self, keys: Iterable[int] = (), counts: Iterable[int] = ()):
+        self.keys, self.counts = np.array(list(keys), np.int64), np.array(list(counts), np.int64)
+        self._table = None
 
     def fit(self, words: Iterable[str]) -> CharModel:
-        for w, times in Counter(words).items():
-            s = f"  {w} "
-            for i in range(2, len(s)):
-                for n in range(3):
-                    self.grams[n][s[i - n:i + 1]] += times
-                    if n:
-                        self.grams[n][s[i - n:i] + "\0"] += times
-                self.grams[0]["\0"] += times
-        return self
-
-    def log_prob(self, before: str, c: str) -> float:
-        """Of ``c`` after the two characters ``before``."""
-        key = before + c
-        p = self.known.get(key)
-        if p is None:
-            one, two, three = self.grams
-            p = (one.get(c, 0) + 0.5) / (one.get("\0", 0) + 100)
-            p = 0.3 * p + 0.7 * two.get(before[1] + c, 0) / max(1, two.get(before[1] + "\0", 0))
-            p = 0.3 * p + 0.7 * three.get(key, 0) / max(1, three.get(before + "\0", 0))
-            p = self.known[key] = math.log(p)
-        return p
-
-
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(n, gram, times) of the texts of a partition, summed over many texts."""
-    def grams() -> pd.DataFrame:
-        rows = [(n, g, c) for n, own in enumerate(CharModel().fit(words).grams) for g, c in own.items()]
-        words.clear()
-        return pd.DataFrame(rows, columns=["n", "gram", "times"])
-
-    words: Counter[str] = Counter()
-    for frame in frames:
-        for text in frame["text"]:
-            words.update(WORD.findall(text.lower()))
-            if len(words) > 100_000:
-                yield grams()
-    yield grams()
-
-
-def char_model(texts: DataFrame, most: int) -> CharModel:
-    """Of all words of ``texts`` (text, no nulls)."""
-    counted = (texts.select("text").mapInPandas(count_grams, "n int, gram string, times long")
-               .groupBy("n", "gram").agg(F.sum("times").alias("times")))
-    counted = materialize(counted, "tox-grams")
-    if counted.count() > most:  # the contexts of a gram are no rarer than the gram
-        counted = counted.orderBy(F.desc("times"), "n", "gram").limit(most)
-    model = CharModel()
-    for r in counted.collect():
-        model.grams[r["n"]][r["gram"]] = r["times"]
-    return model
-
-
-#: Log probabilities of the channel.
-SELF, LOOKS, SEPARATOR, DIGIT_LOST, REPEATED, DOUBLED = 0.0, -1.0, -2.5, -9.0, -0.3, -4.0
-BEAM = 32
+        return CharModel(*count_trigrams(" ".join(words)))
+
+    def __getstate__(self):
+        return {"keys": self.keys, "counts": self.counts, "_table": None}
+
+    @property
+    def table(self) -> memoryview:
+        """Log probability of class c after a and b, at (a * SIZE + b) * SIZE + c."""
+        if self._table is None:
+            three = np.bincount(self.keys, self.counts, SIZE ** 3).reshape(SIZE, SIZE, SIZE)
+            two = three.sum(axis=0)
+            one = two.sum(axis=0)
+            p = (one + 0.5) / (one.sum() + 0.5 * SIZE)
+            p = 0.3 * p[None, :] + 0.7 * two / np.maximum(1, two.sum(axis=1))[:, None]
+            p = 0.3 * p[None, :, :] + 0.7 * three / np.maximum(1, three.sum(axis=2))[:, :, None]
+            self._table = memoryview(np.log(p).ravel())
+        return self._table
+
+
+def char_model(texts: DataFrame) -> CharModel:
+    """Of all words of ``texts`` (text, no nulls): counted in each task, then by key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SIZE ** 3, np.int64)
+        for batch in batches:
+            held, size = [], 0
+            for t in [*batch.column(0), None]:
+                held.append("" if t is None else t.as_py())
+                size += len(held[-1])
+                if t is None or size > 1 << 20:
+                    keys, counts = count_trigrams("\n".join(held))
+                    sums[keys] += counts
+                    held, size = [], 0
+        keys = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(sums[keys])], ["key", "times"])
+
+    counted = (texts.select("text").mapInArrow(giving_back(run), "key int, times long")
+               .groupBy("key").agg(F.sum("times").alias("times")).orderBy("key").collect())  # at most SIZE ** 3, some 10,000 in use
+    return CharModel([r["key"] for r in counted], [r["times"] for r in counted])
+
+
+# ---- the channel ------------------------------------------------------------------
+
+#: Log probabilities of what the channel does to a character.
+LOOKS, SEPARATOR, EDGE, REPEATED, DIGIT_LOST = -1.0, -2.5, -1.0, -0.3, -9.0
+#: A letter written twice; a look-alike sign written twice; a sign that ends a word.
+DOUBLED, DOUBLED_SIGN, WORD_END = -3.0, -4.0, -0.5
+#: A sign or blank that stands between single letters again and again: inside a word, at its end.
+SPREAD, SPREAD_END = -0.1, -1.8
+
+
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """What each character of ``token`` (lower case) may stand for: a letter,
+    nothing ("") or the end of a word (" "), each with its log probability.  In a
+    token of several look-alike signs, without letters and digits, each sign
+    stands for a letter."""
+    out, n, i = [], len(token), 0
+    bare = len(set(token) & LOOK_ALIKE.keys()) > 1 and not any(c.isalnum() for c in token)
+    while i < n:
+        c, run = token[i], 1
+        while i + run < n and token[i + run] == c:
+            run += 1
+        like = LOOK_ALIKE.get(c, "")
+        if c.isalpha():
+            one = [(c, 0.0)]
+            again = [(c, 0.0), ("", DOUBLED if run == 2 else REPEATED)]
+        else:
+            letters = [(x, LOOKS) for x in like]
+            if c.isalnum():  # a digit
+                one, again = letters + [("", DIGIT_LOST)], letters + [("", DOUBLED if run == 2 else REPEATED)]
+            else:
+                edge = i == 0 or i + run == n
+                if run == 1 and not edge and c in (token[i - 2:i - 1], token[i + 2:i + 3]):
+                    out.append(letters + [("", SPREAD), (" ", SPREAD_END)])
+                    i += 1
+                    continue
+                one = letters + [("", EDGE if edge else SEPARATOR), (" ", WORD_END)] * (not (bare and like))
+                again = letters + [("", DOUBLED_SIGN if like and run == 2 and (bare or not edge) else REPEATED)] + [(" ", WORD_END)] * (not (bare and like))
+        out += [one] + [again] * (run - 1)
+        i += run
+    return out
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The likeliest word behind ``token`` (lower case), by Viterbi search over
-    its lattice; the state is the last two letters written."""
-    states = {"  ": (0.0, "")}
-    for i, c in enumerate(token):
-        run = 1
-        while i - run >= 0 and token[i - run] == c:
-            run += 1
-        long_run = run > 2 or token[i + 1:i + 2] == c and run > 1 or token[i + 1:i + 3] == c + c
-        options = [(c, SELF)] if c.isalpha() else []
-        options += [(x, LOOKS) for x in LOOK_ALIKE.get(c, "")]
-        if not c.isalnum():
-            options.append(("", SEPARATOR if run == 1 else REPEATED))
-        elif run > 1:
-            options.append(("", REPEATED if long_run else DOUBLED))
-        elif c.isdigit():
-            options.append(("", DIGIT_LOST))
-        if not options:  # a sign that is neither letter nor known
-            options = [("", SEPARATOR)]
-        after: dict[str, tuple[float, str]] = {}
-        for before, (score, out) in states.items():
+    """The likeliest words behind ``token`` (lower case), by Viterbi search over
+    its whole lattice; the state is the last two classes written."""
+    table, size = model.table, SIZE
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for options in lattice(token):
+        if len(options) == 1 and len(states) == 1 and options[0][0].isalpha():  # no choice here
+            (key, (score, out)), (x, cost) = *states.items(), options[0]
+            c = CLASS.get(x, OTHER)
+            states = {key % size * size + c: (score + cost + table[key * size + c], (out, x))}
+            continue
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for key, (score, out) in states.items():
             for x, cost in options:
-                key, s = (before[1] + x, score + cost + model.log_prob(before, x)) if x else (before, score + cost)
-                if key not in after or after[key][0] < s:
-                    after[key] = (s, out + x)
-        if len(after) > BEAM:
-            after = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:BEAM])
+                if x == "" or (x == " " and key == 0):
+                    to, s, o = key, score + cost, out
+                elif x == " ":
+                    to, s, o = 0, score + cost + table[key * size], (out, x)
+                else:
+                    c = CLASS.get(x, OTHER)
+                    to, s, o = key % size * size + c, score + cost + table[key * size + c], (out, x)
+                if to not in after or after[to][0] < s:
+                    after[to] = (s, o)
         states = after
-    return max((score + model.log_prob(before, " "), out) for before, (score, out) in states.items())[1]
+    best = max(((score + (table[key * size] if key else 0.0), -key, out) for key, (score, out) in states.items()), key=lambda b: b[:2])[2]
+    letters = []
+    while best is not None:
+        best, x = best
+        letters.append(x)
+    return "".join(reversed(letters)).strip()
 
 
-EDGES = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$|^(\W)\1\1+|(\W)\2\2+$")
-REPEAT = re.compile(r"(.)\1\1")
-SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
-#: Longer tokens (addresses, keys, data) are no obfuscated words.
-MOST_LETTERS = 40
+#: Signs at the ends of a token that stand for no letter.
+EDGES = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$")
+TWICE = re.compile(r"(.)\1")
+NUMBER = re.compile(r"[\d\s.,:;/%+\-$€£()#*=<>]*")
+SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){3,}(?!\S)")
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The word behind one token in lower case."""
-    if token.isalpha() and not REPEAT.search(token):
-        return token
+    """The words behind one token in lower case, with blanks between them."""
     core = EDGES.sub("", token)
-    plain = core.rstrip("!")
-    if plain.isalpha() and not REPEAT.search(plain):
-        return plain
-    if len(core) > MOST_LETTERS or not any(c.isalpha() or c in LOOK_ALIKE for c in core):
+    if core.isalpha() and not TWICE.search(core):  # one path
+        return core
+    if NUMBER.fullmatch(core) and any(c.isdigit() for c in core):
         return ""
-    letters = sum(c.isalpha() for c in core)
-    return decode(core, model) if letters else ""
+    return decode(core, model)
 
 
 def restored_words(text: str, model: CharModel, cache: dict[str, str]) -> set[str]:
@@ -187,7 +247,7 @@ def restored_words(text: str, model: CharModel, cache: dict[str, str]) -> set[st
     text = text.lower()
     tokens = set(text.split())
     for m in SPACED.finditer(text):
-        tokens.add(m.group().replace(" ", ""))
+        tokens.add(" ".join(m.group().split()))
     out = set()
     for t in tokens:
         w = cache.get(t)
@@ -195,7 +255,10 @@ def restored_words(text: str, model: CharModel, cache: dict[str, str]) -> set[st
             if len(cache) > 100_000:
                 cache.clear()
             w = cache[t] = restore(t, model)
-        out.add(w)
+        if " " in w:
+            out.update(w.split(" "))
+        else:
+            out.add(w)
     out.discard("")
     return out
 
@@ -262,7 +325,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    chars = char_model(texts, p.model_grams)
+    chars = char_model(texts)
     share = F.when(F.col("y") == 1, F.lit(p.sample_docs / counts.get(1, 1))).otherwise(F.lit(p.sample_docs / counts.get(0, 1)))
     picked = marks.where(chance < share).limit(8 * p.sample_docs)  # the bound that the broadcast relies on
     sample = (texts.where(F.length("text") <= p.sample_chars).join(F.broadcast(picked), "id").select("id", "y", "text"))

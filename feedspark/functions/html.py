@@ -1,10 +1,12 @@
 """Page extraction as native expressions.
 
 A page is one row; every function here maps a row to a row, so a page job is
-one projection over the pages table with no shuffle.  The paragraph
-definition is the regex below: a ``<p>`` start tag up to the next ``</p>``.
-For unclosed or nested paragraphs a DOM would count inner text twice; this
-definition counts it once (documented difference, SURVEY §2.13 #11).
+one projection over the pages table with no shuffle.  Paragraphs nest as in the
+tree that the reference's parser builds: a page is cut into tags and texts once,
+and a fold over the tags keeps the open elements as a stack.  An end tag closes
+the innermost open element of its name and all that is open inside it; an
+element that nothing closes ends with the page.  A paragraph's text is all text
+inside, also that of paragraphs in it, without scripts, styles and comments.
 """
 
 from __future__ import annotations
@@ -18,7 +20,14 @@ from feedspark.functions.udfs import unescape_html, unescape_html_array
 HEADER_RE = r"(?is)<header(?:\s[^>]*)?>.*?</header>"
 FOOTER_RE = r"(?is)<footer(?:\s[^>]*)?>.*?</footer>"
 TITLE_RE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title>"
-PARAGRAPH_RE = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
+# The pieces of a page: comment, script, style, declaration, tag, text.
+PIECE_RE = (r"""(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>"""
+            r"""|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]+|<""")
+# Elements without an end tag, and those that PIECE_RE takes whole.
+NEVER_OPEN = tuple("area base br col embed hr img input link meta param source track wbr script style".split())
+FOLLOWED = ("p", "header", "footer")
+SPANS = "array<struct<first:int,last:int,name:string>>"
+OPEN = "array<struct<name:string,at:int>>"
 META_NAME_RE = r"""(?is)<meta\s[^>]*\bname\s*=\s*["']description["'][^>]*>"""
 META_PROP_RE = r"""(?is)<meta\s[^>]*\bproperty\s*=\s*["']og:description["'][^>]*>"""
 CONTENT_ATTR_RE = r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
@@ -54,10 +63,74 @@ def meta_description(col) -> Column:
     return unescape_html(F.when(tag != "", _content_attr(tag)).otherwise(F.lit("")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _is_tag(piece: Column) -> Column:
+    return piece.startswith("<") & (F.length(piece) > 1)
+
+
+def _step(piece: Column) -> Column:
+    """What a piece does to the open elements: '/name' closes, 'name' opens,
+    'p/' is a paragraph without content, '' does nothing."""
+    name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
+    opens = F.when(piece.endswith("/>"), F.when(name == "p", "p/").otherwise("")).when(name.isin(*NEVER_OPEN), "").otherwise(name)
+    return F.when(~_is_tag(piece) | (name == ""), "").when(piece.startswith("</"), F.concat(F.lit("/"), name)).otherwise(opens)
+
+
+def _closed(open_: Column, at: Column) -> Column:
+    """Spans of the elements ``open_`` that end at piece ``at``."""
+    return F.transform(F.filter(open_, lambda x: x["name"].isin(*FOLLOWED)),
+                       lambda x: F.struct(x["at"].alias("first"), at.alias("last"), x["name"].alias("name")))
+
+
+def element_spans(pieces: Column) -> Column:
+    """First and last piece of each paragraph, header and footer."""
+    def merge(state: Column, step: Column) -> Column:
+        at = state["at"] + 1
+        # Elements that stay open: all before the innermost one of the name.
+        inner = F.array_position(F.reverse(F.transform(state["open"], lambda x: x["name"])), F.substring(step, 2, 1 << 30))
+        keep = (F.size(state["open"]) - inner).cast("int")
+        after = (F.when(step.startswith("/") & (inner > 0), F.struct(
+                    at.alias("at"), F.slice(state["open"], 1, keep).alias("open"),
+                    F.concat(state["spans"], _closed(F.slice(state["open"], keep + 1, F.size(state["open"])), at)).alias("spans")))
+                 .when((step == "") | step.startswith("/"), F.struct(at.alias("at"), state["open"].alias("open"), state["spans"].alias("spans")))
+                 .when(step == "p/", F.struct(at.alias("at"), state["open"].alias("open"), F.concat(state["spans"], F.array(
+                    F.struct(at.alias("first"), (at + 1).alias("last"), F.lit("p").alias("name")))).alias("spans")))
+                 .otherwise(F.struct(at.alias("at"), F.concat(state["open"], F.array(F.struct(step.alias("name"), at.alias("at")))).alias("open"),
+                                     state["spans"].alias("spans"))))
+        return after.cast(f"struct<at:int,open:{OPEN},spans:{SPANS}>")
+
+    empty = lambda t: F.array().cast(t)
+    start = F.struct(F.lit(-1).alias("at"), empty(OPEN).alias("open"), empty(SPANS).alias("spans"))
+    return F.aggregate(F.transform(pieces, _step), start, merge,
+                       lambda state: F.array_sort(F.concat(state["spans"], _closed(state["open"], state["at"] + 1))))
+
+
+def _texts(pieces: Column, spans: Column) -> Column:
+    gone = F.filter(spans, lambda s: s["name"] != "p")
+    inside = lambda i: F.exists(gone, lambda g: (g["first"] < i) & (i < g["last"]))
+    texts = F.transform(pieces, lambda x, i: F.when(_is_tag(x) | inside(i), "").otherwise(x))
+    kept = F.filter(spans, lambda s: (s["name"] == "p") & ~inside(s["first"]))
+    return _let(texts, lambda t: F.transform(kept, lambda s: F.array_join(F.slice(t, s["first"] + 2, s["last"] - s["first"] - 1), "")))
+
+
+def paragraph_texts(col) -> Column:
+    """Texts of all paragraphs outside header and footer, in order of their
+    start tags, entities as written; null for a null page."""
+    pieces = F.regexp_extract_all(_c(col), F.lit(PIECE_RE), F.lit(0))
+    return _let(pieces, lambda x: _let(element_spans(x), lambda s: _texts(x, s)))
+
+
 # H4
-def page_paragraphs(col) -> Column:
-    paras = F.regexp_extract_all(_c(col), F.lit(PARAGRAPH_RE), 1)
-    return unescape_html_array(F.transform(paras, strip_tags))
+def with_paragraphs(df: DataFrame, html_col: str = "html", name: str = "paragraphs") -> DataFrame:
+    """Add the array ``name`` of decoded ``paragraph_texts``.  The texts are
+    generated, not projected: decoding looks at them several times."""
+    raw = f"_{name}_raw"
+    return (df.select("*", F.explode(F.array(paragraph_texts(html_col))).alias(raw))
+            .withColumn(name, unescape_html_array(F.col(raw))).drop(raw))
 
 
 # H5
@@ -67,10 +140,8 @@ def with_page_content(df: DataFrame, html_col: str = "html", name: str = "pc") -
     newlines.  Staged projections: the title (decoded in Python when it has
     an entity) must be a column before the paragraph filter can use it."""
     tmp = f"_{name}"
-    staged = (df
-              .withColumn(tmp + "_body", drop_boilerplate(html_col))
-              .withColumn(tmp + "_title", page_title(F.col(tmp + "_body")))
-              .withColumn(tmp + "_paras", page_paragraphs(F.col(tmp + "_body"))))
+    staged = df.withColumn(tmp + "_body", drop_boilerplate(html_col))
+    staged = with_paragraphs(staged, tmp + "_body", tmp + "_paras").withColumn(tmp + "_title", page_title(F.col(tmp + "_body")))
     kept = keep_paragraphs(F.col(tmp + "_paras"), F.col(tmp + "_title"))
     return (staged
             .withColumn(name, F.struct(

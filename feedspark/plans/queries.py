@@ -111,9 +111,9 @@ def feed_catalog(spark, d):
 
 # ============================================================ collection
 
-def _collect(spark, d, compat=False):
+def _collect(spark, d, compat=False, once=False):
     return C.collect_batch(fx.tracker(spark, d), fx.feed_entries(spark, d), fx.articles(spark, d),
-                           run_date=RUN_DATE, compat=compat)
+                           run_date=RUN_DATE, compat=compat, once=once)
 
 
 KEY_SQL = f"'dnd|' || source || '|{RUN_DATE}|' || doc_id"
@@ -127,7 +127,7 @@ ALL_ROWS_SQL = duck_with("articles_v", "feed_v") + OLD_ROWS_SQL + " UNION ALL "
 
 @register("collect_batch", ALL_ROWS_SQL)
 def collect_batch(spark, d):
-    return _collect(spark, d).articles.select(*OUT_COLS)
+    return _collect(spark, d, once=True).articles.select(*OUT_COLS)
 
 
 def with_position(ordered: DataFrame) -> DataFrame:
@@ -566,7 +566,8 @@ def meta_description(spark, d):
           f"SELECT CAST(page_id AS BIGINT) AS page_id, CAST(unnest(range(0, len(ps))) AS BIGINT) AS p_pos, unnest(ps) AS paragraph "
           f"FROM (SELECT page_id, {s.paragraphs('body')} AS ps FROM body_v)")
 def page_paragraphs(spark, d):
-    return (_rich(spark, d).select("page_id", F.posexplode(H.page_paragraphs(H.drop_boilerplate("html"))))
+    bodies = _rich(spark, d).select("page_id", H.drop_boilerplate("html").alias("html"))
+    return (H.with_paragraphs(bodies).select("page_id", F.posexplode("paragraphs"))
             .select("page_id", big("pos").alias("p_pos"), F.col("col").alias("paragraph")))
 
 

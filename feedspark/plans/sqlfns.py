@@ -14,8 +14,8 @@ from feedspark.functions.text import PY_NON_WS, PY_WS
 
 
 # What the elements look like, stated for DuckDB's RE2.
-HEADER, FOOTER, TITLE, PARAGRAPH = (rf"(?is)<{name}(?:\s[^>]*)?>{body}</{name}>" for name, body in
-                                    (("header", ".*?"), ("footer", ".*?"), ("title", "(.*?)"), ("p", "(.*?)")))
+HEADER, FOOTER, TITLE = (rf"(?is)<{name}(?:\s[^>]*)?>{body}</{name}>" for name, body in
+                         (("header", ".*?"), ("footer", ".*?"), ("title", "(.*?)")))
 META_BY_NAME = r"""(?is)<meta\s[^>]*\bname\s*=\s*["']description["'][^>]*>"""
 META_BY_PROPERTY = r"""(?is)<meta\s[^>]*\bproperty\s*=\s*["']og:description["'][^>]*>"""
 CONTENT = r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
@@ -86,8 +86,44 @@ def meta_description(body):
     return unescape(f"(CASE WHEN {tag} = '' THEN '' WHEN {dq} <> '' THEN {dq} ELSE {sq} END)")
 
 
+# The pieces of a page for RE2, and a reduction over them: each item carries its own step, the accumulated one the open elements and closed spans.
+PIECE = (r"""(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>|"""
+         r"""</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+|<""")
+NO_END = "'area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr','script','style'"
+
+
+def _item(step, i, opened="[]", spans="[]"):
+    return (f"{{'step': {step}, 'i': {i}, 'opened': {opened}::STRUCT(name VARCHAR, i BIGINT)[], "
+            f"'spans': {spans}::STRUCT(f BIGINT, t BIGINT, name VARCHAR)[]}}")
+
+
+def _spans(pieces):
+    name = "lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1))"
+    step = (f"(CASE WHEN NOT regexp_matches(t, '^</?[A-Za-z]') THEN '' WHEN starts_with(t, '</') THEN '/' || {name} "
+            f"WHEN ends_with(t, '/>') THEN (CASE WHEN {name} = 'p' THEN 'p/' ELSE '' END) WHEN {name} IN ({NO_END}) THEN '' ELSE {name} END)")
+    names = "list_transform(a.opened, lambda s: s.name)"
+    keep = f"(CASE WHEN y.step = '/' THEN 0 ELSE len(a.opened) - list_position(list_reverse({names}), substr(y.step, 2)) END)"
+    closed = (f"list_concat(a.spans, list_transform(list_filter(a.opened[{keep} + 1:], lambda s: s.name IN ('p', 'header', 'footer')), "
+              "lambda s: {'f': s.i, 't': y.i, 'name': s.name}))")
+    opened = "list_append(a.opened, {'name': y.step, 'i': y.i})"
+    alone = "list_append(a.spans, {'f': y.i, 't': y.i + 1, 'name': 'p'})"
+    items = f"list_concat(list_transform({pieces}, lambda t, i: {_item(step, 'i')}), [{_item(q('/'), f'(len({pieces}) + 1)::BIGINT')}])"
+    return (f"list_reduce({items}, lambda a, y: CASE "
+            f"WHEN y.step = '/' OR (starts_with(y.step, '/') AND list_contains({names}, substr(y.step, 2))) "
+            f"THEN {_item(q(''), 'y.i', f'a.opened[1:{keep}]', closed)} WHEN y.step = '' OR starts_with(y.step, '/') THEN a "
+            f"WHEN y.step = 'p/' THEN {_item(q(''), 'y.i', 'a.opened', alone)} "
+            f"ELSE {_item(q(''), 'y.i', opened, 'a.spans')} END, {_item(q(''), '0::BIGINT')}).spans")
+
+
 def paragraphs(body):
-    return f"list_transform(regexp_extract_all({body}, {q(PARAGRAPH)}, 1), lambda p: {unescape(strip_tags('p'))})"
+    pieces = f"regexp_extract_all({body}, {q(PIECE)}, 0)"
+    spans = _spans(pieces)
+    gone = f"list_filter({spans}, lambda g: g.name <> 'p')"
+    inside = lambda i: f"len(list_filter({gone}, lambda g: g.f < {i} AND {i} < g.t)) > 0"
+    texts = f"list_transform({pieces}, lambda t, i: CASE WHEN regexp_matches(t, '^<.') OR {inside('i')} THEN '' ELSE t END)"
+    kept = f"list_sort(list_filter({spans}, lambda s: s.name = 'p' AND NOT ({inside('s.f')})))"
+    text = unescape(f"array_to_string({texts}[s.f + 1 : s.t - 1], '')")
+    return f"list_transform({kept}, lambda s: {text})"
 
 
 def kept_paragraphs(paras, title):

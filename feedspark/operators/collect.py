@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from feedspark.functions.dates import date_token, iso_date, parse_published, watermark_ts
 from feedspark.functions.text import clean_description
 from feedspark.schemas import ARTICLE, STORED_ORDER
+from feedspark.session import settle
 
 
 # P1
@@ -38,46 +39,61 @@ def entries_with_feed(entries: DataFrame, feeds: DataFrame) -> DataFrame:
     return entries.join(feeds, entries["feed_url"] == feeds["rss_url"], "inner").drop("rss_url")
 
 
-# D1 + F1 + D2
-def dated_entries(entries: DataFrame, compat: bool = False) -> DataFrame:
+# D1 + D2
+def with_dates(entries: DataFrame, compat: bool = False) -> DataFrame:
     """Add ``date_token``, ``published_at``, ``offset_min``, ``date_published``.
 
     ``compat=True`` keeps the reference's cut at the first 'T' (which drops
     'Tue'/'Thu' dates and the time of ISO dates); the default parses the
-    whole string.  Rows with an empty token are dropped (F1).  Rows whose
-    token does not parse keep a null ``published_at``; see ``rejects``.
+    whole string.  Rows whose token is empty or does not parse have a null
+    ``published_at``.  The parsed date is generated, not projected: filters on
+    it stay behind it, so that each date is parsed once.
     """
     raw = F.coalesce(F.col("published"), F.lit(""))
     token = date_token(raw) if compat else raw
-    return (entries
-            .withColumn("date_token", token)
-            .filter(F.length("date_token") > 0)
-            .withColumn("_p", parse_published(F.col("date_token")))
-            .withColumn("published_at", F.col("_p.published_at"))
+    parsed = entries.withColumn("date_token", token).select("*", F.explode(F.array(parse_published(F.col("date_token")))).alias("_p"))
+    return (parsed.withColumn("published_at", F.col("_p.published_at"))
             .withColumn("offset_min", F.col("_p.offset_min"))
             .drop("_p")
             .withColumn("date_published", iso_date("published_at", "offset_min")))
 
 
+# F1
+def dated_entries(entries: DataFrame, compat: bool = False) -> DataFrame:
+    """``with_dates`` without the rows whose token is empty.  Rows whose token
+    does not parse keep a null ``published_at``; see ``rejects``."""
+    return with_dates(entries, compat).filter(F.length("date_token") > 0)
+
+
 REJECT_COLUMNS = ["entry_id", "feed_url", "link", "title", "published"]
 
 
-def rejects(dated: DataFrame) -> DataFrame:
-    """Entries whose date could not be parsed (the reference raises)."""
-    return (dated.filter(F.col("published_at").isNull())
-            .select("community", "blog_name", *REJECT_COLUMNS, F.lit("date").alias("reason")))
+def all_entries(entries: DataFrame, feeds: DataFrame, compat: bool = False) -> DataFrame:
+    """Every entry with its blog, if one tracks its feed, and its date."""
+    matched = entries.join(feeds, entries["feed_url"] == feeds["rss_url"], "left").drop("rss_url")
+    return with_dates(matched, compat)
+
+
+def rejects(found: DataFrame, extra: tuple = ()) -> DataFrame:
+    """What no article can be made of ``all_entries``: entries whose feed no
+    blog tracks (``feed``), without a date (``no date``; F1 drops them) or with
+    one that does not parse (``date``; the reference raises)."""
+    reason = (F.when(F.col("blog_name").isNull(), "feed").when(F.length("date_token") == 0, "no date")
+              .when(F.col("published_at").isNull(), "date"))
+    return (found.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+            .select("community", "blog_name", *REJECT_COLUMNS, *extra, "reason"))
 
 
-def undated_entries(entries: DataFrame) -> DataFrame:
-    """Entries without any date (F1 drops them)."""
-    return entries.filter(F.length(F.coalesce(F.col("published"), F.lit(""))) == 0)
+def with_broken(rejected: DataFrame, broken: DataFrame | None) -> DataFrame:
+    """The rejects and one row (``document``) for each broken file (file)."""
+    if broken is None:
+        return rejected
+    return rejected.unionByName(broken.select("file", F.lit("document").alias("reason")), allowMissingColumns=True)
 
 
-def unmatched_entries(entries: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Entries of a feed that no blog tracks: they reach no article table."""
-    return (entries.join(feeds.select("rss_url").distinct(), entries["feed_url"] == F.col("rss_url"), "left_anti")
-            .select(F.lit(None).cast("string").alias("community"), F.lit(None).cast("string").alias("blog_name"),
-                    *REJECT_COLUMNS, F.lit("feed").alias("reason")))
+def usable_entries(found: DataFrame) -> DataFrame:
+    """The entries of ``all_entries`` that articles can be made of."""
+    return found.filter(F.col("blog_name").isNotNull() & F.col("published_at").isNotNull())
 
 
 # F2
@@ -174,7 +190,8 @@ class CollectResult:
 
 # ST2
 def collect_batch(tracker: DataFrame, entries: DataFrame, existing: DataFrame,
-                  run_date: str, compat: bool = False, dedupe: bool = False, run: str | None = None) -> CollectResult:
+                  run_date: str, compat: bool = False, dedupe: bool = False, run: str | None = None,
+                  once: bool = False, extra: tuple = ()) -> CollectResult:
     """S2 -> P1 -> D2/F1 -> F2 -> T6 -> P2 -> U1 -> O1, plus L1, A1 and K2.
 
     ``entries`` has feed_url, link, title, description, published and
@@ -182,23 +199,30 @@ def collect_batch(tracker: DataFrame, entries: DataFrame, existing: DataFrame,
     in the keys of its rows (default: the run date).  ``dedupe=True`` (off by
     default: the reference keeps duplicates) drops new rows whose (community,
     blog_name, url) is already stored, and repeats within the run.
+    ``once=True`` writes the dated entries and the new rows to the scratch
+    folder, for callers that use several of the results or sort them: then
+    each date is parsed and each description cleaned once.  ``extra`` columns
+    of the entries are carried into the rejects.
     """
     run = run or run_date
     feeds = explode_feeds(tracker)
-    matched = entries_with_feed(entries, feeds)
-    dated = dated_entries(matched, compat=compat)
-    new = to_articles(since_watermark(dated))
+    found = all_entries(entries, feeds, compat)
+    if once:
+        found = settle(found, "entries")
+    usable = usable_entries(found)
+    new = to_articles(since_watermark(usable))
     if dedupe:
         own = ["community", "blog_name", "url"]
         new = (new.join(existing.select(*own), own, "left_anti")
                   .groupBy(*own).agg(F.min_by(F.struct(*new.columns), "entry_id").alias("r"))
                   .select("r.*"))
-    undated = undated_entries(matched).select("community", "blog_name", *REJECT_COLUMNS, F.lit("no date").alias("reason"))
+    if once:
+        new = settle(new, "new-articles")
     return CollectResult(
         articles=articles_by_date(append_articles(existing, new, run), compat=compat),
         new_articles=new.drop("entry_id"),
         new_rows=key_new(new, run),
-        late=late_entries(dated),
-        rejects=rejects(dated).unionByName(undated).unionByName(unmatched_entries(entries, feeds)),
+        late=late_entries(usable),
+        rejects=rejects(found, extra),
         tracker=advance_tracker(tracker, run_date, entries.select(F.col("feed_url").alias("rss_url"))),
     )

@@ -5,13 +5,16 @@
     python -m feedspark.plans.jobs post      --articles A --outbox X [--n 1]
     python -m feedspark.plans.jobs summarize --articles A --pages P --outbox X [--n 1]
     python -m feedspark.plans.jobs bills     --items I --pages P --articles A --out O
-
-Nothing that is stored is rewritten: new articles are appended as new files,
-and the outbox is the record of what was posted; an article counts as posted
-by its stored flag or by an outbox row with its key.  ``--rewrite`` (collect,
-post, summarize) writes a whole new version of the article table in stored
-order instead, as the reference rewrites its file.  What was written is
-printed as JSON.  Articles are written before the tracker.
+    python -m feedspark.plans.jobs merge     --articles A
+
+Nothing that is stored is rewritten: a run's new articles are committed with
+its rejects, late counts and tracker by one row of the table's log
+(``sources.runs``), so a job that died can simply be run again; and the outbox is
+the record of what was posted: an article counts as posted by its stored flag or
+by an outbox row with its key.  ``--rewrite`` (collect, post, summarize) writes
+a whole new version of the article table in stored order instead, as the
+reference rewrites its file.  ``merge`` rewrites the table's many small runs as
+one.  What was written is printed as JSON.
 """
 
 from __future__ import annotations
@@ -28,40 +31,39 @@ from feedspark.operators import collect as C
 from feedspark.operators import queue as Q
 from feedspark.operators import summarize as U
 from feedspark.session import ensure_utc, settle
-from feedspark.sources import readers, sinks
-
-
-def entries_from_feeds(spark: SparkSession, feeds_path: str, feed_map: DataFrame) -> DataFrame:
-    """Feed entries of RSS and Atom files; ``feed_map`` (file, feed_url) says
-    which feed a file was fetched from.  Entries of other files have no feed
-    and end in the rejects."""
-    return readers.read_entries(spark, feeds_path).join(feed_map, "file", "left").drop("file")
+from feedspark.sources import readers, runs, sinks
 
 
 def stored_articles(spark: SparkSession, root: str) -> DataFrame:
-    """The current article table; empty if nothing is stored yet."""
+    """The current article table: the committed runs; the newest version if
+    it is written in versions; empty if nothing is stored yet."""
     path = sinks.current_path(spark, root)
-    if not readers.exists(spark, path):
-        return spark.createDataFrame([], schemas.ARTICLE)
-    return readers.read_articles(spark, path)
+    return readers.read_articles(spark, path) if path != root else runs.articles(spark, root)
 
 
 def collect_job(spark, tracker_root, entries: DataFrame, articles_root, out_root, run_date, compat=False,
-                dedupe=False, tracker_multi_line=False, rewrite=False):
-    """Collect one run: article rows, rejects, late counts, then the tracker.
-    ``tracker_multi_line=True`` for a tracker file holding one JSON object (or
-    an array), as the reference stores it."""
+                dedupe=False, tracker_multi_line=False, rewrite=False, broken: DataFrame | None = None):
+    """Collect one run: article rows, rejects, late counts and the tracker,
+    committed together.  A job that died is run again with the same arguments;
+    what it had written is overwritten.  ``tracker_multi_line=True`` for a
+    tracker file holding one JSON object (or an array), as the reference
+    stores it."""
     ensure_utc(spark)
-    run = sinks.new_version_path(run_date).replace("/v=", "#")
-    tracker = readers.read_tracker(spark, sinks.current_path(spark, tracker_root), multi_line=tracker_multi_line)
-    r = C.collect_batch(tracker, entries, stored_articles(spark, articles_root), run_date, compat=compat, dedupe=dedupe, run=run)
+    run = runs.next_run(spark, articles_root, run_date)
+    tracker = readers.read_tracker(spark, runs.tracker_path(spark, articles_root, tracker_root), multi_line=tracker_multi_line)
+    extra = ("file",) if "file" in entries.columns else ()
+    r = C.collect_batch(tracker, entries, stored_articles(spark, articles_root), run_date, compat=compat, dedupe=dedupe, run=run,
+                        once=True, extra=extra)
     if rewrite:
-        art = sinks.write_articles(r.articles, f"{out_root}/articles")
+        out = {"articles": sinks.write_articles(r.articles, f"{out_root}/articles")}
     else:
-        art = sinks.append_article_rows(r.new_rows, articles_root)
-    out = {"articles": art, "rejects": sinks.write_report(r.rejects, f"{out_root}/rejects", run),
-           "late": sinks.write_report(r.late, f"{out_root}/late", run)}
-    return out | {"tracker": sinks.write_tracker(r.tracker, f"{out_root}/tracker")}  # only after the articles
+        out = {"articles": runs.write_rows(r.new_rows, articles_root, run)}
+    out |= {"rejects": sinks.write_report(C.with_broken(r.rejects, broken), f"{out_root}/rejects", run),
+            "late": sinks.write_report(r.late, f"{out_root}/late", run),
+            "tracker": sinks.stage_tracker(r.tracker, f"{out_root}/tracker")}
+    runs.commit(spark, articles_root, run, {k: v for k, v in out.items() if not (rewrite and k == "articles")})
+    sinks.publish(spark, f"{out_root}/tracker", out["tracker"])  # for readers without the log
+    return out | {"run": run}
 
 
 def queue_state(spark, articles_root, outbox_root) -> DataFrame:
@@ -120,29 +122,28 @@ def bills_job(spark, items: DataFrame, pages_path, out_root, only_enabled=True,
     if not articles_root:
         return {"bills": path}
     bills = spark.read.schema(B.BILL_SCHEMA).json(path)
-    rows = B.bill_to_article(bills, run=sinks.new_version_path(run).replace("/v=", "#"))
+    name = runs.next_run(spark, articles_root, run)
     known = stored_articles(spark, articles_root).select("community", "url")
-    return {"bills": path, "articles": sinks.append_article_rows(rows.join(known, ["community", "url"], "left_anti"), articles_root)}
+    rows = B.bill_to_article(bills, run=name).join(known, ["community", "url"], "left_anti")
+    out = {"articles": runs.write_rows(rows.select(*schemas.ARTICLE.fieldNames()), articles_root, name)}
+    runs.commit(spark, articles_root, name, out)
+    return {"bills": path} | out
 
 
 def stream_job(spark, tracker_root, feeds_path, feed_map: DataFrame, articles_root, out_root, tracker_multi_line=False):
-    """Drain the feed files that arrived since the last call into the article
-    table (its own folder, exactly once) and the rejects."""
-    from feedspark.streaming.collect_stream import start_collect_stream, start_rejects_stream
+    """Drain the feed files that arrived since the last call: each entry lands
+    once, in the article table or in the rejects."""
+    from feedspark.streaming.collect_stream import start_feed_files
 
     ensure_utc(spark)
-    tracker = readers.read_tracker(spark, sinks.current_path(spark, tracker_root), multi_line=tracker_multi_line)
-    options = {"feed_of_file": feed_map}
-    runs = [start_collect_stream(spark, feeds_path, None, tracker, articles_root, f"{out_root}/checkpoint", fmt="rss", options=options),
-            start_rejects_stream(spark, feeds_path, tracker, f"{out_root}/rejects", f"{out_root}/checkpoint-rejects", feed_map)]
-    for q in runs:
-        q.awaitTermination()
-    return {"articles": articles_root, "rejects": f"{out_root}/rejects"}
+    tracker = readers.read_tracker(spark, runs.tracker_path(spark, articles_root, tracker_root), multi_line=tracker_multi_line)
+    start_feed_files(spark, feeds_path, feed_map, tracker, articles_root, out_root, f"{out_root}/checkpoint").awaitTermination()
+    return {"articles": articles_root, "rejects": f"{out_root}/rejects", "late": f"{out_root}/late"}
 
 
 NEEDS = {"collect": ("tracker", "feeds", "feed_map", "articles", "out", "run_date"),
          "stream": ("tracker", "feeds", "feed_map", "articles", "out"), "post": ("articles", "outbox"),
-         "summarize": ("articles", "pages", "outbox"), "bills": ("items", "pages", "out")}
+         "summarize": ("articles", "pages", "outbox"), "bills": ("items", "pages", "out"), "merge": ("articles",)}
 
 
 def main(argv=None):
@@ -159,14 +160,16 @@ def main(argv=None):
     spark = SparkSession.builder.appName(f"feedspark-{a.job}").getOrCreate()
     out = a.out if a.rewrite else None
     if a.job == "collect":
-        entries = entries_from_feeds(spark, a.feeds, readers.read_feed_map(spark, a.feed_map))
-        res = collect_job(spark, a.tracker, entries, a.articles, a.out, a.run_date, a.compat, a.dedupe, a.tracker_multiline, a.rewrite)
+        entries, broken = readers.read_feed_files(spark, a.feeds, readers.read_feed_map(spark, a.feed_map))
+        res = collect_job(spark, a.tracker, entries, a.articles, a.out, a.run_date, a.compat, a.dedupe, a.tracker_multiline, a.rewrite, broken)
     elif a.job == "stream":
         res = stream_job(spark, a.tracker, a.feeds, readers.read_feed_map(spark, a.feed_map), a.articles, a.out, a.tracker_multiline)
     elif a.job == "post":
         res = post_job(spark, a.articles, a.outbox, out, a.n)
     elif a.job == "summarize":
         res = summarize_job(spark, a.articles, a.pages, a.outbox, out, a.n)
+    elif a.job == "merge":
+        res = {"articles": runs.merge_runs(spark, a.articles)}
     else:
         res = bills_job(spark, bill_items_from_files(spark, a.items), a.pages, a.out, articles_root=a.articles)
     print(json.dumps(res))

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedspark import schemas
+from feedspark.session import settle
 
 
 # S1
@@ -32,19 +34,48 @@ def read_atom_entries(spark: SparkSession, path: str) -> DataFrame:
     else updated, summary or else content."""
     df = (spark.read.format("xml").option("rowTag", "entry").option("ignoreSurroundingSpaces", "false")
           .schema(schemas.ATOM_ENTRY).load(path))
+    return df.select(*_atom_columns("pubDate"), F.col("_metadata.file_path").alias("source_file"),
+                     F.monotonically_increasing_id().alias("entry_id"))
+
+
+def _atom_columns(date: str) -> list:
     links = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     link = F.coalesce(F.get(links, 0), F.get(F.col("link"), 0))["_href"]
-    return df.select("title", link.alias("link"), F.coalesce("summary", "content").alias("description"),
-                     F.coalesce("published", "updated").alias("pubDate"),
-                     F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("entry_id"))
+    return ["title", link.alias("link"), F.coalesce("summary", "content").alias("description"),
+            F.coalesce("published", "updated").alias(date)]
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
+def read_feed_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Items of RSS files and entries of Atom files, as feed entries with the
-    name of their file."""
-    both = read_feed_items(spark, path).unionByName(read_atom_entries(spark, path))
-    return both.select("entry_id", F.element_at(F.split("source_file", "/"), -1).alias("file"), "link", "title",
-                       "description", F.col("pubDate").alias("published"))
+    name of their file, and a row with ``broken`` for what a file holds that is
+    no readable XML.  Within a file ``entry_id`` follows the feed's order."""
+    def rows(tag, schema, select):
+        schema = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+        df = (spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false")
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).schema(schema).load(path))
+        broken = F.col(BROKEN).isNotNull() & F.col("title").isNull()  # Spark reads the marker beside another column only
+        return df.select(*select, F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), broken.alias("broken"))
+
+    items = rows("item", schemas.FEED_ITEM, ["link", "title", "description", F.col("pubDate").alias("published")])
+    entries = rows("entry", schemas.ATOM_ENTRY, _atom_columns("published"))
+    return items.unionByName(entries).withColumn("entry_id", F.monotonically_increasing_id())
+
+
+BROKEN = "_broken"
+
+
+def read_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The feed entries of RSS and Atom files, with the name of their file."""
+    return read_feed_rows(spark, path).where(~F.col("broken")).select("entry_id", "file", "link", "title", "description", "published")
+
+
+def read_feed_files(spark: SparkSession, path: str | list[str], feed_map: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Feed entries of RSS and Atom files, and the files that are broken
+    (unreadable in part or as a whole; Spark's readers pass over files without a
+    byte).  ``feed_map`` (file, feed_url) says which feed a file was fetched
+    from; entries of other files have no feed.  The files are parsed once."""
+    rows = settle(read_feed_rows(spark, path).join(feed_map, "file", "left"), "feed-rows")
+    return rows.where(~F.col("broken")).drop("broken"), rows.where("broken").select("file").distinct()
 
 
 def read_feed_map(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +88,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def holds(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path fits the glob ``pattern``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 # S2
 def read_tracker(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Tracker JSON: one object per line (as ``write_tracker`` writes it), or

@@ -56,11 +56,17 @@ def write_articles(articles: DataFrame, root: str, fmt: str = "parquet",
     return path
 
 
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows dealt by ranges of (community, stored order), so that a large
+    community, also one whose dates are all alike, fills many tasks, and in
+    stored order within each file."""
+    return rows.repartitionByRange("community", *STORED_ORDER).sortWithinPartitions("community", *STORED_ORDER)
+
+
 def append_article_rows(rows: DataFrame, root: str) -> str:
-    """Append new rows, in stored order within each file.  Rows are dealt by
-    ranges of (community, date), so a large community fills many tasks."""
-    (rows.repartitionByRange("community", "published_at").sortWithinPartitions("community", *STORED_ORDER)
-     .write.mode("append").partitionBy("community").parquet(root))
+    """Put rows directly under ``root`` (imports; jobs commit runs, see
+    ``sources.runs``)."""
+    clustered(rows).write.mode("append").partitionBy("community").parquet(root)
     return root
 
 
@@ -68,16 +74,24 @@ def append_article_rows(rows: DataFrame, root: str) -> str:
 def write_tracker(tracker: DataFrame, root: str) -> str:
     """The advanced tracker (configuration: one file), written only after the
     articles that it covers."""
+    path = stage_tracker(tracker, root)
+    publish(tracker.sparkSession, root, path)
+    return path
+
+
+def stage_tracker(tracker: DataFrame, root: str) -> str:
+    """A tracker version that is not published yet."""
     path = new_version_path(root)
     tracker.coalesce(1).write.mode("errorifexists").json(path)
-    publish(tracker.sparkSession, root, path)
     return path
 
 
 def write_report(rows: DataFrame, root: str, run: str) -> str:
-    """Append a run's rejects or late counts, under the run's name."""
-    rows.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").json(root)
-    return root
+    """A run's rejects or late counts, in the run's folder under ``root``
+    (what an earlier attempt has left there is overwritten)."""
+    path = f"{root.rstrip('/')}/run={run}"
+    rows.write.mode("overwrite").json(path)
+    return path
 
 
 # K3

@@ -3,14 +3,22 @@
 The reference polls with a stored date and skips anything dated on or
 before it.  A file stream replaces that date: the source's checkpoint
 records which feed files were already read, so every new file is processed
-exactly once and nothing is dropped for being dated "too early".  The
-transform is the batch chain (D2/F1, T6, P2) without the date filter F2.
-
-The sink is Spark's file sink (exactly-once through its metadata log); with
-``trigger(availableNow=True)`` the query drains what is there and stops, so
-a scheduler can run it like the reference's periodic job.  An optional
-event-time watermark with ``dropDuplicatesWithinWatermark`` removes
-re-published entries (off by default: the reference keeps duplicates).
+exactly once and nothing is dropped for being dated "too early".
+
+``start_feed_files`` streams the names of new files; each batch reads its RSS and
+Atom files like the batch job (same readers, same chain without the date filter
+F2) and lands them in several sinks: articles, rejects (feed, no date, date,
+document) and the counts of entries behind the tracker's date (L1).  A batch is
+one run of the article table (``sources.runs``), named by the query and the batch
+number.  A batch that died before its commit is run again by Spark with the same
+files and number and overwrites what is there; one that died after it is
+recognised and skipped.  So each entry lands once.
+
+``start_entries`` does the same for a stream of entries that are rows already.
+``start_collect_stream`` writes the articles of such a stream to a plain file
+sink, optionally without re-published entries (an event-time watermark with
+``dropDuplicatesWithinWatermark``; off by default: the reference keeps
+duplicates).
 """
 
 from __future__ import annotations
@@ -18,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.operators.collect import dated_entries, entries_with_feed, explode_feeds, key_new, rejects, to_articles
-from feedspark.schemas import FEED_ITEM
-from feedspark.session import scratch_path
+from feedspark.operators.collect import (all_entries, dated_entries, entries_with_feed, explode_feeds, key_new, late_entries, rejects,
+                                         to_articles, usable_entries, with_broken)
+from feedspark.session import scratch_path, settle
+from feedspark.sources import readers, runs, sinks
 
 ENTRY_COLUMNS = ["entry_id", "feed_url", "link", "title", "description", "published"]
 
@@ -37,67 +46,87 @@ def article_stream(entries_stream: DataFrame, tracker: DataFrame, compat: bool =
     return key_new(arts, "stream")
 
 
-def reject_stream(entries_stream: DataFrame, tracker: DataFrame, compat: bool = False) -> DataFrame:
-    """Streaming entries whose date does not parse, or whose feed no blog
-    tracks (``feed``)."""
-    feeds = explode_feeds(tracker)
-    matched = entries_stream.join(feeds, entries_stream["feed_url"] == feeds["rss_url"], "left").drop("rss_url")
-    dated = dated_entries(matched, compat=compat).filter(F.col("published_at").isNull() | F.col("blog_name").isNull())
-    return rejects(dated.withColumn("published_at", F.lit(None).cast("timestamp"))).withColumn(
-        "reason", F.when(F.col("blog_name").isNull(), "feed").otherwise("date"))
-
-
-def rss_entry_stream(spark: SparkSession, landing: str, feed_of_file: DataFrame | None = None) -> DataFrame:
-    """Feed entries streamed straight from RSS files arriving in ``landing``
-    (Spark's XML source, one row per ``<item>``).  The feed URL is the file
-    path unless a (file, feed_url) map is given; the entry id is a hash of
-    file, link and date (streams cannot number rows)."""
-    items = (spark.readStream.format("xml").option("rowTag", "item")
-             .option("ignoreSurroundingSpaces", "false").schema(FEED_ITEM).load(landing))
-    path = F.col("_metadata.file_path")
-    e = items.select(
-        F.xxhash64(path, F.col("link"), F.col("pubDate")).alias("entry_id"),
-        F.element_at(F.split(path, "/"), -1).alias("file"), path.alias("path"),
-        "link", "title", "description", F.col("pubDate").alias("published"))
-    if feed_of_file is not None:
-        return e.join(feed_of_file, "file", "left").drop("file", "path")
-    return e.withColumnRenamed("path", "feed_url").drop("file")
+def _land(spark: SparkSession, entries: DataFrame, tracker: DataFrame, articles_root: str, out_root: str, run: str,
+          key: str | None = None, broken: DataFrame | None = None, compat: bool = False) -> None:
+    """Write one batch to its sinks and commit it.  ``key`` names the run in
+    the rows' keys, where ``entry_id`` is unique beyond the batch."""
+    found = settle(all_entries(entries, explode_feeds(tracker), compat), "stream-entries")
+    usable = usable_entries(found)
+    extra = ("file",) if "file" in entries.columns else ()
+    paths = {"articles": runs.write_rows(key_new(to_articles(usable), key or run), articles_root, run),
+             "rejects": sinks.write_report(with_broken(rejects(found, extra), broken), f"{out_root}/rejects", run),
+             "late": sinks.write_report(late_entries(usable), f"{out_root}/late", run)}
+    runs.commit(spark, articles_root, run, paths)
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name that the checkpoint gives its query for good."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
+def _each_batch(spark: SparkSession, checkpoint: str, articles_root: str, land):
+    """``land(batch, run)``, unless the batch's run is committed already."""
+    def batch_of(batch: DataFrame, number: int) -> None:
+        run = f"stream-{_query_id(spark, checkpoint)[:8]}.{number:08d}"
+        if runs.find(spark, articles_root, run) is None:
+            land(batch, run)
+
+    return batch_of
+
+
+def _start(writer, checkpoint: str, available_now: bool):
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
+
+
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def start_feed_files(spark: SparkSession, landing: str, feed_map: DataFrame, tracker: DataFrame, articles_root: str, out_root: str,
+                     checkpoint: str, compat: bool = False, available_now: bool = True, files_per_batch: int = 10_000):
+    """Collect the RSS and Atom files that arrive in ``landing``.  Of a batch
+    the driver sees the names of its files, at most ``files_per_batch``."""
+    names = (spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_batch).load(landing).select("path"))
+
+    def land(batch: DataFrame, run: str) -> None:
+        paths = sorted(r["path"] for r in batch.collect())
+        if paths:
+            entries, broken = readers.read_feed_files(spark, paths, feed_map)
+            _land(spark, entries, tracker, articles_root, out_root, run, broken=broken, compat=compat)
+
+    return _start(names.writeStream.foreachBatch(_each_batch(spark, checkpoint, articles_root, land)), checkpoint, available_now)
+
+
+def start_entries(spark: SparkSession, entries_stream: DataFrame, tracker: DataFrame, articles_root: str, out_root: str,
+                  checkpoint: str, compat: bool = False, available_now: bool = True):
+    """Collect a stream of entries that carry an ``entry_id`` of their own."""
+    def land(batch: DataFrame, run: str) -> None:
+        _land(spark, batch, tracker, articles_root, out_root, run, key="stream", compat=compat)
+
+    return _start(entries_stream.writeStream.foreachBatch(_each_batch(spark, checkpoint, articles_root, land)), checkpoint, available_now)
 
 
 def start_collect_stream(spark: SparkSession, landing: str, schema, tracker: DataFrame,
                          sink: str, checkpoint: str, compat: bool = False,
                          dedupe_delay: str | None = None, available_now: bool = True,
                          fmt: str = "parquet", options: dict | None = None):
-    """Start the collector over files arriving in ``landing``."""
-    if fmt == "rss":
-        stream = rss_entry_stream(spark, landing, (options or {}).get("feed_of_file"))
-    else:
-        reader = spark.readStream.format(fmt).schema(schema)
-        for k, v in (options or {}).items():
-            reader = reader.option(k, v)
-        stream = reader.load(landing)
-    arts = article_stream(stream, tracker, compat, dedupe_delay)
+    """Start the collector over files of entries arriving in ``landing``."""
+    reader = spark.readStream.format(fmt).schema(schema)
+    for k, v in (options or {}).items():
+        reader = reader.option(k, v)
+    arts = article_stream(reader.load(landing), tracker, compat, dedupe_delay)
     writer = (arts.writeStream.format("parquet").partitionBy("community").option("checkpointLocation", checkpoint)
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start(sink)
 
 
-def start_rejects_stream(spark: SparkSession, landing: str, tracker: DataFrame, sink: str, checkpoint: str,
-                         feed_of_file: DataFrame | None = None, compat: bool = False):
-    """Drain what the collector cannot use of the RSS files in ``landing``."""
-    out = reject_stream(rss_entry_stream(spark, landing, feed_of_file), tracker, compat)
-    return (out.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start(sink))
-
-
 def collect_stream_once(spark: SparkSession, entries: DataFrame, tracker: DataFrame, compat: bool = False) -> DataFrame:
     """Land ``entries`` as files (as many as the input has partitions), drain
-    them through the stream, and return what the sink holds."""
+    them through the stream, and return the article table."""
     root = scratch_path(spark, "stream")
-    landing, sink, ckpt = f"{root}/landing", f"{root}/sink", f"{root}/checkpoint"
     land = entries.select(*ENTRY_COLUMNS)
-    land.write.parquet(landing)
-    q = start_collect_stream(spark, landing, land.schema, tracker, sink, ckpt, compat=compat)
-    q.awaitTermination()
-    return spark.read.parquet(sink)
+    land.write.parquet(f"{root}/landing")
+    stream = spark.readStream.schema(land.schema).parquet(f"{root}/landing")
+    start_entries(spark, stream, tracker, f"{root}/articles", root, f"{root}/checkpoint", compat=compat).awaitTermination()
+    return runs.articles(spark, f"{root}/articles")

@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 from feedspark.plans import fixtures as fx
 from feedspark.operators.queue import mark_posted, next_to_post
 from feedspark.plans import jobs
-from feedspark.sources import readers, sinks
+from feedspark.sources import readers, runs, sinks
 
 NEW = 191  # entries of the fixture after the watermark
 
@@ -23,8 +23,8 @@ def test_collect_post_summarize(spark):
     sinks.append_article_rows(a0, f"{root}/articles")
     entries = fx.feed_entries(spark, SF_SMALL)
     res = jobs.collect_job(spark, f"{root}/tracker", entries, f"{root}/articles", root, "2024-02-01")
-    arts = readers.read_articles(spark, res["articles"])
-    assert arts.count() == a0.count() + NEW
+    arts = runs.articles(spark, f"{root}/articles")
+    assert arts.count() == a0.count() + NEW and readers.read_articles(spark, res["articles"]).count() == NEW
     assert arts.select("article_id").distinct().count() == arts.count()
     trk = readers.read_tracker(spark, sinks.current_path(spark, f"{root}/tracker"))
     assert {r.last_fetched for r in trk.collect()} == {"2024-02-01"}
@@ -92,15 +92,72 @@ def test_stream_job_feeds_the_queue(spark):
     args = (spark, f"{root}/tracker.json", f"{root}/feeds", readers.read_feed_map(spark, f"{root}/map.json"), f"{root}/articles", f"{root}/out")
     for _ in range(2):  # the second call finds nothing new
         res = jobs.stream_job(*args, tracker_multi_line=True)
-    rows = readers.read_articles(spark, res["articles"])
+    rows = runs.articles(spark, res["articles"])
     assert sorted(r.url for r in rows.collect()) == ["https://x/a1", "https://x/a3"]
     assert rows.select("article_id").distinct().count() == 2
-    assert {(r.link, r.reason) for r in spark.read.json(res["rejects"]).collect()} == {
+    assert {(r.link, r.reason) for r in runs.reports(spark, res["articles"], "rejects", "link string, reason string").collect()} == {
         ("https://x/a2", "date"), ("https://x/b1", "feed"), ("https://x/s1", "feed")}
     jobs.post_job(spark, f"{root}/articles", f"{root}/outbox")
     assert [r.url for r in spark.read.parquet(f"{root}/outbox").collect()] == ["https://x/a3"]
 
 
+@pytest.mark.parametrize("step", ["write_rows", "write_report", "stage_tracker", "commit", "publish"])
+def test_killed_collect_run_is_run_again(spark, monkeypatch, step):
+    """Each row is there once, the tracker never ahead of the articles, also
+    when the job dies between the commit and the pointer."""
+    root = tempfile.mkdtemp(prefix="again-")
+    _feed_files(root)
+    feeds = readers.read_feed_map(spark, f"{root}/map.json")
+
+    def run(tracker, multi_line=False):
+        entries, broken = readers.read_feed_files(spark, f"{root}/feeds", feeds)
+        return jobs.collect_job(spark, tracker, entries, f"{root}/articles", f"{root}/out", "2024-02-01", tracker_multi_line=multi_line, broken=broken)
+
+    def state():
+        rows = runs.articles(spark, f"{root}/articles").collect()
+        rejects = runs.reports(spark, f"{root}/articles", "rejects", "link string, reason string").collect()
+        return sorted(r.url for r in rows), sorted((r.link, r.reason) for r in rejects)
+
+    whole = (["https://x/a1"], [("https://x/a2", "date"), ("https://x/b1", "feed"), ("https://x/s1", "feed")])
+    holder = runs if step in ("write_rows", "commit") else sinks
+    with monkeypatch.context() as m:
+        real = getattr(holder, step)
+
+        def dying(*a, **k):
+            if step not in ("commit", "publish"):
+                real(*a, **k)
+            raise RuntimeError("killed")
+
+        m.setattr(holder, step, dying)
+        with pytest.raises(RuntimeError):
+            run(f"{root}/tracker.json", True)
+    committed = step == "publish"
+    assert state() == (whole if committed else ([], []))
+    if committed:  # the next run reads the committed tracker, though no pointer names it
+        run(f"{root}/out/tracker")
+        assert state()[0] == whole[0]
+    else:
+        run(f"{root}/tracker.json", True)
+        assert state() == whole
+    path = runs.tracker_path(spark, f"{root}/articles", f"{root}/out/tracker")
+    assert {b.blog_name: r.last_fetched for r in readers.read_tracker(spark, path).collect() for b in r.blogs} == {"A": "2024-02-01", "C": "2024-01-10"}
+
+
+def test_merged_runs_hold_the_same_rows(spark):
+    root = tempfile.mkdtemp(prefix="merge-")
+    a = fx.articles(spark, SF_SMALL)
+    sinks.append_article_rows(a.where("seq % 3 = 0"), f"{root}/articles")
+    for k in (1, 2):
+        run = runs.next_run(spark, f"{root}/articles", "part")
+        runs.commit(spark, f"{root}/articles", run, {"articles": runs.write_rows(a.where(f"seq % 3 = {k}"), f"{root}/articles", run)})
+    before = sorted(r.article_id for r in jobs.stored_articles(spark, f"{root}/articles").collect())
+    assert len(before) == a.count() and runs.next_run(spark, f"{root}/articles", "part") == "part.0002"
+    path = runs.merge_runs(spark, f"{root}/articles")
+    assert sorted(r.article_id for r in jobs.stored_articles(spark, f"{root}/articles").collect()) == before
+    assert [r.paths["articles"] for r in runs.log_of(spark, f"{root}/articles")] == [path]
+    assert runs.find(spark, f"{root}/articles", "part.0001") is not None  # still known, so not taken again
+
+
 def test_dedupe_option(spark):
     from feedspark.operators.collect import collect_batch
     e = fx.feed_entries(spark, SF_SMALL)
@@ -139,7 +196,7 @@ def test_bills_job_from_rss_files(spark):
     n_enabled = sum(1 for r in items if r.feed_url != fx.catalog_url("Votes"))
     assert out.count() == n_enabled
     assert out.filter("type = 'Activity' AND bill_summary LIKE 'Part one %'").count() > 0
-    stored = readers.read_articles(spark, f"{root}/articles")
+    stored = runs.articles(spark, f"{root}/articles")
     assert stored.count() == stored.select("article_id").distinct().count() == n_enabled
     jobs.post_job(spark, f"{root}/articles", f"{root}/outbox")
     posted = spark.read.parquet(f"{root}/outbox").collect()

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -103,28 +104,110 @@ def test_stream_dedupe_within_watermark(spark):
     assert out.count() == out.select("blog_name", "url").distinct().count() == 192  # 8 of 200 dates do not parse
 
 
-def test_rss_file_stream(spark):
-    """RSS files -> stream -> articles, with a (file, feed_url) map that is
-    a handful of configuration rows."""
-    import tempfile as tf
-    from feedspark.streaming.collect_stream import start_collect_stream
-    root = tf.mkdtemp(prefix="rss-stream-")
+def _landing(root):
+    """RSS, Atom and damaged files with every kind of entry, a map and a tracker."""
     os.makedirs(f"{root}/landing")
-    for i in range(2):
-        with open(f"{root}/landing/feed{i}.xml", "w") as f:
-            f.write(RSS.replace("https://a/", f"https://a{i}/"))
-    feeds = spark.createDataFrame([("feed0.xml", "u0"), ("feed1.xml", "u1")], "file string, feed_url string")
-    tracker = spark.createDataFrame([("dnd", "2024-01-01", [("b0", "u0"), ("b1", "u1")])],
-                                    "community string, last_fetched string, "
-                                    "blogs array<struct<blog_name:string,rss_url:string>>")
-    q = start_collect_stream(spark, f"{root}/landing", None, tracker, f"{root}/sink", f"{root}/ckpt",
-                             fmt="rss", options={"feed_of_file": feeds})
-    q.awaitTermination()
-    out = spark.read.parquet(f"{root}/sink")
-    # two dated items per file; the undated one has an empty token (F1)
-    assert out.count() == 4
-    assert {r.blog_name for r in out.collect()} == {"b0", "b1"}
-    assert "One & only" in {r.title for r in out.collect()}
+    files = {"rss0.xml": RSS, "rss1.xml": RSS.replace("https://a/", "https://a1/"), "atom.xml": ATOM,
+             "stray.xml": RSS.replace("https://a/", "https://s/"),
+             "twins.xml": "<rss><channel>" + 2 * ("<item><title>T</title><link>https://t/1</link><description>d</description>"
+                                                  "<pubDate>Mon, 15 Jan 2024 10:00:00 GMT</pubDate></item>") + "</channel></rss>",
+             "late.xml": RSS.replace("2024 10", "2020 10"), "soon.xml": RSS.replace("Mon, 01 Jan 2024 10:00:00 +0000", "soon"),
+             "cut.xml": RSS[:RSS.index("<group>") + 40], "text.xml": "no feed at all", "empty.xml": ""}
+    for name, text in files.items():
+        with open(f"{root}/landing/{name}", "w") as f:
+            f.write(text)
+    return files
+
+
+FEEDS = [(n, "u-" + n) for n in ("rss0.xml", "rss1.xml", "atom.xml", "twins.xml", "late.xml", "soon.xml", "cut.xml")]
+BLOGS = [(u.removeprefix("u-").removesuffix(".xml"), u) for _, u in FEEDS]
+TRACKER_DDL = "community string, last_fetched string, blogs array<struct<blog_name:string,rss_url:string>>"
+
+
+def _state(spark, root):
+    from feedspark.sources import runs
+    arts = runs.articles(spark, f"{root}/articles").collect()
+    rejects = runs.reports(spark, f"{root}/articles", "rejects", "file string, link string, title string, reason string").collect()
+    late = runs.reports(spark, f"{root}/articles", "late", "blog_name string, n_late long").collect()
+    return arts, rejects, late
+
+
+ARTICLES = {"rss0": 2, "rss1": 2, "atom": 2, "twins": 2, "late": 2, "soon": 1, "cut": 1}
+REJECTS = {("rss0.xml", "no date"): 1, ("rss1.xml", "no date"): 1, ("late.xml", "no date"): 1, ("soon.xml", "no date"): 1, ("soon.xml", "date"): 1,
+           ("atom.xml", "no date"): 1, ("stray.xml", "feed"): 3, ("cut.xml", "document"): 1, ("text.xml", "document"): 1}
+
+
+def _check(arts, rejects):
+    from collections import Counter
+    assert Counter(r.blog_name for r in arts) == ARTICLES
+    assert len({r.article_id for r in arts}) == len(arts)  # also of entries that agree in link and date
+    assert Counter((r.file, r.reason) for r in rejects) == REJECTS
+
+
+def test_feed_files_land_once_in_articles_or_rejects(spark):
+    """RSS, Atom, undated, unparsed, unmatched entries and broken files; late
+    counts as the batch job's; files that arrive later are a batch of their own."""
+    from feedspark.plans.jobs import collect_job
+    from feedspark.streaming.collect_stream import start_feed_files
+    root = tempfile.mkdtemp(prefix="feeds-")
+    _landing(root)
+    feeds = spark.createDataFrame(FEEDS, "file string, feed_url string")
+    tracker = spark.createDataFrame([("dnd", "2023-12-31", BLOGS)], TRACKER_DDL)
+    args = (spark, f"{root}/landing", feeds, tracker, f"{root}/articles", root, f"{root}/ckpt")
+    for _ in range(2):  # the second call finds nothing new
+        start_feed_files(*args, files_per_batch=4).awaitTermination()
+    arts, rejects, late = _state(spark, root)
+    _check(arts, rejects)
+    order = sorted((r for r in arts if r.blog_name == "rss0"), key=lambda r: r.seq)
+    assert [r.title for r in order] == ["One & only", "Deep"]  # the feed's order
+    sinks.write_tracker(tracker, f"{root}/b/tracker")
+    entries, broken = readers.read_feed_files(spark, f"{root}/landing", feeds)
+    collect_job(spark, f"{root}/b/tracker", entries, f"{root}/b/articles", f"{root}/b", "2024-02-01", broken=broken)
+    batch, batch_rejects, batch_late = _state(spark, f"{root}/b")
+    n_late = {r.blog_name: r.n_late for r in batch_late}
+    assert n_late == {"late": 2} and {r.blog_name: r.n_late for r in late} == n_late
+    assert sorted((r.file, r.reason) for r in batch_rejects) == sorted((r.file, r.reason) for r in rejects)
+    assert len(batch) == len(arts) - 2  # the stream keeps the late entries, the batch only counts them
+    with open(f"{root}/landing/more.xml", "w") as f:
+        f.write(RSS)
+    start_feed_files(*args).awaitTermination()
+    assert len(_state(spark, root)[1]) == len(rejects) + 3  # more.xml is of no feed
+
+
+@pytest.mark.parametrize("step", ["articles", "rejects", "late", "commit", "after"])
+def test_killed_batch_lands_once(spark, monkeypatch, step):
+    """The batch dies at each of its steps, and the stream is started again."""
+    from pyspark.errors import StreamingQueryException
+
+    from feedspark.sources import runs
+    from feedspark.streaming import collect_stream
+    root = tempfile.mkdtemp(prefix="killed-")
+    _landing(root)
+    feeds = spark.createDataFrame(FEEDS, "file string, feed_url string")
+    tracker = spark.createDataFrame([("dnd", "2024-01-01", BLOGS)], TRACKER_DDL)
+
+    def run():
+        collect_stream.start_feed_files(spark, f"{root}/landing", feeds, tracker, f"{root}/articles", root, f"{root}/ckpt").awaitTermination()
+
+    with monkeypatch.context() as m:
+        holder, name = {"articles": (runs, "write_rows"), "rejects": (sinks, "write_report"), "late": (sinks, "write_report"),
+                        "commit": (runs, "commit"), "after": (runs, "commit")}[step]
+        real = getattr(holder, name)
+
+        def dying(*a, **k):
+            if step in ("articles", "after", "rejects") or (step == "late" and a[1].endswith("late")):
+                real(*a, **k)  # what it writes is there when the batch dies
+            if step != "late" or a[1].endswith("late"):
+                raise RuntimeError("killed")
+            return real(*a, **k)
+
+        m.setattr(holder, name, dying)
+        with pytest.raises(StreamingQueryException):
+            run()
+    if step != "after":
+        assert _state(spark, root) == ([], [], [])  # nothing of it is visible
+    run()
+    _check(*_state(spark, root)[:2])
 
 
 def test_import_article_file(spark):

@@ -14,12 +14,9 @@ Everything is SQL expressions on one row at a time: no shuffle, and memory
 for one text.  Texts without a word that occurs in all rules' sentences are
 passed over at once.
 
-The registered SQL knows sentences of one piece only.  Both agree on texts
-without a known sentence of several pieces; the published texts of MIT, Apache,
-GPL and BSD hold such sentences.
-
 Defined results: a null or empty text has no sentences and no licence.
-Repeated rows get equal results; extra columns are left alone.
+Repeated rows get equal results; columns of the input that have a result's name
+are replaced, all others are left alone.
 """
 
 from __future__ import annotations
@@ -30,6 +27,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedspark.llm.common import fresh
+
 # ---- fixed values: known sentences, as normalised, and their identifiers ------
 SENTENCES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -140,18 +139,24 @@ def match_rules(sequence: Column, rules=RULES) -> Column:
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with sentence_ids, licences (in order of appearance, each once),
-    n_rules (matches), n_unmatched (licence sentences that no rule takes)."""
-    out = df.withColumn("sentence_ids", F.coalesce(identifiers(F.col(text_col)), F.lit("")))
-    out = out.withColumn("_matched", match_rules(F.col("sentence_ids")))
-    found = F.regexp_extract_all("_matched", F.lit(r"\[([^\]]+)\]"), F.lit(1))
-    return (out.withColumns({"licences": F.array_join(F.array_distinct(found), ","), "n_rules": F.size(found).cast("long"),
-                             "n_unmatched": F.regexp_count("_matched", F.lit("<")).cast("long")}).drop("_matched"))
+    n_rules (matches), n_unmatched (licence sentences that no rule takes).
+    Columns that have these names already are replaced, all others stay."""
+    own = fresh(df, "_ids")  # generated, so that it is worked out once
+    out = df.select("*", F.explode(F.array(F.coalesce(identifiers(F.col(text_col)), F.lit("")))).alias(own))
+    matched = match_rules(F.col(own))
+    found = F.regexp_extract_all(matched, F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    return (out.withColumns({"sentence_ids": F.col(own), "licences": F.array_join(F.array_distinct(found), ","),
+                             "n_rules": F.size(found).cast("long"), "n_unmatched": F.regexp_count(matched, F.lit("<")).cast("long")}).drop(own))
 
 
 # ---- the same in DuckDB ------------------------------------------------------------
 
 def oracle(known: dict[str, str] = SENTENCES, rules=RULES) -> str:
-    pairs = ", ".join(f"'{s}': '{i}'" for s, i in known.items())
+    """The operator's definitions in SQL: pieces as lines of their own, known
+    sentences marked over any number of them, rules replaced in order."""
+    gap, longest = r"(?: |\n\n)", sorted(known, key=len, reverse=True)
+    marked = functools.reduce(lambda s, k: rf"regexp_replace({s}, '\n{gap.join(map(re.escape, k.split(' ')))}\t?\n', chr(10) || '<{known[k]}>' || chr(10), 'g')",
+                              longest, "lines")
     matched = functools.reduce(lambda s, r: f"replace({s}, '{''.join(f'<{i}>' for i in r[0])}', '[{r[1]}]')", rules, "sentence_ids")
     lower = f"translate(%s, '{UPPER}', '{LOWER}')"
     return rf"""
@@ -160,10 +165,15 @@ WITH s AS (
     string_split(regexp_replace(regexp_replace(text, '([^.!?:;\n])[ \t]*\r?\n[ \t*#/]*([a-z(])', '\1 \2', 'g'), '([.!?:;])[ \t\n\r\x0b\f]+', '\1' || chr(10), 'g'), chr(10)) END AS own
   FROM documents
 ), n AS (
-  SELECT doc_id, list_transform(own, lambda x: trim(regexp_replace(regexp_replace({lower % "x"}, '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g'))) AS own FROM s
-), k AS (SELECT MAP {{{pairs}}} AS ids), i AS (
-  SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(own, lambda x: regexp_matches(x, '{SPEAKS}') OR map_contains(ids, x)),
-    lambda x: '<' || coalesce(ids[x], '?') || '>'), ''), '') AS sentence_ids FROM n, k
+  SELECT doc_id, list_transform(own, lambda x: trim(regexp_replace(regexp_replace({lower % "x"}, '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g'))
+    || CASE WHEN regexp_matches(x, '[.!?]\s*$') THEN chr(9) ELSE '' END) AS own FROM s
+), l AS (
+  SELECT doc_id, array_to_string(list_transform(list_filter(own, lambda x: x <> '' AND x <> chr(9)), lambda x: chr(10) || x || chr(10)), '') AS lines FROM n
+), k AS (
+  SELECT doc_id, string_split(replace({marked}, chr(9), ''), chr(10)) AS own FROM l
+), i AS (
+  SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(own, lambda x: starts_with(x, '<') OR regexp_matches(x, '{SPEAKS}')),
+    lambda x: CASE WHEN starts_with(x, '<') THEN x ELSE '<?>' END), ''), '') AS sentence_ids FROM k
 ), m AS (SELECT doc_id, sentence_ids, {matched} AS matched FROM i),
 f AS (SELECT doc_id, sentence_ids, matched, regexp_extract_all(matched, '\[([^\]]+)\]', 1) AS found FROM m)
 SELECT doc_id, sentence_ids,

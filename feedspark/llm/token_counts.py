@@ -156,9 +156,10 @@ TREE = "leaf_chars array<long>, leaf_tokens array<long>"
 
 def build_trees(df: DataFrame, text_col: str = "text", tokenizer: str | None = None,
                 params: CountParams = CountParams()) -> DataFrame:
-    """``df`` with leaf_chars and leaf_tokens, the leaves of each text's tree.
-    Column names of ``df`` must not contain these two."""
+    """``df`` with leaf_chars and leaf_tokens, the leaves of each text's tree;
+    columns that have these names already are replaced."""
     bounded_batches(df.sparkSession)
+    df = df.drop(*[c for c in df.columns if c.lower() in ("leaf_chars", "leaf_tokens")])
     path, p, at = tokenizer or default_path(), params, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

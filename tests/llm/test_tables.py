@@ -236,6 +236,39 @@ IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
 DISCLAIMED."""
 
 
+def _sql_and_operator(spark, rows):
+    """Both results for (doc_id, text) rows."""
+    import duckdb
+    import pandas as pd
+
+    from feedspark.llm.licences import oracle, scan
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = con.execute(oracle()).fetchall()
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string")).drop("text").collect()
+    return sorted(map(tuple, got)), sorted(want)
+
+
+def test_licence_sql_on_published_texts(spark):
+    commented = lambda text, sign: "\n".join(sign + line for line in text.split("\n"))
+    texts = ["MIT License\n\n" + MIT, APACHE, GPL3, GPL2, BSD2 + DISCLAIMER, BSD3 + DISCLAIMER, MIT + "\n\n" + APACHE, MIT + MIT, "", None,
+             "Released under the. MIT License.", "Released under the\nMIT License.\nReleased under the MIT License!\nThis license, however"]
+    rows = [t for text in texts for t in ((text,) if not text else (text, commented(text, " * "), text.replace("\n", "\r\n"), text.upper()))]
+    got, want = _sql_and_operator(spark, list(enumerate(rows)))
+    assert got == want and sum(bool(r[2]) for r in got) >= 18
+
+
+def test_clashing_columns(spark):
+    from feedspark.llm.licences import scan
+    from feedspark.llm.token_counts import build_trees
+    df = spark.createDataFrame([(1, "Released under the MIT License.", "a", "b", 7, [1])],
+                               "doc_id long, text string, licences string, _ids string, n_rules int, leaf_chars array<long>")
+    r = scan(df).first()
+    assert (r.licences, r._ids, r.n_rules, r.leaf_chars) == ("MIT", "b", 1, [1])
+    t = build_trees(df).first()
+    assert t.licences == "a" and sum(t.leaf_chars) == len(t.text)
+
+
 def test_licence_texts_as_published(spark):
     from feedspark.llm.licences import scan
     commented = lambda text, sign: "\n".join(sign + line for line in text.split("\n"))

@@ -91,7 +91,7 @@ def count_trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys ``(a * SIZE + b) * SIZE + c`` of the class trigrams of all words
     of ``text`` (two ends before each word, one behind it), and their counts."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    x = np.zeros(len(codes) + 3, np.int64)
+    x = np.zeros(len(codes) + 3, np.int32)
     x[2:-1] = _classes()[codes]
     c, b, a = x[2:], x[1:-1], x[:-2]
     key = ((a * SIZE + b) * SIZE + c)[(c > 0) | (b > 0)]
@@ -139,10 +139,11 @@ def char_model(texts: DataFrame) -> CharModel:
             for t in [*batch.column(0), None]:
                 held.append("" if t is None else t.as_py())
                 size += len(held[-1])
-                if t is None or size > 1 << 20:
+                if t is None or size > 1 << 18:
                     keys, counts = count_trigrams("\n".join(held))
                     sums[keys] += counts
                     held, size = [], 0
+            give_back()
         keys = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(sums[keys])], ["key", "times"])
 

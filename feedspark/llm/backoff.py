@@ -335,11 +335,14 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     groups = materialize(own.mapInArrow(giving_back(_grouped(p)), GROUPS), "lm-groups")
     size = groups.agg(F.sum("bytes")).first()[0] or 0
     slices = int(size // 6 // p.slice_grams) + 1
-    asked = groups.select("group", "texts").mapInArrow(giving_back(_asked(p, slices)), ASKED)
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = (groups.select("group", "texts").mapInArrow(giving_back(_asked(p, slices)), ASKED)
+             .repartition(max(spread, p.order * slices), "slice"))  # so that a task's share does not grow with the input
     answers = materialize(asked.groupBy("slice").applyInArrow(_answers(slices), ANSWERS), "lm-answers")
     sums = answers.where("group IS NULL").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    scored = (groups.select("group", "texts").groupBy("group")
-              .cogroup(answers.where("group IS NOT NULL").select("group", "slice", "counts").groupBy("group"))
+    parts = max(spread, int(size // (8 * p.group_bytes)))
+    scored = (groups.select("group", "texts").repartition(parts, "group").groupBy("group")
+              .cogroup(answers.where("group IS NOT NULL").select("group", "slice", "counts").repartition(parts, "group").groupBy("group"))
               .applyInArrow(_scored(p, n, v), SCORES))
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))

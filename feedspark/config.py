@@ -66,6 +66,8 @@ class RankParams:
     max_df: float = 0.9
     stop_words: tuple = field(default=STOP_WORDS)
     score_digits: int = 9
+    #: Longest article that is ranked in one task; longer ones are spread.  None: each in one task.
+    task_chars: int | None = None
 
 
 @dataclass(frozen=True)

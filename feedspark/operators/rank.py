@@ -13,21 +13,32 @@ article with ``n`` sentences and a term ``t`` found in ``df`` of them:
 - no kept term at all, or ``max_df * n < min_df``, is an error in the
   reference, which then returns nothing: such articles get null points.
 
-Plan: the article text is hash-partitioned by ``doc_id`` once.  All later
-aggregations and windows are keyed by ``doc_id`` plus more columns, which
-that partitioning already satisfies, so sentences, terms, document
-frequencies, scores and ranks are computed without another exchange.  A
-article's sentences, terms and ranks stay in one task, so an article must fit
-a task's memory; its rows are sorted and spill.
+Plan for articles of up to ``RankParams.task_chars`` characters (default: all):
+the text is
+hash-partitioned by ``doc_id`` once.  All later aggregations and windows are
+keyed by ``doc_id`` plus more columns, which that partitioning already
+satisfies, so sentences, terms, document frequencies, scores and ranks are
+computed without another exchange; such an article fits a task.
+
+Plan for longer articles: sentences leave the task that reads the article as
+rows of their own.  Document frequencies are added up by (article, term), scores
+by (article, sentence), both with partial sums before the shuffle.  Ranks come
+from a range sort by score: the number in front of a sentence within its range,
+and the sizes of the article's ranges before it.  The best ``top`` are limited in
+each (article, part) first, with salted parts, and merged from those.  No stage
+is keyed by the article alone, but the sums of one row a part or range.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark.config import RankParams
 from feedspark.functions.text import split_sentences
+from feedspark.session import settle
 
 WORD_RE = r"[\p{L}\p{N}_]{2,}"
 
@@ -102,13 +113,71 @@ def _valid(params: RankParams):
     return (F.col("doc_max_score") > 0) & (F.lit(params.max_df) * F.col("doc_n_sent") >= params.min_df)
 
 
+# ---- articles larger than a task ----------------------------------------------
+
+PARTS = 64
+
+
+def spread_scores(docs: DataFrame, params: RankParams = RankParams()) -> DataFrame:
+    """(doc_id, n_sent, s_pos, score) for every sentence of ``docs`` (doc_id,
+    text), no step keyed by the article alone."""
+    d = docs.withColumn("_s", split_sentences("text"))
+    sents = d.select("doc_id", F.size("_s").cast("bigint").alias("n_sent"), F.posexplode("_s").alias("s_pos", "sentence"))
+    terms = (sents.select("doc_id", "n_sent", "s_pos", _tokens(F.col("sentence"), params.stop_words).alias("tk"))
+             .select("doc_id", "n_sent", "s_pos", F.explode_outer(_terms(F.col("tk"))).alias("term")))
+    tf = terms.groupBy("doc_id", "n_sent", "s_pos", "term").agg(F.count_if(F.col("term").isNotNull()).alias("tf"))
+    tf = settle(tf, "rank-terms")  # read for the frequencies and for the weights
+    df = (tf.where("term IS NOT NULL").groupBy("doc_id", "n_sent", "term").agg(F.count(F.lit(1)).alias("df"))
+          .where((F.col("df") >= params.min_df) & (F.col("df") <= F.lit(params.max_df) * F.col("n_sent"))))
+    idf = F.log((F.col("n_sent") + 1) / (F.col("df") + 1)) + 1
+    w = tf.join(df.select("doc_id", "term", "df"), ["doc_id", "term"], "left").withColumn("w", F.col("tf") * idf)
+    agg = w.groupBy("doc_id", "n_sent", "s_pos").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"))
+    return agg.select("doc_id", "n_sent", "s_pos", F.round(F.coalesce(F.col("sw") / F.sqrt("sw2"), F.lit(0.0)), params.score_digits).alias("score"))
+
+
+def spread_ranks(scores: DataFrame, params: RankParams = RankParams(), top: int | None = None) -> DataFrame:
+    """(doc_id, s_pos, rank_no, score) of the articles that can be ranked."""
+    scores = settle(scores, "rank-scores")
+    usable = (scores.groupBy("doc_id").agg(F.max("score").alias("_m"), F.max("n_sent").alias("_n"))
+              .where((F.col("_m") > 0) & (F.lit(params.max_df) * F.col("_n") >= params.min_df)).select("doc_id"))
+    own = scores.join(usable, "doc_id").withColumn("down", -F.col("score"))
+    if top is not None:  # the best of each salted part, then the best of those
+        own = own.withColumn("_part", F.pmod(F.xxhash64("s_pos"), F.lit(PARTS)))
+        best = F.row_number().over(Window.partitionBy("doc_id", "_part").orderBy("down", "s_pos"))
+        own = own.withColumn("_best", best).where(F.col("_best") <= top)
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("down", "s_pos"))
+        return own.withColumn("rank_no", rank.cast("bigint")).where(F.col("rank_no") <= top).select("doc_id", "s_pos", "rank_no", "score")
+    ranges = own.repartitionByRange("doc_id", "down", "s_pos").withColumn("_part", F.spark_partition_id())
+    ranges = settle(ranges, "rank-ranges")
+    sizes = ranges.groupBy("doc_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("_part")) - F.col("_n")  # one row a range of the article
+    inside = F.row_number().over(Window.partitionBy("doc_id", "_part").orderBy("down", "s_pos"))
+    return (ranges.withColumn("_i", inside).join(sizes.withColumn("_before", before).drop("_n"), ["doc_id", "_part"])
+            .select("doc_id", "s_pos", (F.col("_before") + F.col("_i")).cast("bigint").alias("rank_no"), "score"))
+
+
+def rank_long_articles(docs: DataFrame, params: RankParams = RankParams(), top: int | None = None, with_text: bool = True) -> DataFrame:
+    """``rank_sentences`` for articles of any length."""
+    ranked = spread_ranks(spread_scores(docs, params), params, top)
+    if with_text:
+        sents = docs.withColumn("_s", split_sentences("text")).select("doc_id", F.posexplode("_s").alias("s_pos", "sentence"))
+        ranked = ranked.join(sents, ["doc_id", "s_pos"], "inner")
+    return ranked
+
+
 # A5 + W3
 def rank_sentences(docs: DataFrame, params: RankParams = RankParams(), id_col: str = "doc_id",
                    text_col: str = "text", top: int | None = None, with_text: bool = True,
                    partitioned: bool = False) -> DataFrame:
     """(doc_id, s_pos, rank_no, score[, sentence]) for articles the reference
     can rank.  ``top`` keeps the first ``top`` per article (a group limit,
-    evaluated before any exchange)."""
+    evaluated before any exchange).  With ``params.task_chars`` longer articles
+    go by ``rank_long_articles``; the ranks are the same."""
+    if params.task_chars is not None:
+        d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        long_, whole = F.length("text") > params.task_chars, replace(params, task_chars=None)
+        short = rank_sentences(d.where(~F.coalesce(long_, F.lit(False))), whole, top=top, with_text=with_text, partitioned=partitioned)
+        return short.unionByName(rank_long_articles(d.where(long_), whole, top, with_text))
     sents = sentences(docs, id_col, text_col, partitioned)
     scores = sentence_scores(sents, params)
     w_rank = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("s_pos").asc())

@@ -716,6 +716,12 @@ def rank_sentences(spark, d):
     return R.rank_sentences(_docs(spark, d), with_text=False).select("doc_id", "s_pos", "rank_no", "score")
 
 
+@register("rank_long_articles", rank_sql() + "SELECT CAST(doc_id AS BIGINT) AS doc_id, s_pos, rank_no, score FROM valid")
+def rank_long_articles(spark, d):
+    """All articles ranked as those larger than a task are."""
+    return R.rank_long_articles(_docs(spark, d), with_text=False).select("doc_id", "s_pos", "rank_no", "score")
+
+
 @register("main_points", rank_sql() +
           "SELECT CAST(d.doc_id AS BIGINT) AS doc_id, mp.n_points, mp.main_points FROM documents d LEFT JOIN mp ON d.doc_id = mp.doc_id")
 def main_points(spark, d):

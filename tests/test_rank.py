@@ -71,3 +71,48 @@ def test_small_and_tied(spark):
     assert got[1] is None and got[3] is None
     exp = brute(rows[1][1])
     assert got[2] == exp[0]                 # ties keep text order
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_long_articles_have_the_same_ranks(spark):
+    """Every article by the spread path, whole and top; then a limit that
+    sends some each way; a huge article and ones that cannot be ranked."""
+    from dataclasses import replace
+
+    from feedspark.operators.rank import rank_long_articles
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    huge = " ".join(f"Sentence {k} of words number{k % 50} and topic{k % 7}." for k in range(1500))
+    docs = docs.union(spark.createDataFrame([(10_001, huge), (10_002, ""), (10_003, None), (10_004, "One. Two. Three."), (10_005, "same word. " * 9)],
+                                            "doc_id long, text string"))
+    for top in (None, 5):
+        want = _rows(rank_sentences(docs, P, top=top))
+        assert _rows(rank_long_articles(docs, P, top=top).select("doc_id", "s_pos", "rank_no", "score", "sentence")) == want
+        split = rank_sentences(docs, replace(P, task_chars=1500), top=top)
+        assert _rows(split.select("doc_id", "s_pos", "rank_no", "score", "sentence")) == want
+    assert _rows(main_points(docs, replace(P, task_chars=1500))) == _rows(main_points(docs, P))
+
+
+def test_no_stage_of_long_articles_is_keyed_by_the_article_alone(spark, monkeypatch):
+    import re as regex
+
+    from feedspark.operators import rank
+    seen = []
+    real = rank.settle
+
+    def watched(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(rank, "settle", watched)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    full = rank.rank_long_articles(docs, P, with_text=False)
+    seen.append(full._jdf.queryExecution().executedPlan().toString())
+    alone = [p for p in seen for m in regex.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, \d+\)", p)]
+    # What is keyed by the article: one partial row a task (usable articles) and the ranges' sizes.
+    keyed = [line for p in seen for line in p.split("\n") if regex.search(r"hashpartitioning\(doc_id#\d+L?, \d+\)", line)]
+    assert len(seen) == 4 and len(keyed) == len(alone)
+    for p in seen[:2]:
+        assert not regex.search(r"hashpartitioning\(doc_id#\d+L?, \d+\)", p)

@@ -16,7 +16,7 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedspark.functions.text import PY_WS, py_strip
+from feedspark.functions.text import PY_WS, let, py_strip
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _ANY_MONTH = "|".join(_MONTHS)
@@ -59,11 +59,6 @@ def _shift(ts: Column, minutes: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) - minutes.cast("long") * F.lit(60_000_000))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _int(s: Column) -> Column:
     return F.nullif(s, F.lit("")).try_cast("int")
 
@@ -160,7 +155,7 @@ def parse_published(col) -> Column:
     out = F.lower(F.coalesce(py_strip(_c(col)), F.lit("")))
     out = F.when(F.contains(out, F.lit("(")), F.regexp_replace(out, r"\([^()]*\)", " ")).otherwise(out)
     steps = [_cut_time, _cut_offset, _date_parts, _members, _order, _times, _resolve]
-    return functools.reduce(_let, steps, out)
+    return functools.reduce(let, steps, out)
 
 
 def local_wall(ts, offset_min) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.functions.text import keep_paragraphs, strip_tags
+from feedspark.functions.text import keep_paragraphs, let, strip_tags
 from feedspark.functions.udfs import unescape_html, unescape_html_array
 
 HEADER_RE = r"(?is)<header(?:\s[^>]*)?>.*?</header>"
@@ -44,8 +44,12 @@ def drop_boilerplate(col) -> Column:
 
 # H2
 def page_title(col) -> Column:
-    t = F.regexp_extract(_c(col), TITLE_RE, 1)
-    return unescape_html(strip_tags(t))
+    return unescape_html(raw_title(col))
+
+
+def raw_title(col) -> Column:
+    """Text of the first title, entities as written."""
+    return strip_tags(F.regexp_extract(_c(col), TITLE_RE, 1))
 
 
 def _content_attr(tag: Column) -> Column:
@@ -56,16 +60,19 @@ def _content_attr(tag: Column) -> Column:
 
 # H3
 def meta_description(col) -> Column:
+    return described(meta_tag(col))
+
+
+def meta_tag(col) -> Column:
+    """The description's meta tag, by name or else by property; empty if there
+    is none."""
     h = _c(col)
-    by_name = F.regexp_extract(h, META_NAME_RE, 0)
-    by_prop = F.regexp_extract(h, META_PROP_RE, 0)
-    tag = F.when(by_name != "", by_name).otherwise(by_prop)
-    return unescape_html(F.when(tag != "", _content_attr(tag)).otherwise(F.lit("")))
+    return let(F.regexp_extract(h, META_NAME_RE, 0), lambda tag: F.when(tag != "", tag).otherwise(F.regexp_extract(h, META_PROP_RE, 0)))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def described(tag) -> Column:
+    """The decoded content of a meta tag."""
+    return unescape_html(F.when(_c(tag) != "", _content_attr(_c(tag))).otherwise(F.lit("")))
 
 
 def _is_tag(piece: Column) -> Column:
@@ -114,14 +121,14 @@ def _texts(pieces: Column, spans: Column) -> Column:
     inside = lambda i: F.exists(gone, lambda g: (g["first"] < i) & (i < g["last"]))
     texts = F.transform(pieces, lambda x, i: F.when(_is_tag(x) | inside(i), "").otherwise(x))
     kept = F.filter(spans, lambda s: (s["name"] == "p") & ~inside(s["first"]))
-    return _let(texts, lambda t: F.transform(kept, lambda s: F.array_join(F.slice(t, s["first"] + 2, s["last"] - s["first"] - 1), "")))
+    return let(texts, lambda t: F.transform(kept, lambda s: F.array_join(F.slice(t, s["first"] + 2, s["last"] - s["first"] - 1), "")))
 
 
 def paragraph_texts(col) -> Column:
     """Texts of all paragraphs outside header and footer, in order of their
     start tags, entities as written; null for a null page."""
     pieces = F.regexp_extract_all(_c(col), F.lit(PIECE_RE), F.lit(0))
-    return _let(pieces, lambda x: _let(element_spans(x), lambda s: _texts(x, s)))
+    return let(pieces, lambda x: let(element_spans(x), lambda s: _texts(x, s)))
 
 
 # H4
@@ -137,17 +144,21 @@ def with_paragraphs(df: DataFrame, html_col: str = "html", name: str = "paragrap
 def with_page_content(df: DataFrame, html_col: str = "html", name: str = "pc") -> DataFrame:
     """Add struct ``name`` = (content, title, meta_description, n_paragraphs):
     header and footer removed, paragraphs filtered by F4 and joined by
-    newlines.  Staged projections: the title (decoded in Python when it has
-    an entity) must be a column before the paragraph filter can use it."""
-    tmp = f"_{name}"
-    staged = df.withColumn(tmp + "_body", drop_boilerplate(html_col))
-    staged = with_paragraphs(staged, tmp + "_body", tmp + "_paras").withColumn(tmp + "_title", page_title(F.col(tmp + "_body")))
-    kept = keep_paragraphs(F.col(tmp + "_paras"), F.col(tmp + "_title"))
+    newlines.  What is read off the page is generated, not projected, so that
+    each pass over the page happens once; the title (decoded in Python when it
+    has an entity) must be a column before the paragraph filter can use it."""
+    body, raw, title, paras = (f"_{name}_{x}" for x in ("body", "raw", "title", "paras"))
+    once = lambda d, value, as_: d.select("*", F.explode(F.array(value)).alias(as_))
+    read = F.struct(raw_title(body).alias("title"), meta_tag(body).alias("meta"), paragraph_texts(body).alias("paras"))
+    staged = once(once(df, drop_boilerplate(html_col), body), read, raw)
+    staged = (staged.withColumn(title, unescape_html(F.col(raw)["title"])).withColumn(paras, unescape_html_array(F.col(raw)["paras"])))
+    kept = keep_paragraphs(F.col(paras), F.col(title))
     return (staged
+            .withColumn(paras, kept)
             .withColumn(name, F.struct(
-                F.array_join(kept, "\n").alias("content"),
-                F.col(tmp + "_title").alias("title"),
-                meta_description(F.col(tmp + "_body")).alias("meta_description"),
-                F.size(kept).cast("bigint").alias("n_paragraphs"),
-                kept.alias("paragraphs")))
-            .drop(tmp + "_body", tmp + "_title", tmp + "_paras"))
+                F.array_join(paras, "\n").alias("content"),
+                F.col(title).alias("title"),
+                described(F.col(raw)["meta"]).alias("meta_description"),
+                F.size(paras).cast("bigint").alias("n_paragraphs"),
+                F.col(paras).alias("paragraphs")))
+            .drop(body, raw, title, paras))

@@ -37,6 +37,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.  (Inside lambdas and CASE
+    branches Spark works out a repeated expression again each time.)"""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # T1
 def strip_tags(col) -> Column:
     return F.regexp_replace(_c(col), TAG_PATTERN, "")
@@ -72,11 +78,20 @@ def clean_description(col) -> Column:
     Entities are decoded after the tags are gone, so '&lt;i&gt;' survives as
     '<i>', as in the reference.  A missing description is the empty string.
     """
+    return cleaned(stripped_description(col))
+
+
+def stripped_description(col) -> Column:
+    """The first step of ``clean_description``."""
+    return strip_tags(F.coalesce(_c(col), F.lit("")))
+
+
+def cleaned(col) -> Column:
+    """The other steps, which look at their input several times: make it a
+    column of its own first where that matters."""
     from feedspark.functions.udfs import unescape_html
 
-    c = strip_tags(F.coalesce(_c(col), F.lit("")))
-    c = unescape_html(c)
-    return py_strip(collapse_spaces(nbsp_to_space(c)))
+    return py_strip(collapse_spaces(nbsp_to_space(unescape_html(_c(col)))))
 
 
 # T7
@@ -92,14 +107,22 @@ def split_sentences(col) -> Column:
     return F.split(_c(col), SENTENCE_BOUNDARY, -1)
 
 
+def first_sentence(col) -> Column:
+    """The first of ``split_sentences``: all up to the first boundary."""
+    return F.regexp_extract(_c(col), r"(?s)^(?:.*?[.!?](?=" + PY_WS + r")|.*)", 0)
+
+
 # W2
 def text_chunks(col, size: int = 5) -> Column:
     """Groups of ``size`` newline-separated paragraphs, each re-joined by a
     newline; the last group may be shorter.  Per row, no shuffle."""
-    paras = F.split(_c(col), "\n", -1)
-    n_chunks = F.ceil(F.size(paras) / F.lit(size)).cast("int")
+    return let(F.split(_c(col), "\n", -1), lambda paras: chunks_of(paras, size))
+
+
+def chunks_of(paras: Column, size: int = 5) -> Column:
+    """``text_chunks`` of paragraphs."""
     return F.transform(
-        F.sequence(F.lit(0), n_chunks - 1),
+        F.sequence(F.lit(0), F.ceil(F.size(paras) / F.lit(size)).cast("int") - 1),
         lambda i: F.array_join(F.slice(paras, i * size + 1, size), "\n"),
     )
 
@@ -166,14 +189,10 @@ def bill_activity(col) -> Column:
     """struct(last_action, next_step).  Both need both markers; when
     'Explanation:' does not follow the first 'Last Action:' the reference
     raises, here both are null."""
-    d = _c(col)
-    after = F.get(F.split(d, LAST_ACTION_MARKER, -1), 1)
-    parts = F.split(after, EXPLANATION_MARKER, -1)
-    ok = (F.instr(d, LAST_ACTION_MARKER) > 0) & (F.instr(d, EXPLANATION_MARKER) > 0) & (F.size(parts) > 1)
-    return F.struct(
-        F.when(ok, py_strip(F.get(parts, 0))).alias("last_action"),
-        F.when(ok, py_strip(F.get(parts, 1))).alias("next_step"),
-    )
+    after = F.get(F.split(_c(col), LAST_ACTION_MARKER, -1), 1)
+    both = lambda parts: F.when(F.size(parts) > 1, parts)
+    return let(both(F.split(after, EXPLANATION_MARKER, -1)), lambda parts: F.struct(
+        py_strip(F.get(parts, 0)).alias("last_action"), py_strip(F.get(parts, 1)).alias("next_step")))
 
 
 # F4

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.functions.dates import date_token, iso_date, parse_published, watermark_ts
-from feedspark.functions.text import clean_description
+from feedspark.functions.text import cleaned, stripped_description
 from feedspark.schemas import ARTICLE, STORED_ORDER
 from feedspark.session import settle
 
@@ -116,11 +116,12 @@ def late_entries(dated: DataFrame, last_fetched: Column | str = "last_fetched")
 def to_articles(new_entries: DataFrame) -> DataFrame:
     """Article rows: cleaned description, ISO date, ``posted`` false.  Keeps
     ``entry_id`` (a stable id given at read time) for the append order."""
-    return new_entries.select(
+    stripped = new_entries.select("*", F.explode(F.array(stripped_description("description"))).alias("_stripped"))
+    return stripped.select(
         "community", "blog_name",
         F.col("link").alias("url"),
         F.col("title"),
-        clean_description("description").alias("description"),
+        cleaned("_stripped").alias("description"),
         "date_published", "published_at",
         F.lit(False).alias("posted"),
         F.col("entry_id"),

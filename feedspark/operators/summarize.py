@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.config import RankParams, SummaryParams
-from feedspark.functions.text import (PROMPT_PREFIX, cap_sentences, drop_prompt_lines, is_blank, novel_points,
-                                      split_sentences, text_chunks)
+from feedspark.functions.text import (PROMPT_PREFIX, cap_sentences, chunks_of, drop_prompt_lines, first_sentence, is_blank, let, novel_points,
+                                      text_chunks)
 from feedspark.functions.udfs import SummarizerHook, summarize_chunks
 from feedspark.operators.queue import mark_posted_by_url, next_to_post, summary_post_body
 from feedspark.operators.rank import _points, by_doc
@@ -26,7 +26,7 @@ from feedspark.session import settle
 def lead_sentence(chunk: Column) -> Column:
     """Default summarizer, a native stand-in for a model: the chunk's first
     sentence.  It is *not* the reference's neural summary."""
-    return F.get(split_sentences(chunk), 0)
+    return first_sentence(chunk)
 
 
 # UD1
@@ -34,9 +34,9 @@ def chunk_summaries(text: Column, hook: SummarizerHook | None = None,
                     params: SummaryParams = SummaryParams()) -> Column:
     """With a hook, each chunk reaches it behind the prompt prefix, and the
     hook gets the length parameters (it cuts its input itself)."""
-    chunks = text_chunks(text, params.chunk_size)
     if hook is None:
-        return F.transform(chunks, lead_sentence)
+        return F.transform(text_chunks(text, params.chunk_size), lead_sentence)
+    chunks = chunks_of(F.split(text, "\n", -1), params.chunk_size)  # Python UDFs take no nested lambdas
     return summarize_chunks(F.transform(chunks, lambda c: F.concat(F.lit(PROMPT_PREFIX + " "), c)), hook, params)
 
 
@@ -44,7 +44,8 @@ def chunk_summaries(text: Column, hook: SummarizerHook | None = None,
 def article_summary(text: Column, hook: SummarizerHook | None = None,
                     params: SummaryParams = SummaryParams()) -> Column:
     combined = F.array_join(chunk_summaries(text, hook, params), " ")
-    return drop_prompt_lines(cap_sentences(combined, params.max_sentences))
+    finish = lambda c: drop_prompt_lines(cap_sentences(c, params.max_sentences))
+    return let(combined, finish) if hook is None else finish(combined)  # a Python hook cannot stand inside a lambda's input
 
 
 # UD3

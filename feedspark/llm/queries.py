@@ -16,7 +16,7 @@ from feedspark.llm.mixing import MixParams, digest, mix
 from feedspark.llm.near_dup import NearDupParams, near_duplicates
 from feedspark.llm.neighbours import NeighbourParams, nearest
 from feedspark.llm.packing import PackParams, pack
-from feedspark.llm.quality import apply_rules, base_rule, default_rules, with_figures
+from feedspark.llm.quality import apply_rules, base_rule, default_rules
 from feedspark.llm.resampling import ResampleParams, resample
 from feedspark.llm.sharding import ShardParams, assign
 from feedspark.llm.token_counts import apply_edits, build_trees, edit
@@ -84,7 +84,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_figures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     found = apply_rules(docs, default_rules())
     return found.select(*figures, base_rule().alias("base_failed"), (F.col("kept") & ~base_rule()).alias("kept"))

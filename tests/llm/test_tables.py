@@ -58,6 +58,27 @@ def test_quality_figures_and_order(spark):
     assert apply_rules(with_figures(empty(spark).select("doc_id", "text")), default_rules()).count() == 0
 
 
+def test_quality_costs_order_rules(spark):
+    """Of two rules that reject the same rows the cheap one goes first, and of
+    two that cost the same the one that rejects more; a rule that needs a dear
+    figure pays for it; the sample of rows without ids is bounded too."""
+    from pyspark.sql import functions as F
+
+    from feedspark.llm.quality import apply_rules, default_rules, estimate, filter_texts, rule
+    text = " ".join(f"w{k % 997} v{k}" for k in range(1500))
+    docs = spark.createDataFrame([(None if i % 2 else i, text + str(i) if i % 3 else "short") for i in range(600)], "doc_id long, text string")
+    dear = rule("dear", ("n_repeat_words",), lambda r: (r > 5000) | (F.length("text") < 100))
+    cheap = rule("cheap", ("word_chars",), lambda c: c < 100)
+    never = rule("never", ("word_chars",), lambda c: c < 0)
+    found = estimate(docs, [dear, never, cheap], "doc_id")
+    assert [e.rule.name for e in found] == ["cheap", "dear", "never"] and found[1].seconds > found[0].seconds
+    few = estimate(docs, [cheap], "doc_id", sample_rows=60)[0]
+    assert 0.1 < few.rejected < 0.6  # a share of a bounded sample
+    kept = apply_rules(docs, default_rules()).where("kept")
+    assert sorted(r.text for r in filter_texts(docs).collect()) == sorted(r.text for r in kept.collect())
+    assert filter_texts(docs).columns == docs.columns
+
+
 def test_quality_main_path_is_native(spark):
     p = QUERIES["op10_quality"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in p for x in ("Python", "Pandas", "Arrow", "Exchange"))

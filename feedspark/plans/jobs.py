@@ -5,7 +5,7 @@
     python -m feedspark.plans.jobs post      --articles A --outbox X [--n 1]
     python -m feedspark.plans.jobs summarize --articles A --pages P --outbox X [--n 1]
     python -m feedspark.plans.jobs bills     --items I --pages P --articles A --out O
-    python -m feedspark.plans.jobs merge     --articles A
+    python -m feedspark.plans.jobs merge     --articles A [--outbox X]
 
 Nothing that is stored is rewritten: a run's new articles are committed with
 its rejects, late counts and tracker by one row of the table's log
@@ -66,12 +66,15 @@ def collect_job(spark, tracker_root, entries: DataFrame, articles_root, out_root
     return out | {"run": run}
 
 
-def queue_state(spark, articles_root, outbox_root) -> DataFrame:
-    """Articles with ``posted`` as stored or as the outbox shows."""
-    articles = stored_articles(spark, articles_root)
-    if not readers.exists(spark, outbox_root):
+def queue_state(spark, articles_root, outbox_root, whole: bool = True) -> DataFrame:
+    """Articles with ``posted`` as stored or as the outbox shows; without
+    ``whole`` those only that the last merge did not know as posted."""
+    versioned = sinks.current_path(spark, articles_root) != articles_root
+    articles = stored_articles(spark, articles_root) if whole or versioned else runs.open_articles(spark, articles_root)
+    sent = runs.sent_since(spark, articles_root, outbox_root)
+    if sent is None:
         return articles
-    sent = spark.read.parquet(outbox_root).select(F.col("article_id").alias("_sent")).distinct()
+    sent = sent.withColumnRenamed("article_id", "_sent")
     return (articles.join(sent, articles["article_id"] == sent["_sent"], "left")
             .withColumn("posted", F.coalesce(F.col("posted"), F.lit(False)) | F.col("_sent").isNotNull())
             .drop("_sent"))
@@ -81,7 +84,7 @@ def post_job(spark, articles_root, outbox_root, out_root=None, n=1, footers=None
     """Render the next articles into the outbox; with ``out_root`` also write
     the marked article table as a new version."""
     ensure_utc(spark)
-    state = queue_state(spark, articles_root, outbox_root)
+    state = queue_state(spark, articles_root, outbox_root, whole=bool(out_root))
     picked = settle(Q.next_to_post(state, n=n), "picked")
     marked = Q.mark_posted(state, picked) if out_root else None
     if out_root:  # before the outbox grows: the state reads it
@@ -92,7 +95,7 @@ def post_job(spark, articles_root, outbox_root, out_root=None, n=1, footers=None
 
 def summarize_job(spark, articles_root, pages_path, outbox_root, out_root=None, n=1, hook=None):
     ensure_utc(spark)
-    state = queue_state(spark, articles_root, outbox_root)
+    state = queue_state(spark, articles_root, outbox_root, whole=bool(out_root))
     outbox, marked = U.summarize_queue(state, readers.read_pages(spark, pages_path), n=n, hook=hook)
     outbox = settle(outbox.select("community", "title", "content", "url", "article_id"), "outbox")
     if out_root:
@@ -169,7 +172,7 @@ def main(argv=None):
     elif a.job == "summarize":
         res = summarize_job(spark, a.articles, a.pages, a.outbox, out, a.n)
     elif a.job == "merge":
-        res = {"articles": runs.merge_runs(spark, a.articles)}
+        res = {"articles": runs.merge_runs(spark, a.articles, a.outbox)}
     else:
         res = bills_job(spark, bill_items_from_files(spark, a.items), a.pages, a.out, articles_root=a.articles)
     print(json.dumps(res))

@@ -10,7 +10,11 @@ overwrites them.  So after any number of failures each row is there once, and th
 tracker never gets ahead of the articles.
 
 ``merge_runs`` rewrites the folders of many small runs as one, in stored order, and
-logs it as the new beginning.  One writer at a time per table.
+logs it as the new beginning.  With the outbox it folds in what was posted: open
+articles go to one folder, those posted since the last merge to another that is
+never written again, and the outbox up to there need not be read any more.  So the
+poster reads open articles and the outbox since the last merge (``open_articles``,
+``sent_since``), whatever the table's age.  One writer at a time per table.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark import schemas
+from feedspark.session import settle
 from feedspark.sources import readers, sinks
 
 LOG = "_runs"
@@ -84,16 +89,40 @@ def commit(spark: SparkSession, root: str, run: str, paths: dict[str, str], repl
      .write.mode("append").json(f"{root.rstrip('/')}/{LOG}"))
 
 
+def _read(spark: SparkSession, root: str, folders: list[str], direct: bool) -> DataFrame:
+    """Rows of ``folders``, and those that lie directly under ``root``."""
+    own = [p for p in folders if readers.exists(spark, p)]
+    loose = [f"{root.rstrip('/')}/community=*"] * (direct and readers.holds(spark, f"{root.rstrip('/')}/community=*"))
+    parts = [spark.read.schema(schemas.ARTICLE).option("basePath", root).parquet(*paths).select(*schemas.ARTICLE.fieldNames())
+             for paths in (loose, own) if paths]  # the folders differ in depth
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.ARTICLE)
+
+
+def _done(runs: list[Run]) -> list[str]:
+    """Folders of articles that were posted before the last merge."""
+    return [p for p in (runs[0].paths.get("posted", "") if runs else "").split("|") if p]
+
+
 def articles(spark: SparkSession, root: str) -> DataFrame:
     """The rows of all committed runs; before the first merge also rows that
     were put directly under ``root`` (an imported table)."""
     runs = log_of(spark, root)
-    held = [r.paths["articles"] for r in runs if r.paths.get("articles") and readers.exists(spark, r.paths["articles"])]
-    held += [f"{root.rstrip('/')}/community=*"] * (not (runs and runs[0].replaces) and readers.holds(spark, f"{root.rstrip('/')}/community=*"))
-    own, direct = [p for p in held if "/batch=" in p], [p for p in held if "/batch=" not in p]
-    parts = [spark.read.schema(schemas.ARTICLE).option("basePath", root).parquet(*paths).select(*schemas.ARTICLE.fieldNames())
-             for paths in (direct, own) if paths]  # the folders differ in depth
-    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.ARTICLE)
+    return _read(spark, root, [r.paths["articles"] for r in runs if r.paths.get("articles")] + _done(runs), not (runs and runs[0].replaces))
+
+
+def open_articles(spark: SparkSession, root: str) -> DataFrame:
+    """``articles`` without those that the last merge knew as posted."""
+    runs = log_of(spark, root)
+    return _read(spark, root, [r.paths["articles"] for r in runs if r.paths.get("articles")], not (runs and runs[0].replaces))
+
+
+def sent_since(spark: SparkSession, root: str, outbox_root: str) -> DataFrame | None:
+    """Keys (article_id) of the outbox batches that no merge has folded in."""
+    if not readers.exists(spark, outbox_root):
+        return None
+    runs = log_of(spark, root)
+    upto = runs[0].paths.get("outbox_upto", "") if runs else ""
+    return spark.read.parquet(outbox_root).where(F.col("batch") > F.lit(upto)).select("article_id").distinct()
 
 
 def reports(spark: SparkSession, root: str, kind: str, schema) -> DataFrame:
@@ -114,12 +143,24 @@ def tracker_path(spark: SparkSession, root: str, tracker_root: str) -> str:
     return own[-1] if own else sinks.current_path(spark, tracker_root)
 
 
-def merge_runs(spark: SparkSession, root: str) -> str:
-    """Write all committed rows as one folder in stored order and make it the
-    table's beginning; the old folders stay until their retention ends."""
-    rows = articles(spark, root)
-    run = next_run(spark, root, "merged")
-    path = write_rows(rows, root, run)
-    last = [r.paths["tracker"] for r in log_of(spark, root) if "tracker" in r.paths]
-    commit(spark, root, run, {"articles": path} | ({"tracker": last[-1]} if last else {}), replaces=True)
-    return path
+def merge_runs(spark: SparkSession, root: str, outbox_root: str | None = None) -> str:
+    """Write the rows that are not known as posted as one folder in stored
+    order, with ``outbox_root`` those that were posted since as another, and make
+    both the table's beginning; the old folders stay until their retention
+    ends.  Returns the folder of open articles."""
+    before, run = log_of(spark, root), next_run(spark, root, "merged")
+    rows, done, upto = open_articles(spark, root), _done(before), (before[0].paths.get("outbox_upto", "") if before else "")
+    sent = sent_since(spark, root, outbox_root) if outbox_root else None
+    paths = {}
+    if sent is not None:
+        upto = spark.read.parquet(outbox_root).agg(F.max("batch")).first()[0] or upto
+        rows = rows.join(sent.withColumn("_sent", F.lit(True)), "article_id", "left")
+        rows = rows.withColumn("posted", F.coalesce("posted", F.lit(False)) | F.coalesce("_sent", F.lit(False))).select(*schemas.ARTICLE.fieldNames())
+        rows = settle(rows, "marked")
+        done = [*done, write_rows(rows.where("posted"), root, f"{run}-posted")]
+        rows = rows.where("NOT posted")
+    paths["articles"] = write_rows(rows, root, run)
+    trackers = [r.paths["tracker"] for r in before if "tracker" in r.paths]
+    paths |= {"posted": "|".join(done), "outbox_upto": upto} | ({"tracker": trackers[-1]} if trackers else {})
+    commit(spark, root, run, paths, replaces=True)
+    return paths["articles"]

@@ -96,7 +96,9 @@ def write_report(rows: DataFrame, root: str, run: str) -> str:
 
 # K3
 def write_outbox(posts: DataFrame, root: str) -> str:
-    """Append rendered posts to the outbox, partitioned by community.  A
-    separate delivery process reads new outbox files and posts them."""
-    posts.write.mode("append").partitionBy("community").parquet(root)
+    """Append rendered posts to the outbox as a batch (named by the time),
+    partitioned by community.  A separate delivery process reads new outbox files
+    and posts them; readers that know a batch skip it and all before it."""
+    batch = time.strftime("%Y%m%dT%H%M%S") + f"-{time.time_ns() % 1_000_000_000:09d}"
+    posts.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch", "community").parquet(root)
     return root

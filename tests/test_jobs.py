@@ -158,6 +158,35 @@ def test_merged_runs_hold_the_same_rows(spark):
     assert runs.find(spark, f"{root}/articles", "part.0001") is not None  # still known, so not taken again
 
 
+def test_posting_reads_open_articles_only_after_a_merge(spark):
+    """The same picks before and after merges; what a merge knew as posted is
+    not read by the poster, and the whole table still holds it, marked."""
+    from feedspark.operators.queue import next_to_post as picks
+    roots = [tempfile.mkdtemp(prefix="open-") for _ in range(2)]
+    a = fx.articles(spark, SF_SMALL)
+    ids = lambda df: sorted(r.article_id for r in df.select("article_id").collect())
+    for root in roots:
+        sinks.append_article_rows(a, f"{root}/articles")
+    plain, merged = roots
+    for k in range(3):
+        for root in roots:
+            jobs.post_job(spark, f"{root}/articles", f"{root}/outbox", n=2)
+        assert ids(spark.read.parquet(f"{plain}/outbox")) == ids(spark.read.parquet(f"{merged}/outbox"))
+        if k < 2:
+            runs.merge_runs(spark, f"{merged}/articles", f"{merged}/outbox")
+            state = jobs.queue_state(spark, f"{merged}/articles", f"{merged}/outbox", whole=False)
+            assert not any("-posted/" in f for f in state.inputFiles())
+            assert runs.sent_since(spark, f"{merged}/articles", f"{merged}/outbox").count() == 0
+            assert state.where("posted").count() == 0 and ids(picks(state)) == ids(picks(jobs.queue_state(spark, f"{plain}/articles", f"{plain}/outbox")))
+    states = [jobs.queue_state(spark, f"{root}/articles", f"{root}/outbox") for root in roots]
+    rows = [sorted((r.article_id, r.posted) for r in s.select("article_id", "posted").collect()) for s in states]
+    assert rows[0] == rows[1] and len(rows[0]) == a.count()
+    run = runs.next_run(spark, f"{merged}/articles", "more")  # new articles after a merge are open
+    more = a.limit(3).withColumn("article_id", F.concat(F.lit("new|"), "article_id")).withColumn("posted", F.lit(False))
+    runs.commit(spark, f"{merged}/articles", run, {"articles": runs.write_rows(more, f"{merged}/articles", run)})
+    assert runs.open_articles(spark, f"{merged}/articles").where("article_id LIKE 'new|%'").count() == 3
+
+
 def test_dedupe_option(spark):
     from feedspark.operators.collect import collect_batch
     e = fx.feed_entries(spark, SF_SMALL)

@@ -134,16 +134,17 @@ def char_model(texts: DataFrame) -> CharModel:
     """Of all words of ``texts`` (text, no nulls): counted in each task, then by key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(SIZE ** 3, np.int64)
-        for batch in batches:
+        for k, batch in enumerate(batches, 1):
             held, size = [], 0
             for t in [*batch.column(0), None]:
                 held.append("" if t is None else t.as_py())
                 size += len(held[-1])
-                if t is None or size > 1 << 18:
+                if t is None or size > 1 << 20:
                     keys, counts = count_trigrams("\n".join(held))
                     sums[keys] += counts
                     held, size = [], 0
-            give_back()
+            if k % 16 == 0:
+                give_back()
         keys = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(sums[keys])], ["key", "times"])
 

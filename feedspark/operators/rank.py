@@ -14,15 +14,19 @@ article with ``n`` sentences and a term ``t`` found in ``df`` of them:
   reference, which then returns nothing: such articles get null points.
 
 Plan for articles of up to ``RankParams.task_chars`` characters (default: all):
-the text is
-hash-partitioned by ``doc_id`` once.  All later aggregations and windows are
-keyed by ``doc_id`` plus more columns, which that partitioning already
-satisfies, so sentences, terms, document frequencies, scores and ranks are
-computed without another exchange; such an article fits a task.
-
-Plan for longer articles: sentences leave the task that reads the article as
-rows of their own.  Document frequencies are added up by (article, term), scores
-by (article, sentence), both with partial sums before the shuffle.  Ranks come
+the text is hash-partitioned by ``doc_id`` once, which deals it over the tasks.
+An article is then ranked in its own row: its terms as one sorted array, whose
+runs are the frequencies, weights and sums (``ranked_sentences``).  No sort,
+window or join over rows follows, so tasks hold an article at a time and spill
+nothing.  Ids that name several rows (null too) are found first; their rows are
+one article together, whatever its size, and go by row aggregations and windows
+keyed by ``doc_id`` plus more columns.
+
+Plan for longer articles: sentences leave the task that reads the article in
+blocks of ``BLOCK``, each a row.  A block's terms are counted in the row.  An article
+of one block has its scores with that; of the others one row a (block, term)
+leaves, document frequencies are added up by (article, term), scores by (article,
+sentence), with partial sums before the shuffle.  Ranks come
 from a range sort by score: the number in front of a sentence within its range,
 and the sizes of the article's ranges before it.  The best ``top`` are limited in
 each (article, part) first, with salted parts, and merged from those.  No stage
@@ -33,11 +37,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark.config import RankParams
-from feedspark.functions.text import split_sentences
+from feedspark.functions.text import let, split_sentences
 from feedspark.session import settle
 
 WORD_RE = r"[\p{L}\p{N}_]{2,}"
@@ -82,6 +86,78 @@ def _terms(toks):
     return F.when(n > 1, F.concat(toks, bigrams)).otherwise(toks)
 
 
+# ---- an article in one row ----------------------------------------------------
+
+def _runs(a: Column, differs) -> Column:
+    """(at, n) of each run of alike neighbours in ``a``, a bound array."""
+    each = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(each, lambda k: (k == 0) | differs(F.get(a, k), F.get(a, k - 1)))
+    return let(starts, lambda s: F.transform(s, lambda k, j: F.struct(
+        k.alias("at"), (F.coalesce(F.get(s, j + 1), F.size(a)) - k).alias("n"))))
+
+
+def _term_counts(sents: Column, params: RankParams) -> Column:
+    """(t, i, tf) of each term and sentence of an array of sentences, sorted."""
+    toks = F.transform(sents, lambda s: _tokens(s, params.stop_words))
+    flat = F.flatten(F.transform(toks, lambda tk, i: F.transform(_terms(tk), lambda t: F.struct(t.alias("t"), i.alias("i")))))
+    other = lambda x, y: (x["t"] != y["t"]) | (x["i"] != y["i"])
+    return let(F.sort_array(flat), lambda g: F.transform(_runs(g, other), lambda r: F.struct(
+        F.get(g, r["at"])["t"].alias("t"), F.get(g, r["at"])["i"].alias("i"), r["n"].alias("tf"))))
+
+
+def _term_runs(counts: Column) -> Column:
+    return _runs(counts, lambda x, y: x["t"] != y["t"])
+
+
+def _in_bounds(df, n_sent, params: RankParams) -> Column:
+    return (df >= params.min_df) & (df <= F.lit(params.max_df) * n_sent)
+
+
+def _idf(df, n_sent) -> Column:
+    return F.log((n_sent + 1) / (df + 1)) + 1
+
+
+def scores_of(sents: Column, params: RankParams) -> Column:
+    """The scores of an article's sentences, as an array beside theirs."""
+    n = F.size(sents)
+    weights = let(_term_counts(sents, params), lambda c: F.flatten(F.transform(
+        F.filter(_term_runs(c), lambda r: _in_bounds(r["n"], n, params)),
+        lambda r: F.transform(F.slice(c, r["at"] + 1, r["n"]), lambda x: F.struct(x["i"].alias("i"), (x["tf"] * _idf(r["n"], n)).alias("w"))))))
+    none = F.transform(sents, lambda s, i: F.struct(i.alias("i"), F.lit(0.0).alias("w")))  # each sentence has a run
+    start = F.struct(F.lit(0.0).alias("sw"), F.lit(0.0).alias("sw2"))
+    add = lambda acc, x: F.struct((acc["sw"] + x["w"]).alias("sw"), (acc["sw2"] + x["w"] * x["w"]).alias("sw2"))
+    norm = lambda acc: F.round(F.when(acc["sw2"] > 0, acc["sw"] / F.sqrt(acc["sw2"])).otherwise(0.0), params.score_digits)
+    return let(F.sort_array(F.concat(weights, none)), lambda w: F.transform(
+        _runs(w, lambda x, y: x["i"] != y["i"]), lambda r: F.aggregate(F.slice(w, r["at"] + 1, r["n"]), start, add, norm)))
+
+
+def ranked_sentences(text: Column, params: RankParams = RankParams(), top: int | None = None, with_text: bool = True) -> Column:
+    """(s_pos, rank_no, score[, sentence]) of one article's sentences in rank
+    order; null for articles that cannot be ranked."""
+    def ranked(sents):
+        down = F.transform(scores_of(sents, params), lambda x, i: F.struct((-x).alias("down"), i.alias("s_pos")))
+        best = lambda d: d if top is None else F.slice(d, 1, top)
+        row = lambda x, r: F.struct(*[x["s_pos"].alias("s_pos"), (r + 1).cast("bigint").alias("rank_no"), (-x["down"]).alias("score"),
+                                      *([F.get(sents, x["s_pos"]).alias("sentence")] if with_text else [])])
+        usable = F.lit(params.max_df) * F.size(sents) >= params.min_df
+        return F.when(usable, let(F.sort_array(down), lambda d: F.when(F.get(d, 0)["down"] < 0, F.transform(best(d), row))))
+
+    return let(split_sentences(text), ranked)
+
+
+def apart(d: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``d`` by whether a row's ``doc_id`` is its own; the second part, of the
+    rows that share one (or have none), is None if there are none."""
+    many = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_many"))
+    if many.isEmpty():
+        return d, None
+    many = settle(many, "shared-ids")
+    same = d["doc_id"].eqNullSafe(many["_many"])
+    return d.join(many, same, "left_anti"), d.join(many, same, "left_semi")
+
+
+# ---- articles of several rows: aggregations and windows -------------------------
+
 def sentence_scores(sents: DataFrame, params: RankParams = RankParams()) -> DataFrame:
     """(doc_id, n_sent, s_pos, n_terms, score) for every sentence."""
     # Tokens are a column of their own so that the bigram step reads the
@@ -116,11 +192,46 @@ def _valid(params: RankParams):
 # ---- articles larger than a task ----------------------------------------------
 
 PARTS = 64
+#: Sentences whose terms are counted in one row.
+BLOCK = 1024
 
 
 def spread_scores(docs: DataFrame, params: RankParams = RankParams()) -> DataFrame:
     """(doc_id, n_sent, s_pos, score) for every sentence of ``docs`` (doc_id,
     text), no step keyed by the article alone."""
+    own, shared = apart(docs.select("doc_id", "text"))
+    split = own.select("doc_id", F.explode(F.array(split_sentences("text"))).alias("_s"))  # generated: split once
+    d = split.select("doc_id", F.size("_s").cast("bigint").alias("n_sent"), "_s")
+    scores = (d.where(F.col("n_sent") <= BLOCK)
+              .select("doc_id", "n_sent", F.posexplode(scores_of(F.col("_s"), params)).alias("s_pos", "score")))
+    scores = scores.unionByName(block_scores(d.where(F.col("n_sent") > BLOCK), params))
+    return scores if shared is None else scores.unionByName(shared_spread_scores(shared, params))
+
+
+def block_scores(d: DataFrame, params: RankParams) -> DataFrame:
+    """``spread_scores`` of articles (doc_id, n_sent, _s) of several blocks."""
+    first = F.sequence(F.lit(0), F.size("_s") - 1, F.lit(BLOCK))
+    blocks = d.select("doc_id", "n_sent", F.explode(F.transform(first, lambda b: F.struct(
+        b.alias("first"), F.slice(F.col("_s"), b + 1, BLOCK).alias("part")))).alias("_b"))
+    use = lambda i, tf: F.struct((i + F.col("_b.first")).alias("s_pos"), tf.alias("tf"))
+    terms = let(_term_counts(F.col("_b.part"), params), lambda c: F.transform(_term_runs(c), lambda r: F.struct(
+        F.get(c, r["at"])["t"].alias("term"), F.transform(F.slice(c, r["at"] + 1, r["n"]), lambda x: use(x["i"], x["tf"])).alias("uses"))))
+    every = F.struct(F.lit(None).cast("string").alias("term"), F.transform(F.col("_b.part"), lambda s, i: use(i, F.lit(0))).alias("uses"))
+    uses = blocks.select("doc_id", "n_sent", F.inline(F.concat(F.array(every), terms)))
+    uses = settle(uses, "rank-terms")  # read for the frequencies and for the weights
+    df = (uses.where("term IS NOT NULL").groupBy("doc_id", "n_sent", "term").agg(F.sum(F.size("uses")).alias("df"))
+          .where(_in_bounds(F.col("df"), F.col("n_sent"), params)).select("doc_id", "term", "df"))
+    kept = uses.join(df, ["doc_id", "term"])
+    w = (kept.select("doc_id", "n_sent", _idf(F.col("df"), F.col("n_sent")).alias("idf"), F.inline("uses"))
+         .select("doc_id", "n_sent", "s_pos", (F.col("tf") * F.col("idf")).alias("w")))
+    none = uses.where("term IS NULL").select("doc_id", "n_sent", F.inline("uses")).select("doc_id", "n_sent", "s_pos", F.lit(0.0).alias("w"))
+    agg = w.unionByName(none).groupBy("doc_id", "n_sent", "s_pos").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"))
+    score = F.when(F.col("sw2") > 0, F.col("sw") / F.sqrt("sw2")).otherwise(0.0)
+    return agg.select("doc_id", "n_sent", "s_pos", F.round(score, params.score_digits).alias("score"))
+
+
+def shared_spread_scores(docs: DataFrame, params: RankParams) -> DataFrame:
+    """``spread_scores`` of rows that share their ids: a row a term."""
     d = docs.withColumn("_s", split_sentences("text"))
     sents = d.select("doc_id", F.size("_s").cast("bigint").alias("n_sent"), F.posexplode("_s").alias("s_pos", "sentence"))
     terms = (sents.select("doc_id", "n_sent", "s_pos", _tokens(F.col("sentence"), params.stop_words).alias("tk"))

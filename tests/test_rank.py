@@ -116,3 +116,23 @@ def test_no_stage_of_long_articles_is_keyed_by_the_article_alone(spark, monkeypa
     assert len(seen) == 4 and len(keyed) == len(alone)
     for p in seen[:2]:
         assert not regex.search(r"hashpartitioning\(doc_id#\d+L?, \d+\)", p)
+
+
+def test_long_articles_leave_their_blocks_as_counts(spark, monkeypatch):
+    """An article of one block writes no term rows; of several, one a (block, term)."""
+    from feedspark.operators import rank
+    sizes = {}
+    real = rank.settle
+
+    def watched(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(rank, "settle", watched)
+    long_ = " ".join(f"alpha beta number{k % 5}." for k in range(rank.BLOCK + 10))
+    docs = spark.createDataFrame([(1, "alpha beta. alpha beta. alpha beta. gamma."), (2, long_), (3, "")], "doc_id long, text string")
+    got = _rows(rank.rank_long_articles(docs, P).select("doc_id", "s_pos", "rank_no", "score", "sentence"))
+    assert got == _rows(rank_sentences(docs, P).select("doc_id", "s_pos", "rank_no", "score", "sentence"))
+    # alpha, beta, alpha beta, five numbers and their pairs with beta, and the row of the block's sentences; two blocks
+    assert sizes["rank-terms"] == 2 * (3 + 5 + 5 + 1)

@@ -281,15 +281,22 @@ def rank_sentences(docs: DataFrame, params: RankParams = RankParams(), id_col: s
                    text_col: str = "text", top: int | None = None, with_text: bool = True,
                    partitioned: bool = False) -> DataFrame:
     """(doc_id, s_pos, rank_no, score[, sentence]) for articles the reference
-    can rank.  ``top`` keeps the first ``top`` per article (a group limit,
-    evaluated before any exchange).  With ``params.task_chars`` longer articles
+    can rank.  ``top`` keeps the first ``top`` per article, in its row.  With ``params.task_chars`` longer articles
     go by ``rank_long_articles``; the ranks are the same."""
     if params.task_chars is not None:
         d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         long_, whole = F.length("text") > params.task_chars, replace(params, task_chars=None)
         short = rank_sentences(d.where(~F.coalesce(long_, F.lit(False))), whole, top=top, with_text=with_text, partitioned=partitioned)
         return short.unionByName(rank_long_articles(d.where(long_), whole, top, with_text))
-    sents = sentences(docs, id_col, text_col, partitioned)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own, shared = apart(d if partitioned else by_doc(d))
+    ranked = own.select("doc_id", F.inline(ranked_sentences(F.col("text"), params, top, with_text)))
+    return ranked if shared is None else ranked.unionByName(rank_shared(shared, params, top, with_text))
+
+
+def rank_shared(docs: DataFrame, params: RankParams, top: int | None, with_text: bool) -> DataFrame:
+    """``rank_sentences`` of rows that share their ids, partitioned by doc_id."""
+    sents = sentences(docs, partitioned=True)
     scores = sentence_scores(sents, params)
     w_rank = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("s_pos").asc())
     ranked = scores.withColumn("rank_no", F.row_number().over(w_rank).cast("bigint"))

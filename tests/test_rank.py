@@ -118,6 +118,38 @@ def test_no_stage_of_long_articles_is_keyed_by_the_article_alone(spark, monkeypa
         assert not regex.search(r"hashpartitioning\(doc_id#\d+L?, \d+\)", p)
 
 
+def _nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_article_is_ranked_in_its_row(spark):
+    """No sort, window, join or aggregation of rows behind the one exchange."""
+    import re as regex
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    for df in (rank_sentences(docs, with_text=False), rank_sentences(docs, top=5)):
+        p = _nodes(df)
+        assert p.count("Exchange") == 1 and not regex.search(r"Sort|Window|Join|Aggregate", p)
+
+
+def test_rows_that_share_an_id_are_one_article(spark):
+    """Repeated ids, with one text or several, and null ids: as by the row plan;
+    the other articles are not touched by them."""
+    from feedspark.operators.rank import by_doc, rank_shared
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").limit(40).cache()
+    text = docs.first()["text"]
+    odd = docs.union(spark.createDataFrame([(7001, text), (7001, text), (7002, text), (7002, text + " More of it. And more."), (None, text), (None, "a b")],
+                                           "doc_id long, text string"))
+    key = lambda rows: sorted(rows, key=str)
+    for top, with_text in ((None, False), (5, True)):
+        want = rank_shared(by_doc(odd), P, top, with_text)
+        got = rank_sentences(odd, P, top=top, with_text=with_text).select(*want.columns)
+        assert key(tuple(r) for r in got.collect()) == key(tuple(r) for r in want.collect())
+    got = key(tuple(map(str, r)) for r in main_points(odd).collect())
+    assert len(got) == odd.count() and sum(r == ("None", "None") for r in got) == 2
+    assert [r for r in got if r[0] not in ("7001", "7002", "None")] == key(tuple(map(str, r)) for r in main_points(docs).collect())
+
+
 def test_long_articles_leave_their_blocks_as_counts(spark, monkeypatch):
     """An article of one block writes no term rows; of several, one a (block, term)."""
     from feedspark.operators import rank

@@ -321,10 +321,20 @@ def _points(d: DataFrame, params: RankParams) -> DataFrame:
                .select("doc_id", F.transform("_p", lambda x: x["sentence"]).alias("main_points")))
 
 
+def with_points(d: DataFrame, params: RankParams) -> DataFrame:
+    """The doc_id-partitioned (doc_id, text) with ``main_points``."""
+    joined = lambda x: x.join(_points(x.filter(F.col("doc_id").isNotNull()), params), "doc_id", "left")
+    if params.task_chars is not None:
+        return joined(d)
+    own, shared = apart(d)
+    top = ranked_sentences(F.col("text"), params, params.num_points)
+    out = own.withColumn("main_points", F.when(F.col("doc_id").isNotNull(), F.transform(top, lambda x: x["sentence"])))
+    return out if shared is None else out.unionByName(joined(shared))
+
+
 # O5
 def main_points(docs: DataFrame, params: RankParams = RankParams(), id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """(doc_id, main_points ARRAY<STRING>) for every input article; null
     points where the reference's ranking fails."""
-    d = by_doc(docs, id_col, text_col)
-    return d.select("doc_id").join(_points(d.filter(F.col("doc_id").isNotNull()), params), "doc_id", "left")
+    return with_points(by_doc(docs, id_col, text_col), params).select("doc_id", "main_points")

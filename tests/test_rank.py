@@ -127,7 +127,7 @@ def test_an_article_is_ranked_in_its_row(spark):
     import re as regex
 
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
-    for df in (rank_sentences(docs, with_text=False), rank_sentences(docs, top=5)):
+    for df in (rank_sentences(docs, with_text=False), rank_sentences(docs, top=5), main_points(docs)):
         p = _nodes(df)
         assert p.count("Exchange") == 1 and not regex.search(r"Sort|Window|Join|Aggregate", p)
 

@@ -126,8 +126,10 @@ def test_an_article_is_ranked_in_its_row(spark):
     """No sort, window, join or aggregation of rows behind the one exchange."""
     import re as regex
 
+    from feedspark.operators.summarize import summary_and_points
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
-    for df in (rank_sentences(docs, with_text=False), rank_sentences(docs, top=5), main_points(docs)):
+    both = summary_and_points(docs)
+    for df in (rank_sentences(docs, with_text=False), rank_sentences(docs, top=5), main_points(docs), both, both.select("doc_id", "main_points")):
         p = _nodes(df)
         assert p.count("Exchange") == 1 and not regex.search(r"Sort|Window|Join|Aggregate", p)
 

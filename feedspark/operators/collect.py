@@ -112,16 +112,27 @@ def late_entries(dated: DataFrame, last_fetched: Column | str = "last_fetched")
     return late.groupBy("community", "blog_name").agg(F.count(F.lit(1)).alias("n_late"))
 
 
+def with_clean_descriptions(entries: DataFrame, needed: Column | None = None) -> DataFrame:
+    """Descriptions cleaned; null where ``needed`` does not hold."""
+    raw = stripped_description("description")
+    stripped = entries.select("*", F.explode(F.array(raw if needed is None else F.when(needed, raw))).alias("_stripped"))
+    return stripped.withColumn("description", cleaned("_stripped")).drop("_stripped")
+
+
 # P2
 def to_articles(new_entries: DataFrame) -> DataFrame:
     """Article rows: cleaned description, ISO date, ``posted`` false.  Keeps
     ``entry_id`` (a stable id given at read time) for the append order."""
-    stripped = new_entries.select("*", F.explode(F.array(stripped_description("description"))).alias("_stripped"))
-    return stripped.select(
+    return article_rows(with_clean_descriptions(new_entries))
+
+
+def article_rows(clean: DataFrame) -> DataFrame:
+    """``to_articles`` of entries whose descriptions are clean."""
+    return clean.select(
         "community", "blog_name",
         F.col("link").alias("url"),
         F.col("title"),
-        cleaned("_stripped").alias("description"),
+        "description",
         "date_published", "published_at",
         F.lit(False).alias("posted"),
         F.col("entry_id"),
@@ -200,24 +211,26 @@ def collect_batch(tracker: DataFrame, entries: DataFrame, existing: DataFrame,
     in the keys of its rows (default: the run date).  ``dedupe=True`` (off by
     default: the reference keeps duplicates) drops new rows whose (community,
     blog_name, url) is already stored, and repeats within the run.
-    ``once=True`` writes the dated entries and the new rows to the scratch
-    folder, for callers that use several of the results or sort them: then
-    each date is parsed and each description cleaned once.  ``extra`` columns
+    ``once=True`` writes the dated entries to the scratch folder, with the
+    cleaned descriptions of those that become articles and no others, for callers
+    that use several of the results or sort them: then each date is parsed, each
+    description cleaned and each text written once.  ``extra`` columns
     of the entries are carried into the rejects.
     """
     run = run or run_date
     feeds = explode_feeds(tracker)
     found = all_entries(entries, feeds, compat)
     if once:
-        found = settle(found, "entries")
+        is_new = F.col("blog_name").isNotNull() & (F.col("published_at") > watermark_ts(F.col("last_fetched")))
+        found = settle(with_clean_descriptions(found, is_new), "entries")
     usable = usable_entries(found)
-    new = to_articles(since_watermark(usable))
+    new = (article_rows if once else to_articles)(since_watermark(usable))
     if dedupe:
         own = ["community", "blog_name", "url"]
         new = (new.join(existing.select(*own), own, "left_anti")
                   .groupBy(*own).agg(F.min_by(F.struct(*new.columns), "entry_id").alias("r"))
                   .select("r.*"))
-    if once:
+    if once and dedupe:
         new = settle(new, "new-articles")
     return CollectResult(
         articles=articles_by_date(append_articles(existing, new, run), compat=compat),

@@ -44,8 +44,11 @@ def dated(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     ev = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     n = ev.select(F.count(F.lit(1))).scalar()
-    keyed = docs.withColumn("_k", (F.col("doc_id") * 4999) % n)
-    return keyed.join(ev, keyed["_k"] == ev["event_id"], "inner").drop("_k", "event_id")
+    # The event is found for the id alone, so that the text moves once, by doc_id
+    # (further joins on doc_id find it dealt so), and no sort holds it: hashes are
+    # built of the narrow sides.
+    keyed = docs.select("doc_id").distinct().withColumn("_k", (F.col("doc_id") * 4999) % n)
+    return docs.join(keyed.join(ev, keyed["_k"] == ev["event_id"], "inner").drop("_k", "event_id").hint("shuffle_hash"), "doc_id")
 
 
 def _post_url(source: Column, doc_id: Column) -> Column:
@@ -62,7 +65,7 @@ def _first_line(text: Column) -> Column:
 
 def articles(spark, sf_dir) -> DataFrame:
     d = dated(spark, sf_dir)
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    p = table(spark, sf_dir, "pages").select("page_id", "url").hint("shuffle_hash")
     j = d.join(p, d["doc_id"] == p["page_id"], "left")
     return j.select(
         F.col("doc_id").cast("bigint").alias("seq"),
@@ -111,7 +114,7 @@ def catalog_url(kind: str) -> str:
 
 def bill_items(spark, sf_dir) -> DataFrame:
     d = dated(spark, sf_dir)
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    p = table(spark, sf_dir, "pages").select("page_id", "url").hint("shuffle_hash")
     j = d.join(p, d["doc_id"] == p["page_id"], "left")
     k = F.col("doc_id") % 3
     odd = F.col("doc_id") % 2 == 1

@@ -76,3 +76,39 @@ def test_one_feed_of_two_blogs_gives_two_keys(spark):
                               "title string, description string, published string")
     new = collect_batch(tracker, e, spark.createDataFrame([], ARTICLE), "2024-02-01").new_rows
     assert {r.article_id for r in new.collect()} == {"dnd|one|2024-02-01|7", "dnd|two|2024-02-01|7"}
+
+
+def test_collected_text_is_written_once(spark, monkeypatch):
+    """once=True: one scratch table, descriptions of new rows only; same results."""
+    from conftest import SF_SMALL
+    from feedspark.operators import collect as C
+    from feedspark.plans import fixtures as fx
+    seen = []
+    real = C.settle
+
+    def watched(df, name):
+        seen.append(real(df, name))
+        return seen[-1]
+
+    monkeypatch.setattr(C, "settle", watched)
+    args = fx.tracker(spark, SF_SMALL), fx.feed_entries(spark, SF_SMALL), fx.articles(spark, SF_SMALL), "2024-02-01"
+    once, plain = C.collect_batch(*args, once=True), C.collect_batch(*args)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for part in ("articles", "new_articles", "new_rows", "late", "rejects"):
+        assert rows(getattr(once, part)) == rows(getattr(plain, part)), part
+    assert len(seen) == 1
+    assert seen[0].where("description IS NOT NULL").count() == once.new_rows.count() < seen[0].count()
+
+
+def test_text_of_dated_documents_moves_once_unsorted(spark):
+    from conftest import SF_SMALL
+    from feedspark.plans import fixtures as fx
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = fx.articles(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert p.count("ShuffledHashJoin") == 2  # with the id's event and with its page
+    assert p.count("text#") and not [x for x in p.split("\n") if " Sort " in x and "doc_id" in x]
+    assert p.count("hashpartitioning(doc_id") == 3  # text, its narrow side's ids (distinct, then joined back)

@@ -112,3 +112,15 @@ def test_text_of_dated_documents_moves_once_unsorted(spark):
     assert p.count("ShuffledHashJoin") == 2  # with the id's event and with its page
     assert p.count("text#") and not [x for x in p.split("\n") if " Sort " in x and "doc_id" in x]
     assert p.count("hashpartitioning(doc_id") == 3  # text, its narrow side's ids (distinct, then joined back)
+
+
+def test_written_articles_are_sorted_once(spark, tmp_path):
+    from conftest import SF_SMALL
+    from feedspark.operators.collect import articles_by_date
+    from feedspark.plans import fixtures as fx
+    from feedspark.sources import sinks
+    articles = fx.articles(spark, SF_SMALL)
+    path = sinks.write_articles(articles_by_date(articles), str(tmp_path / "a"))
+    assert sorted(map(str, spark.read.parquet(path).select(*articles.columns).collect())) == sorted(map(str, articles.collect()))
+    plan = sinks.clustered(articles_by_date(articles))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1

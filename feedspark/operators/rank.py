@@ -19,8 +19,9 @@ An article is then ranked in its own row: its terms as one sorted array, whose
 runs are the frequencies, weights and sums (``ranked_sentences``).  No sort,
 window or join over rows follows, so tasks hold an article at a time and spill
 nothing.  Ids that name several rows (null too) are found first; their rows are
-one article together, whatever its size, and go by row aggregations and windows
-keyed by ``doc_id`` plus more columns.
+one article together.  Up to ``FEW`` rows are gathered and ranked in one row in
+the same way (``pooled_ranks``); more rows, and those without an id, go by row
+aggregations and windows keyed by ``doc_id`` plus more columns.
 
 Plan for longer articles: sentences leave the task that reads the article in
 blocks of ``BLOCK``, each a row.  A block's terms are counted in the row.  An article
@@ -117,6 +118,13 @@ def _idf(df, n_sent) -> Column:
     return F.log((n_sent + 1) / (df + 1)) + 1
 
 
+def _score(weights: Column, params: RankParams) -> Column:
+    start = F.struct(F.lit(0.0).alias("sw"), F.lit(0.0).alias("sw2"))
+    add = lambda acc, x: F.struct((acc["sw"] + x["w"]).alias("sw"), (acc["sw2"] + x["w"] * x["w"]).alias("sw2"))
+    norm = lambda acc: F.round(F.when(acc["sw2"] > 0, acc["sw"] / F.sqrt(acc["sw2"])).otherwise(0.0), params.score_digits)
+    return F.aggregate(weights, start, add, norm)
+
+
 def scores_of(sents: Column, params: RankParams) -> Column:
     """The scores of an article's sentences, as an array beside theirs."""
     n = F.size(sents)
@@ -124,11 +132,8 @@ def scores_of(sents: Column, params: RankParams) -> Column:
         F.filter(_term_runs(c), lambda r: _in_bounds(r["n"], n, params)),
         lambda r: F.transform(F.slice(c, r["at"] + 1, r["n"]), lambda x: F.struct(x["i"].alias("i"), (x["tf"] * _idf(r["n"], n)).alias("w"))))))
     none = F.transform(sents, lambda s, i: F.struct(i.alias("i"), F.lit(0.0).alias("w")))  # each sentence has a run
-    start = F.struct(F.lit(0.0).alias("sw"), F.lit(0.0).alias("sw2"))
-    add = lambda acc, x: F.struct((acc["sw"] + x["w"]).alias("sw"), (acc["sw2"] + x["w"] * x["w"]).alias("sw2"))
-    norm = lambda acc: F.round(F.when(acc["sw2"] > 0, acc["sw"] / F.sqrt(acc["sw2"])).otherwise(0.0), params.score_digits)
     return let(F.sort_array(F.concat(weights, none)), lambda w: F.transform(
-        _runs(w, lambda x, y: x["i"] != y["i"]), lambda r: F.aggregate(F.slice(w, r["at"] + 1, r["n"]), start, add, norm)))
+        _runs(w, lambda x, y: x["i"] != y["i"]), lambda r: _score(F.slice(w, r["at"] + 1, r["n"]), params)))
 
 
 def ranked_sentences(text: Column, params: RankParams = RankParams(), top: int | None = None, with_text: bool = True) -> Column:
@@ -145,15 +150,66 @@ def ranked_sentences(text: Column, params: RankParams = RankParams(), top: int |
     return let(split_sentences(text), ranked)
 
 
+#: Rows of one id that are gathered in one row.
+FEW = 16
+
+
+def shared_ids(d: DataFrame) -> DataFrame | None:
+    """(_many, _n): each ``doc_id`` that several rows share, and their number;
+    None if there are none."""
+    many = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_many"), "_n")
+    return None if many.isEmpty() else settle(many, "shared-ids")
+
+
+def _having(d: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    return d.join(ids, d["doc_id"].eqNullSafe(ids["_many"]), how)
+
+
 def apart(d: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``d`` by whether a row's ``doc_id`` is its own; the second part, of the
     rows that share one (or have none), is None if there are none."""
-    many = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_many"))
-    if many.isEmpty():
-        return d, None
-    many = settle(many, "shared-ids")
-    same = d["doc_id"].eqNullSafe(many["_many"])
-    return d.join(many, same, "left_anti"), d.join(many, same, "left_semi")
+    many = shared_ids(d)
+    return (d, None) if many is None else (_having(d, many, "left_anti"), _having(d, many))
+
+
+# ---- articles of a few rows: gathered in one ------------------------------------
+
+def pooled_ranks(texts: Column, params: RankParams, top: int | None = None, with_text: bool = True) -> Column:
+    """``ranked_sentences`` of several texts as one article.  A sentence is
+    named by its position and its text's number of sentences; texts that agree
+    in both share it, their terms added up.  With text it comes once for each
+    text that has a sentence at its position."""
+    def counted(ss):
+        toks = F.transform(ss, lambda s: F.transform(s, lambda x: _tokens(x, params.stop_words)))
+        use = lambda t, ts, i: F.struct(t.alias("t"), F.size(ts).alias("n"), i.alias("i"))
+        flat = F.flatten(F.transform(toks, lambda ts: F.flatten(F.transform(ts, lambda tk, i: F.transform(_terms(tk), lambda t: use(t, ts, i))))))
+        other = lambda x, y: (x["t"] != y["t"]) | (x["n"] != y["n"]) | (x["i"] != y["i"])
+        return let(F.sort_array(flat), lambda g: F.transform(_runs(g, other), lambda r: F.struct(
+            *[F.get(g, r["at"])[k].alias(k) for k in ("t", "n", "i")], r["n"].alias("tf"))))
+
+    def ranked(ss):
+        weigh = lambda r, x: F.struct(x["n"].alias("n"), x["i"].alias("i"), (x["tf"] * _idf(r["n"], x["n"])).alias("w"))
+        weights = let(counted(ss), lambda c: F.flatten(F.transform(_term_runs(c), lambda r: F.transform(
+            F.filter(F.slice(c, r["at"] + 1, r["n"]), lambda x: _in_bounds(r["n"], x["n"], params)), lambda x: weigh(r, x)))))
+        none = F.flatten(F.transform(ss, lambda s: F.transform(s, lambda x, i: F.struct(F.size(s).alias("n"), i.alias("i"), F.lit(0.0).alias("w")))))
+        down = let(F.sort_array(F.concat(weights, none)), lambda w: F.transform(
+            _runs(w, lambda x, y: (x["n"] != y["n"]) | (x["i"] != y["i"])), lambda r: F.struct(
+                (-_score(F.slice(w, r["at"] + 1, r["n"]), params)).alias("down"), F.get(w, r["at"])["i"].alias("s_pos"), F.get(w, r["at"])["n"].alias("n"))))
+        best = lambda d: d if top is None else F.slice(d, 1, top)
+        row = lambda x, r: [x["s_pos"].alias("s_pos"), (r + 1).cast("bigint").alias("rank_no"), (-x["down"]).alias("score")]
+        at = lambda x, r: F.transform(F.filter(ss, lambda s: F.size(s) > x["s_pos"]),
+                                      lambda s: F.struct(*row(x, r), F.get(s, x["s_pos"]).alias("sentence")))
+        rows = lambda d: F.flatten(F.transform(d, at)) if with_text else F.transform(d, lambda x, r: F.struct(*row(x, r)))
+        usable = lambda d: (F.get(d, 0)["down"] < 0) & (F.lit(params.max_df) * F.array_max(F.transform(d, lambda x: x["n"])) >= params.min_df)
+        return let(best(F.sort_array(down)), lambda d: F.when(usable(d), rows(d)))
+
+    return let(F.transform(texts, split_sentences), ranked)
+
+
+def rank_pooled(docs: DataFrame, params: RankParams, top: int | None, with_text: bool) -> DataFrame:
+    """``rank_sentences`` of ids that a few rows share, partitioned by doc_id."""
+    texts = docs.groupBy("doc_id").agg(F.collect_list("text").alias("_t"))
+    return texts.select("doc_id", F.inline(pooled_ranks(F.col("_t"), params, top, with_text)))
 
 
 # ---- articles of several rows: aggregations and windows -------------------------
@@ -289,9 +345,16 @@ def rank_sentences(docs: DataFrame, params: RankParams = RankParams(), id_col: s
         short = rank_sentences(d.where(~F.coalesce(long_, F.lit(False))), whole, top=top, with_text=with_text, partitioned=partitioned)
         return short.unionByName(rank_long_articles(d.where(long_), whole, top, with_text))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    own, shared = apart(d if partitioned else by_doc(d))
-    ranked = own.select("doc_id", F.inline(ranked_sentences(F.col("text"), params, top, with_text)))
-    return ranked if shared is None else ranked.unionByName(rank_shared(shared, params, top, with_text))
+    d = d if partitioned else by_doc(d)
+    in_row = lambda own: own.select("doc_id", F.inline(ranked_sentences(F.col("text"), params, top, with_text)))
+    if (many := shared_ids(d)) is None:
+        return in_row(d)
+    ranked = in_row(_having(d, many, "left_anti"))
+    few = F.col("_many").isNotNull() & (F.col("_n") <= FEW)
+    for ids, rank in ((many.where(few), rank_pooled), (many.where(~few), rank_shared)):
+        if not ids.isEmpty():
+            ranked = ranked.unionByName(rank(_having(d, ids), params, top, with_text))
+    return ranked
 
 
 def rank_shared(docs: DataFrame, params: RankParams, top: int | None, with_text: bool) -> DataFrame:

@@ -170,3 +170,40 @@ def test_long_articles_leave_their_blocks_as_counts(spark, monkeypatch):
     assert got == _rows(rank_sentences(docs, P).select("doc_id", "s_pos", "rank_no", "score", "sentence"))
     # alpha, beta, alpha beta, five numbers and their pairs with beta, and the row of the block's sentences; two blocks
     assert sizes["rank-terms"] == 2 * (3 + 5 + 5 + 1)
+
+
+def _only_one_exchange(df):
+    import re as regex
+    p = _nodes(df)
+    assert p.count("Exchange") == 1 and not regex.search(r"Sort|Window|Join|Aggregate", p)
+
+
+def test_sentence_tfidf_ranks_an_article_in_its_row(spark):
+    from feedspark.plans.queries import queries
+    _only_one_exchange(queries()["sentence_tfidf"](spark, SF_SMALL))
+
+
+TEXTS = ["Alpha beta gamma. Beta gamma delta. Alpha gamma. Delta alpha beta.", "Beta gamma. Gamma delta alpha. Alpha beta. Beta.",
+         "Alpha. Beta alpha. Gamma gamma beta. Delta. Gamma alpha beta delta.", "One. Two.", "", None, "The of and. It is. We."]
+
+
+def test_ids_of_a_few_rows_are_ranked_in_one_row(spark):
+    """Texts of one id in every mixture, equal and unequal lengths, empty and
+    null ones: as by the row plan; more than ``FEW`` rows by that itself."""
+    from itertools import combinations_with_replacement
+
+    from feedspark.operators.rank import FEW, by_doc, rank_pooled, rank_shared
+    sets = [c for k in (2, 3) for c in combinations_with_replacement(TEXTS, k)] + [TEXTS[:2] * FEW]
+    docs = spark.createDataFrame([(k, t) for k, c in enumerate(sets) for t in c] + [(9001, TEXTS[0])], "doc_id long, text string").cache()
+    key = lambda df, *cols: sorted(tuple(r) for r in df.select("doc_id", "rank_no", "score", *cols).collect())
+    few = docs.where(f"doc_id < {len(sets) - 1}")
+    for top in (None, 2, 5):
+        want = rank_shared(by_doc(docs), P, top, False)
+        assert key(rank_sentences(docs, P, top=top, with_text=False)) == key(want)
+        assert key(rank_pooled(by_doc(few), P, top, False)) == key(rank_shared(by_doc(few), P, top, False))
+    want = rank_shared(by_doc(docs), P, None, True)
+    got = rank_sentences(docs, P, with_text=True)
+    place = lambda df: sorted(tuple(r) for r in df.select("doc_id", "s_pos", "score", "sentence").collect())
+    assert place(got) == place(want)
+    p = _nodes(rank_sentences(few, P, top=5))
+    assert "Window" not in p and "rank_no" in p

@@ -183,6 +183,11 @@ def test_sentence_tfidf_ranks_an_article_in_its_row(spark):
     _only_one_exchange(queries()["sentence_tfidf"](spark, SF_SMALL))
 
 
+def test_novel_points_takes_an_article_in_its_row(spark):
+    from feedspark.plans.queries import queries
+    _only_one_exchange(queries()["novel_points"](spark, SF_SMALL))
+
+
 TEXTS = ["Alpha beta gamma. Beta gamma delta. Alpha gamma. Delta alpha beta.", "Beta gamma. Gamma delta alpha. Alpha beta. Beta.",
          "Alpha. Beta alpha. Gamma gamma beta. Delta. Gamma alpha beta delta.", "One. Two.", "", None, "The of and. It is. We."]
 
